@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from scantling.llm.bpe import encode_documents
+from scantling.llm.flac import digest_media, encode_media
 from scantling.llm.quality_rules import apply_rules
 from scantling.llm.util import table
 
 
+def op1_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's bytes stored as FLAC, read back and digested."""
+    return digest_media(encode_media(table(spark, sf_dir, "documents")), ["doc_id", "n_bytes"])
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded."""
     return encode_documents(table(spark, sf_dir, "documents"), with_ids=False)
@@ -23,6 +29,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_flac": op1_flac,
         "op2_bpe": op2_bpe,
         "op10_quality_rules": op10_quality_rules,
     }
