@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from scantling.llm.bpe import encode_documents
 from scantling.llm.flac import digest_media, encode_media
 from scantling.llm.quality_rules import apply_rules
+from scantling.llm.simhash import near_duplicates
 from scantling.llm.util import table
 
 
@@ -22,6 +24,12 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base rules and compression bands over every document."""
     return apply_rules(table(spark, sf_dir, "documents"))
@@ -31,6 +39,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_flac": op1_flac,
         "op2_bpe": op2_bpe,
+        "op6_simhash": op6_simhash,
         "op10_quality_rules": op10_quality_rules,
     }
 
