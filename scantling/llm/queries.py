@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from scantling.llm.bpe import encode_documents
 from scantling.llm.flac import digest_media, encode_media
+from scantling.llm.mixing import ORACLE_SQL as MIXING_SQL
+from scantling.llm.mixing import mix
 from scantling.llm.quality_rules import apply_rules
 from scantling.llm.simhash import near_duplicates
 from scantling.llm.util import table
@@ -30,6 +32,11 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the mix takes every document."""
+    return mix(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "copies", "taken")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base rules and compression bands over every document."""
     return apply_rules(table(spark, sf_dir, "documents"))
@@ -40,9 +47,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_flac": op1_flac,
         "op2_bpe": op2_bpe,
         "op6_simhash": op6_simhash,
+        "op7_mixing": op7_mixing,
         "op10_quality_rules": op10_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_mixing": MIXING_SQL}
