@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from scantling.llm.bpe import encode_documents
 from scantling.llm.flac import digest_media, encode_media
+from scantling.llm.langid import identify
 from scantling.llm.mixing import ORACLE_SQL as MIXING_SQL
 from scantling.llm.mixing import mix
 from scantling.llm.quality_rules import apply_rules
@@ -37,6 +38,11 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "copies", "taken")
 
 
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base rules and compression bands over every document."""
     return apply_rules(table(spark, sf_dir, "documents"))
@@ -48,6 +54,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_bpe": op2_bpe,
         "op6_simhash": op6_simhash,
         "op7_mixing": op7_mixing,
+        "op8_langid": op8_langid,
         "op10_quality_rules": op10_quality_rules,
     }
 
