@@ -12,6 +12,7 @@ from scantling.llm.flac import digest_media, encode_media
 from scantling.llm.langid import identify
 from scantling.llm.mixing import ORACLE_SQL as MIXING_SQL
 from scantling.llm.mixing import mix
+from scantling.llm.quality_model import classify
 from scantling.llm.quality_rules import apply_rules
 from scantling.llm.simhash import near_duplicates
 from scantling.llm.util import table
@@ -27,6 +28,11 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op3_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document and whether it is kept."""
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
@@ -52,6 +58,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_flac": op1_flac,
         "op2_bpe": op2_bpe,
+        "op3_quality_model": op3_quality_model,
         "op6_simhash": op6_simhash,
         "op7_mixing": op7_mixing,
         "op8_langid": op8_langid,
