@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from scantling.llm.bpe import encode_documents
 from scantling.llm.flac import digest_media, encode_media
+from scantling.llm.html_extract import extract
 from scantling.llm.langid import identify
 from scantling.llm.mixing import ORACLE_SQL as MIXING_SQL
 from scantling.llm.mixing import mix
@@ -33,6 +34,11 @@ def op3_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
@@ -59,6 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_flac": op1_flac,
         "op2_bpe": op2_bpe,
         "op3_quality_model": op3_quality_model,
+        "op4_html": op4_html,
         "op6_simhash": op6_simhash,
         "op7_mixing": op7_mixing,
         "op8_langid": op8_langid,
