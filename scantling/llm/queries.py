@@ -11,6 +11,8 @@ from scantling.llm.bpe import encode_documents
 from scantling.llm.flac import digest_media, encode_media
 from scantling.llm.html_extract import extract
 from scantling.llm.langid import identify
+from scantling.llm.licenses import oracle as license_sql
+from scantling.llm.licenses import scan
 from scantling.llm.mixing import ORACLE_SQL as MIXING_SQL
 from scantling.llm.mixing import mix
 from scantling.llm.quality_model import classify
@@ -55,6 +57,11 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licenses that every document holds."""
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base rules and compression bands over every document."""
     return apply_rules(table(spark, sf_dir, "documents"))
@@ -69,9 +76,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_simhash": op6_simhash,
         "op7_mixing": op7_mixing,
         "op8_langid": op8_langid,
+        "op9_licenses": op9_licenses,
         "op10_quality_rules": op10_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": MIXING_SQL}
+    return {"op7_mixing": MIXING_SQL, "op9_licenses": license_sql()}
