@@ -219,11 +219,11 @@ class Bpe:
             if len(ws) != 1:
                 table[k] = tuple(chain.from_iterable([table[w] for w in ws]))
 
-    def encode_batch(self, texts: list[str]) -> list[list[int]]:
-        """Ids of each text. Stretches that are new are learned together."""
+    def encode_batch(self, texts: list[str], ordinary: bool = False) -> list[list[int]]:
+        """Ids of each text; ``ordinary``: added tokens in it are text like any other. Stretches that are new are learned together."""
         parted: list[list[tuple[list[str], int | None]]] = []
         for text in texts:
-            if not text or self.added_split is None or (self.added_probe is not None and self.added_probe not in text):
+            if not text or ordinary or self.added_split is None or (self.added_probe is not None and self.added_probe not in text):
                 parted.append([(self._keys(text), None)] if text else [])
             else:
                 parts = self.added_split.split(text)

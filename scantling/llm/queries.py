@@ -18,6 +18,7 @@ from scantling.llm.mixing import mix
 from scantling.llm.quality_model import classify
 from scantling.llm.quality_rules import apply_rules
 from scantling.llm.simhash import near_duplicates
+from scantling.llm.token_files import count_tokens
 from scantling.llm.util import table
 
 
@@ -41,6 +42,11 @@ def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, counted in flat token files."""
+    return count_tokens(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
@@ -73,6 +79,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_bpe": op2_bpe,
         "op3_quality_model": op3_quality_model,
         "op4_html": op4_html,
+        "op5_token_counts": op5_token_counts,
         "op6_simhash": op6_simhash,
         "op7_mixing": op7_mixing,
         "op8_langid": op8_langid,
