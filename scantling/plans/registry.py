@@ -2,14 +2,32 @@
 
 from __future__ import annotations
 
+import importlib
 
-def flagship(spark, sf_dir):
-    return spark.range(1)
+from pyspark.sql import DataFrame, SparkSession
 
+from scantling.plans.base import Query
 
-def queries():
-    return {}
+MODULES = ("scalars",)
 
 
-def oracle_sql():
-    return {}
+def _all() -> dict[str, tuple[Query, str | None]]:
+    out: dict[str, tuple[Query, str | None]] = {}
+    for name in MODULES:
+        found = importlib.import_module(f"scantling.plans.{name}").QUERIES
+        if twice := out.keys() & found.keys():
+            raise ValueError(f"queries of one name: {sorted(twice)}")
+        out |= found
+    return out
+
+
+def queries() -> dict[str, Query]:
+    return {k: f for k, (f, _) in _all().items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {k: s for k, (_, s) in _all().items() if s}
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return queries()["g10_iou"](spark, sf_dir)
