@@ -62,7 +62,7 @@ def planes_of(fps: np.ndarray) -> np.ndarray:
     padded = np.zeros(n * 64, np.uint64)
     padded[: len(fps)] = fps
     bits = np.unpackbits(padded.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    return np.packbits(bits.T.reshape(64, n, 64), axis=2, bitorder="little").view(np.uint64)[..., 0]
+    return np.ascontiguousarray(np.packbits(bits.T.reshape(64, n, 64), axis=2, bitorder="little")).view(np.uint64)[..., 0]
 
 
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
