@@ -124,7 +124,7 @@ def approximate_sum(df: DataFrame, key: str, proxy: str, truth: str, eps: float
         rows = df.select(F.col(truth).cast("double").alias("y"), p.cast("double").alias("p"), hash_order(F.col(key), seed).alias("h"), F.col(key).alias("k")).orderBy("h", "k").limit(size).toPandas()
         found = _steps(rows["y"].to_numpy(), rows["p"].to_numpy(), n, stats["tau"], stats["var"] or 0.0, eps, conf, max(1.0, stats["top"] or 0.0))
         if found:
-            return spark.createDataFrame([(round(found[1], 6), found[0], False)], schema)
+            return spark.createDataFrame([(round(float(found[1]), 6), int(found[0]), False)], schema)
         size *= 4
     return df.agg(F.coalesce(F.sum(truth), F.lit(0.0)).cast("double").alias("estimate"), F.count("*").alias("n_samples"), F.lit(True).alias("exact"))
 

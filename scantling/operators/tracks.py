@@ -69,17 +69,26 @@ def suppress(boxes: np.ndarray, scores: np.ndarray, most: float) -> list[int]:
     return kept
 
 
-def non_max_suppression(det: DataFrame, keys: list[str], row_id: str, least: float = 0.25, most_iou: float = 0.45, most: int = 300, agnostic: bool = False) -> DataFrame:
-    """Detections that stay of each group of ``keys``: classes don't suppress each other unless ``agnostic``; ``most`` of them at best."""
+def non_max_suppression(det: DataFrame, keys: list[str], row_id: str, least: float = 0.25, most_iou: float = 0.45, most: int = 300, agnostic: bool = False, together: int = 256) -> DataFrame:
+    """Detections that stay of each group of ``keys``: classes don't suppress each other unless ``agnostic``; ``most`` of them at best.
+
+    The first key is a frame number. ``together`` neighbouring frames are handed to a task at once, as a group of a few boxes is
+    not worth a call.
+    """
     part = keys + ([] if agnostic else ["object_name"])
     columns = [*keys, "object_name", row_id, "confidence"]
-    slim = det.where(F.col("confidence") > least).select(*columns, "xmin", "ymin", "xmax", "ymax")
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(row_id, ignore_index=True)
-        return pdf.iloc[suppress(pdf[["xmin", "ymin", "xmax", "ymax"]].to_numpy(), pdf["confidence"].to_numpy(), most_iou)][columns]
-
-    kept = slim.groupBy(*part).applyInPandas(one, slim.select(*columns).schema)
+    slim = det.where(F.col("confidence") > least).select(*columns, "xmin", "ymin", "xmax", "ymax", F.floor(F.col(keys[0]) / together).alias("__part"))
+
+    def several(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([*part, row_id], ignore_index=True)
+        boxes, scores = pdf[["xmin", "ymin", "xmax", "ymax"]].to_numpy(), pdf["confidence"].to_numpy()
+        starts = np.flatnonzero((pdf[part] != pdf[part].shift()).any(axis=1).to_numpy())
+        kept: list[int] = []
+        for a, b in zip(starts, [*starts[1:], len(pdf)], strict=True):
+            kept += [a] if b - a == 1 else [a + i for i in suppress(boxes[a:b], scores[a:b], most_iou)]
+        return pdf.iloc[kept][columns]
+
+    kept = slim.groupBy("__part").applyInPandas(several, slim.select(*columns).schema)
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("confidence"), row_id))
     return kept.withColumn("rn", rank).where(F.col("rn") <= most).drop("rn")
 
@@ -108,7 +117,7 @@ def shoelace(polygon: list[tuple[float, float]]) -> float:
 def polygon_shares(det: DataFrame, keys: list[str], polygons: list[list[tuple[float, float]]]) -> DataFrame:
     """``keys`` and, for each polygon, the share of the box that it covers (``share_0``, ...)."""
     names = [f"share_{k}" for k in range(len(polygons))]
-    slim = det.select(*keys, "xmin", "ymin", "xmax", "ymax")
+    slim = det.select(*dict.fromkeys([*keys, "xmin", "ymin", "xmax", "ymax"]))
     schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in slim.select(*keys).schema), *(f"{n} double" for n in names)])
 
     def run(batches):

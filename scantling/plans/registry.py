@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from scantling.plans.base import Query
 
-MODULES = ("scalars", "relational")
+MODULES = ("scalars", "relational", "semantic", "ingest")
 
 
 def _all() -> dict[str, tuple[Query, str | None]]:
@@ -30,4 +30,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["g10_iou"](spark, sf_dir)
+    return queries()["a05_approximate_sum"](spark, sf_dir)
