@@ -144,7 +144,7 @@ def best_in_frame(tiles: DataFrame, frame: str, score: Column, id_col: str = "ti
 
 
 def triplet_loss(anchor: Column, positive: Column, negative: Column, margin: float) -> Column:
-    d = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: (x - y).cast("double") * (x - y).cast("double")), F.lit(0.0), lambda s, v: s + v)
+    d = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: F.pow(x.cast("double") - y.cast("double"), F.lit(2.0))), F.lit(0.0), lambda s, v: s + v)
     return F.greatest(d(anchor, positive) - d(anchor, negative) + margin, F.lit(0.0))
 
 

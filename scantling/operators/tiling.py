@@ -80,17 +80,19 @@ CELLS = "row_no int, col_no int, x1 int, y1 int, x2 int, y2 int, has_roi boolean
 
 
 def merge_regions(roi: DataFrame, keys: list[str], together: Callable[[Box, Box], bool] = meets) -> DataFrame:
-    """Regions of each group merged to the fixed point. A group is a frame or a segment: tens of regions."""
+    """Regions of each group of ``keys`` merged to the fixed point.
+
+    A group (a frame) has a few regions, so tasks are handed all groups of the first key (a segment) at once.
+    """
     slim = roi.select(*keys, "x1", "y1", "x2", "y2")
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        boxes = combine(list(pdf[["x1", "y1", "x2", "y2"]].itertuples(index=False, name=None)), together)
-        out = pd.DataFrame(boxes, columns=["x1", "y1", "x2", "y2"])
-        for k in reversed(keys):
-            out.insert(0, k, pdf[k].iloc[0])
-        return out
+    def several(pdf: pd.DataFrame) -> pd.DataFrame:
+        groups: dict[tuple, list[Box]] = {}
+        for row in pdf.itertuples(index=False, name=None):
+            groups.setdefault(row[:-4], []).append(row[-4:])
+        return pd.DataFrame([(*k, *box) for k, boxes in groups.items() for box in combine(boxes, together)], columns=[*keys, "x1", "y1", "x2", "y2"])
 
-    return slim.groupBy(*keys).applyInPandas(one, slim.schema)
+    return slim.groupBy(keys[0]).applyInPandas(several, slim.schema)
 
 
 def generate_layouts(roi: DataFrame, seg: str, width: int, height: int, prune: int = 20, least: int = 0) -> DataFrame:

@@ -9,11 +9,24 @@ from scantling.functions import geometry as g
 from scantling.functions import predicates
 from scantling.operators import detections as d
 from scantling.plans.base import Registry
-from scantling.plans.scalars import A, BAN, SCORE, V
+from scantling.plans.scalars import BANS, SCORE, VALID
 from scantling.sources import views
 
 QUERIES = Registry()
-BOX = g.rect("xmin", "ymin", "xmax", "ymax")
+
+
+def box():
+    return g.rect("xmin", "ymin", "xmax", "ymax")
+
+
+def valid():
+    return g.fixed(*VALID)
+
+
+def bans():
+    return [g.fixed(*b) for b in BANS]
+
+
 HASH = "CAST('0x'||substr(md5(concat('7:',{})),1,8) AS BIGINT)"
 read, w = views.read, views.with_views
 
@@ -24,7 +37,7 @@ def add(name: str, sql: str | None, *need: str):
 
 @add("a01_count_objects", f"SELECT frame, count(*) FILTER (WHERE {SCORE}) AS n FROM v_det GROUP BY frame", "det")
 def _(s, p):
-    return d.count_objects(read(s, p, "det"), ["frame"], predicates.object_counts(F.col("object_name"), BOX, V, BAN, ["A", "R"]))
+    return d.count_objects(read(s, p, "det"), ["frame"], predicates.object_counts(F.col("object_name"), box(), valid(), bans(), ["A", "R"]))
 
 
 @add("a08_exact_sum", "SELECT sum(truth) AS total, count(*) AS n FROM v_tile", "tile")
@@ -111,7 +124,7 @@ add("j06_link_frames", LINK, "track")(linked_pairs)
 add("p21_linkage", f"SELECT count(*) AS n FROM ({LINK})", "track")(lambda s, p: linked_pairs(s, p).agg(F.count("*").alias("n")))
 SKIP = "skip AS (SELECT * FROM (VALUES (0, 0, 300, 300), (1000, 500, 1500, 900)) AS t(a1, b1, a2, b2))"
 QUERIES.add("j07_anti_skip", f"{w('roi')}, {SKIP} SELECT roi_id FROM v_roi WHERE NOT EXISTS (SELECT 1 FROM skip WHERE least(x2,a2)>greatest(x1,a1) AND least(y2,b2)>greatest(y1,b1))")(
-    lambda s, p: read(s, p, "roi").where(~g.any_of([g.overlap(g.rect("x1", "y1", "x2", "y2"), b).isNotNull() for b in BAN])).select("roi_id"))
+    lambda s, p: read(s, p, "roi").where(~g.any_of([g.overlap(g.rect("x1", "y1", "x2", "y2"), b).isNotNull() for b in bans()])).select("roi_id"))
 QUERIES.add("j08_cells_with_roi", f"{w('roi')} SELECT DISTINCT seg, CAST(floor((y1+y2)/2/200) AS BIGINT) AS row_no, CAST(floor((x1+x2)/2/300) AS BIGINT) AS col_no FROM v_roi")(
     lambda s, p: read(s, p, "roi").select("seg", F.floor((F.col("y1") + F.col("y2")) / 2 / 200).alias("row_no"), F.floor((F.col("x1") + F.col("x2")) / 2 / 300).alias("col_no")).distinct())
 DIM = {"A": 0, "N": 1, "R": 2}
@@ -148,7 +161,7 @@ IOU = "greatest(0,least(a.xmax,b.xmax)-greatest(a.xmin,b.xmin))*greatest(0,least
 
 
 def box_iou(s, p):
-    t = read(s, p, "track").select("frame", "line", BOX.alias("r"))
+    t = read(s, p, "track").select("frame", "line", box().alias("r"))
     a, b = t.alias("a"), t.alias("b")
     return a.join(b, (F.col("a.frame") == F.col("b.frame")) & (F.col("a.line") < F.col("b.line"))).select(
         F.col("a.frame").alias("frame"), F.col("a.line").alias("line_a"), F.col("b.line").alias("line_b"), F.round(g.iou(F.col("a.r"), F.col("b.r")), 6).alias("iou"))

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from pyspark.sql import functions
 
-from scantling.functions import costs, predicates
-from scantling.functions import geometry as g
+from scantling.functions import costs as cost_models
+from scantling.functions import geometry
+from scantling.functions import predicates as conditions
 from scantling.plans.base import Registry
+from scantling.plans.later import Later, later, now
 from scantling.sources import views
 
 QUERIES = Registry()
+# queries are named without a session, so their columns are written down here and made when they run
+F, g, predicates, costs = later(functions), later(geometry), later(conditions), later(cost_models)
+CODEC, NETWORKS = cost_models.CODEC, cost_models.NETWORKS
 KEYS = ["frame", "line", "xmin", "ymin"]
 BOX = g.rect("xmin", "ymin", "xmax", "ymax")
 VALID = (400.0, 300.0, 1200.0, 800.0)
@@ -28,13 +32,13 @@ def trunc(e: str) -> str:
     return f"CAST(trunc({e}) AS INT)"
 
 
-def scalar(name: str, out: dict[str, tuple[Column, str]], view: str = "det", keys: list[str] = KEYS, where: tuple[Column, str] | None = None) -> None:
+def scalar(name: str, out: dict[str, tuple[Later, str]], view: str = "det", keys: list[str] = KEYS, where: tuple[Later, str] | None = None) -> None:
     """A query that keeps ``keys`` of a view and adds columns, each as a Column and as SQL."""
     sql = f"{views.with_views(view)} SELECT {', '.join(keys)}, {', '.join(f'{s} AS {c}' for c, (_, s) in out.items())} FROM v_{view}" + (f" WHERE {where[1]}" if where else "")
 
     def run(spark, sf_dir):
         df = views.read(spark, sf_dir, view)
-        return (df.where(where[0]) if where else df).select(*keys, *[c.alias(n) for n, (c, _) in out.items()])
+        return (df.where(now(where[0])) if where else df).select(*keys, *[now(c).alias(n) for n, (c, _) in out.items()])
 
     QUERIES.add(name, sql)(run)
 
@@ -69,7 +73,7 @@ OUTER = g.fixed(0, 0, 2000, 2000)
 SUR = g.surrounding(OUTER, BOX)
 scalar("g14_surrounding", {
     "n": (F.size(SUR), "(CASE WHEN xmin>0 THEN 1 ELSE 0 END+CASE WHEN xmax<2000 THEN 1 ELSE 0 END+1)*(CASE WHEN ymin>0 THEN 1 ELSE 0 END+CASE WHEN ymax<2000 THEN 1 ELSE 0 END+1)-1"),
-    "area": (r6(F.aggregate(SUR, F.lit(0.0), lambda a, r: a + g.area(r))), s6(f"4000000-{A}"))}, where=(F.expr("xmax<2000 AND ymax<2000"), "xmax<2000 AND ymax<2000"))
+    "area": (r6(F.aggregate(SUR, F.lit(0.0), lambda a, r: g.area(r) + a)), s6(f"4000000-{A}"))}, where=(F.expr("xmax<2000 AND ymax<2000"), "xmax<2000 AND ymax<2000"))
 scalar("g15_truncated_point", {"ix": ((F.col("xmax") * 0.37).cast("int"), trunc("xmax*CAST(0.37 AS DOUBLE)")), "iy": ((F.col("ymax") * -0.37).cast("int"), trunc("ymax*CAST(-0.37 AS DOUBLE)"))})
 scalar("g16_iou_disjoint_zero", {"iou": (r6(F.when(g.overlap(BOX, V).isNull(), 0.0).otherwise(g.iou(BOX, V))), s6(f"CASE WHEN {inter(VALID)}=0 THEN 0 ELSE {inter(VALID)}/({A}+{VA}-{inter(VALID)}) END"))})
 scalar("g17_overlap_share", {"share": (r6(g.overlap_share(BOX, V)), s6(f"{inter(VALID)}/{A}"))})
@@ -96,11 +100,11 @@ scalar("g24_inflate_least", {"x1": (LEAST["x1"], NX), "y1": (LEAST["y1"], NY), "
 
 
 def line(name: str, a: str) -> str:
-    return f"({a}*CAST({costs.CODEC['k_' + name]!r} AS DOUBLE)+CAST({costs.CODEC['b_' + name]!r} AS DOUBLE))"
+    return f"({a}*CAST({CODEC['k_' + name]!r} AS DOUBLE)+CAST({CODEC['b_' + name]!r} AS DOUBLE))"
 
 
 scalar("g25_codec_cost", {"ms": (r6(costs.random_access(g.area(BOX))), s6(f"{line('init', A)}+{line('skip', A)}*14+{line('dec', A)}+{line('rel', A)}"))})
-NET = {n: (r6(costs.network(g.area(BOX) * 50, c)), s6(f"CASE WHEN {A}*50>({c['a']}-{c['b']})/{c['k']!r} THEN {A}*50*CAST({c['k']!r} AS DOUBLE)+{c['b']} ELSE {c['a']} END")) for n, c in costs.NETWORKS.items()}
+NET = {n: (r6(costs.network(g.area(BOX) * 50, c)), s6(f"CASE WHEN {A}*50>({c['a']}-{c['b']})/{c['k']!r} THEN {A}*50*CAST({c['k']!r} AS DOUBLE)+{c['b']} ELSE {c['a']} END")) for n, c in NETWORKS.items()}
 scalar("g26_network_cost", NET)
 PRED = costs.predicted(g.area(BOX), F.col("line"))
 scalar("g27_predicted_cost", {"t_init": (r6(PRED["t_init"]), s6(line("init", A))), "t_total": (r6(PRED["t_total"]), s6(f"{line('init', A)}+{line('skip', A)}*line+{line('dec', A)}+{line('rel', A)}"))})
@@ -138,7 +142,7 @@ scalar("p03_valid_area", {"w": (g.width(ROI), "x2-x1")}, "roi", RK, (predicates.
 SCORE = f"object_name IN ('A','R') AND {inter(VALID)}>=CAST(0.7 AS DOUBLE)*{A} AND {inter(VALID)}>0 AND " + " AND ".join(f"NOT ({inter(b)}>=CAST(0.3 AS DOUBLE)*{A} AND {inter(b)}>0)" for b in BANS)
 scalar("p04_object_score", {"hit": (predicates.object_counts(F.col("object_name"), BOX, V, BAN, ["A", "R"]), SCORE)})
 scalar("p05_confident_class", {"confidence": (F.col("confidence"), "confidence")}, where=(predicates.confident(F.col("confidence"), F.col("object_name"), ["A", "N"]), "confidence>CAST(0.5 AS DOUBLE) AND object_name IN ('A','N')"))
-scalar("p08_min_confidence", {"confidence": (F.col("confidence"), "confidence")}, where=(F.col("confidence") >= predicates.MIN_CONFIDENCE["mask"], "confidence>=CAST(0.8 AS DOUBLE)"))
+scalar("p08_min_confidence", {"confidence": (F.col("confidence"), "confidence")}, where=(F.col("confidence") >= conditions.MIN_CONFIDENCE["mask"], "confidence>=CAST(0.8 AS DOUBLE)"))
 scalar("p13_positive_proxy", {"proxy_score": (F.col("proxy_score"), "proxy_score")}, "proxy", ["id"], (F.col("proxy_score") - 0.3 > 0, "proxy_score-CAST(0.3 AS DOUBLE)>0"))
 scalar("p14_binary_label", {"y": (predicates.binary(F.col("truth")), "CASE WHEN truth>0 THEN CAST(1 AS DOUBLE) ELSE 0 END")}, "tile", ["tile_id"])
 scalar("p06_region_rect", {"share": (r6(g.overlap_share(BOX, V)), s6(f"{inter(VALID)}/{A}"))}, where=(
