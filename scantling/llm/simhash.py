@@ -190,7 +190,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = parts.join(heads, F.col("node") == F.col("fp")).select("component", "fp", "head")
     least = linked.groupBy("component").agg(F.min("head").alias("least"))
     moved = linked.join(least, "component").select("fp", F.col("least").alias("label"))
-    labels = heads.join(moved, "fp", "left").select("fp", F.coalesce("label", "head").alias("component_id"))
+    # written, so that the join below stands alone and Spark can split a fingerprint that very many documents share
+    labels = materialize(heads.join(moved, "fp", "left").select("fp", F.coalesce("label", "head").alias("component_id")), "simhash-labels")
     return marks.join(labels, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
