@@ -154,7 +154,11 @@ def first_by_hash(df: DataFrame, key: str, n: int, seed: int = 7) -> DataFrame:
 
 
 def permutation(df: DataFrame, key: str, seed: int = 7) -> DataFrame:
-    return df.select(key, F.row_number().over(Window.orderBy(hash_order(F.col(key), seed), F.col(key))).alias("place"))
+    """``place`` (1 first) of each key in the order of its hash, found by ranges of the hash and so without a global sort."""
+    from scantling.operators.sampling import ranked
+
+    spread = df.select(key, (1 - hash_order(F.col(key), seed) / F.lit(float(1 << 32))).alias("__score"))
+    return ranked(spread, "__score", key).select(key, (F.col("rank") + 1).alias("place"))
 
 
 def quota_split(df: DataFrame, key: str, label: str, quota: int, seed: int = 7) -> DataFrame:

@@ -166,3 +166,22 @@ def summarise(trials: DataFrame) -> DataFrame:
         F.count("*").alias("n_trials"), F.round(F.avg("precision"), 6).alias("precision"), F.round(F.avg("recall"), 6).alias("recall"),
         F.round(F.stddev_samp("recall") / F.sqrt(F.count("*")), 6).alias("recall_sem"), F.round(F.avg(F.col("covered").cast("double")), 6).alias("coverage"),
     )
+
+
+#: Named experiments: selector, target, and a synthetic source (alpha, beta) or "proxy" for a given one.
+EXPERIMENTS = {
+    f"{source}_{selector}_{budget}": (selector, Target(precision=goal, recall=goal, budget=budget), shape)
+    for source, shape in (("rare", (0.01, 2.0)), ("common", (0.3, 1.0)))
+    for selector in SELECTORS
+    for goal, budget in ((0.9, 1000), (0.9, 10_000))
+}
+
+
+def run_recall(df: DataFrame, budget: int, recall: float, delta: float = 0.05) -> DataFrame:
+    """The usual choice for a recall target."""
+    return select_recall(df, Target(recall=recall, delta=delta, budget=budget))
+
+
+def run_precision(df: DataFrame, budget: int, precision: float, delta: float = 0.05) -> DataFrame:
+    """The usual choice for a precision target."""
+    return select_precision(df, Target(precision=precision, delta=delta, budget=budget))

@@ -245,6 +245,37 @@ def merged_groups(tiles: DataFrame, seg: str, keep_line: Column, cost: Column) -
     return each.withColumn("cost", F.round(cost * F.col("clusters"), 6))
 
 
+def visible_cost(tiles: DataFrame, seg: str, cut: int, cost: Column, first: str = "seg_start", last: str = "seg_end", spans: DataFrame | None = None) -> DataFrame:
+    """Cost of each segment's grid merged into groups of ``cut`` columns: area times distinct clusters, of segments that meet a span if given."""
+    kept = tiles
+    if spans is not None:
+        kept = tiles.join(spans, (F.col(first) < F.col("until")) & (F.col(last) > F.col("since")), "left_semi")
+    grouped = kept.groupBy(seg, "row_no", F.floor(F.col("col_no") / cut).alias("g")).agg(F.count_distinct("col_no").alias("cells"), F.size(F.array_distinct(F.collect_set("cluster"))).alias("clusters"))
+    return grouped.groupBy(seg).agg(F.round(F.sum(cost * F.col("clusters")), 6).alias("cost"))
+
+
+def hierarchical_layout(cells: DataFrame, seg: str) -> DataFrame:
+    """Rows and columns of a fine grid without any region collapsed into one strip where they are neighbours; a coarse tile keeps its fine cells.
+
+    ``seg``, ``coarse_row``, ``coarse_col``, ``has_roi`` and ``fine``: the positions of the region cells inside.
+    """
+    out = cells
+    for axis, name in (("row_no", "coarse_row"), ("col_no", "coarse_col")):
+        line = cells.groupBy(seg, axis).agg(F.bool_or("has_roi").alias("any"))
+        w = Window.partitionBy(seg).orderBy(axis)
+        new = F.when(~F.col("any") & ~F.coalesce(F.lag("any").over(w), F.lit(True)), 0).otherwise(1)
+        numbered = line.withColumn("new", new).withColumn(name, F.sum("new").over(w) - 1).select(seg, axis, name)
+        out = out.join(numbered, [seg, axis])
+    fine = F.sort_array(F.collect_list(F.when(F.col("has_roi"), F.concat_ws("_", "row_no", "col_no"))))
+    return out.groupBy(seg, "coarse_row", "coarse_col").agg(F.bool_or("has_roi").alias("has_roi"), fine.alias("fine"))
+
+
+def roi_pipeline(roi: DataFrame, seg: str, width: int, height: int, keep: Column | None = None, prune: int = 20, least: int = 0) -> DataFrame:
+    """From regions of frames to the tiles of each segment: filter, merge within frames and across them, cut, mark."""
+    kept = roi.where(keep) if keep is not None else roi
+    return generate_layouts(merge_regions(kept, [seg, "t"]), seg, width, height, prune, least)
+
+
 def densest_frame(roi: DataFrame, tile_w: int, tile_h: int) -> DataFrame:
     """For each cell the frame whose regions centred there have the greatest area; ties by the earliest."""
     col, row = F.floor((F.col("x1") + F.col("x2")) / 2 / tile_w), F.floor((F.col("y1") + F.col("y2")) / 2 / tile_h)

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from scantling.functions import geometry as g
 from scantling.functions import predicates
 from scantling.operators import detections as d
+from scantling.operators.sampling import bounds, one_sided, ranked
 from scantling.plans.base import Registry
 from scantling.plans.scalars import BANS, SCORE, VALID
 from scantling.sources import views
@@ -187,8 +188,8 @@ add("p19_close_positions", """SELECT n1.frame, n1.n = n2.n AND coalesce(x.far, 0
     lambda s, p: frame_labels(s, p).select("frame", predicates.close_positions(F.col("points"), F.col("points2"), 600.0).alias("close")))
 
 # windows, limits, samples, sets
-add("w01_rank", f"SELECT id, row_number() OVER (ORDER BY proxy_score DESC, {HASH.format('id')}, id) AS rank FROM v_proxy", "proxy")(
-    lambda s, p: read(s, p, "proxy").select("id", F.row_number().over(Window.orderBy(F.desc("proxy_score"), d.hash_order(F.col("id")), "id")).alias("rank")))
+add("w01_rank", "SELECT id, row_number() OVER (ORDER BY proxy_score DESC, id) AS rank FROM v_proxy", "proxy")(
+    lambda s, p: ranked(read(s, p, "proxy"), "proxy_score", "id").select("id", (F.col("rank") + 1).alias("rank")))
 add("w02_rank_in_frame", "SELECT t, tile_id, row_number() OVER (PARTITION BY t ORDER BY truth DESC, tile_id) AS rank FROM v_tile", "tile")(
     lambda s, p: read(s, p, "tile").select("t", "tile_id", F.row_number().over(Window.partitionBy("t").orderBy(F.desc("truth"), "tile_id")).alias("rank")))
 add("w06_dilate", "SELECT id, EXISTS (SELECT 1 FROM v_proxy b WHERE b.proxy_score > CAST(0.9 AS DOUBLE) AND b.id BETWEEN a.id - 10 AND a.id + 10) AS near FROM v_proxy a", "proxy")(
@@ -221,6 +222,6 @@ add("set3_label_union", "SELECT frame, string_agg(DISTINCT object_name, ',' ORDE
     lambda s, p: read(s, p, "det").groupBy("frame").agg(F.array_join(F.array_sort(F.collect_set("object_name")), ",").alias("names")))
 BOUND = "round(avg(x) + {0} * stddev_pop(x) * sqrt(2*ln(1/(2*0.05))) / sqrt(count(x)), 6)"
 add("a23_sampling_bound", f"SELECT count(*) AS n, {BOUND.format("1")} AS upper, {BOUND.format("-1")} AS lower FROM (SELECT label AS x FROM v_proxy WHERE id % 3 = 0)", "proxy")(
-    lambda s, p: __import__("scantling.operators.sampling", fromlist=["x"]).bounds(read(s, p, "proxy").where("id % 3 = 0"), F.col("label"), 0.05))
+    lambda s, p: bounds(read(s, p, "proxy").where("id % 3 = 0"), F.col("label"), 0.05))
 add("a24_one_sided", "SELECT round(m + 1.6448536269514722 * sqrt(m*(1-m)/n), 6) AS bernoulli_upper, round(m - 1.6448536269514722 * s / sqrt(n), 6) AS std_lower FROM (SELECT avg(label) AS m, stddev_samp(label) AS s, count(*) AS n FROM v_proxy WHERE id % 3 = 0)", "proxy")(
-    lambda s, p: __import__("scantling.operators.sampling", fromlist=["x"]).one_sided(read(s, p, "proxy").where("id % 3 = 0"), F.col("label")))
+    lambda s, p: one_sided(read(s, p, "proxy").where("id % 3 = 0"), F.col("label")))

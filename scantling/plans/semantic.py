@@ -218,6 +218,13 @@ add("a29_tile_cost", " SELECT seg_start, round(sum(c*CAST(4096*0.001+3 AS DOUBLE
     lambda s, p: read(s, p, "grid").groupBy("seg_start", "row_no", "col_no").agg(F.count_distinct("cluster").alias("c")).groupBy("seg_start").agg(F.round(F.sum(F.col("c") * (4096 * 0.001 + 3)), 6).alias("cost")))
 add("a31_densest_frame", ", z AS (SELECT CAST(floor((y1+y2)/2/200) AS BIGINT) AS row_no, CAST(floor((x1+x2)/2/300) AS BIGINT) AS col_no, t, sum((x2-x1)*(y2-y1)) AS area FROM v_roi GROUP BY ALL) SELECT row_no, col_no, t, area FROM (SELECT *, row_number() OVER (PARTITION BY row_no, col_no ORDER BY area DESC, t) AS rn FROM z) WHERE rn = 1", "roi")(
     lambda s, p: tiling.densest_frame(read(s, p, "roi"), 300, 200))
+add("a30_visible_cost", ", sp AS (SELECT * FROM (VALUES (0, 600), (3000, 3010)) AS t(since, until)), kp AS (SELECT * FROM v_grid WHERE EXISTS (SELECT 1 FROM sp WHERE seg_start < until AND seg_end > since)), gr AS (SELECT seg_start, row_no, CAST(floor(col_no/2) AS BIGINT) AS g, count(DISTINCT col_no) AS cells, count(DISTINCT cluster) AS clusters FROM kp GROUP BY ALL) SELECT seg_start, round(sum((cells*4096*CAST(0.001 AS DOUBLE)+3)*clusters),6) AS cost FROM gr GROUP BY seg_start", "grid")(
+    lambda s, p: tiling.visible_cost(read(s, p, "grid"), "seg_start", 2, F.col("cells") * 4096 * F.lit(0.001) + 3, spans=s.createDataFrame([(0, 600), (3000, 3010)], "since long, until long")))
+add("t10_valid_merges")(lambda s, p: s.createDataFrame([(n, mask, len(tiling.valid_merges(n, [bool(mask >> i & 1) for i in range(n)]))) for n in (2, 3, 4, 5) for mask in range(2**n)], "n int, mask int, merges int"))
+add("t11_hierarchical_layout", f", {GRIDS}, rw AS (SELECT seg_start, row_no, bool_or(has_roi) AS a FROM cat GROUP BY ALL), cl AS (SELECT seg_start, col_no, bool_or(has_roi) AS a FROM cat GROUP BY ALL), rn AS (SELECT seg_start, row_no, sum(n) OVER (PARTITION BY seg_start ORDER BY row_no) - 1 AS coarse_row FROM (SELECT *, CASE WHEN NOT a AND NOT coalesce(lag(a) OVER (PARTITION BY seg_start ORDER BY row_no), true) THEN 0 ELSE 1 END AS n FROM rw)), cn AS (SELECT seg_start, col_no, sum(n) OVER (PARTITION BY seg_start ORDER BY col_no) - 1 AS coarse_col FROM (SELECT *, CASE WHEN NOT a AND NOT coalesce(lag(a) OVER (PARTITION BY seg_start ORDER BY col_no), true) THEN 0 ELSE 1 END AS n FROM cl)) SELECT cat.seg_start, CAST(coarse_row AS BIGINT) AS coarse_row, CAST(coarse_col AS BIGINT) AS coarse_col, bool_or(has_roi) AS has_roi, coalesce(string_agg(row_no||'_'||col_no, ',' ORDER BY row_no||'_'||col_no) FILTER (WHERE has_roi), '') AS fine FROM cat JOIN rn USING (seg_start, row_no) JOIN cn USING (seg_start, col_no) GROUP BY cat.seg_start, coarse_row, coarse_col", "grid")(
+    lambda s, p: tiling.hierarchical_layout(catalog(s, p).drop("seg_end"), "seg_start").withColumn("fine", F.array_join("fine", ",")))
+add("t14_roi_pipeline")(lambda s, p: tiling.roi_pipeline(read(s, p, "roi"), "seg", 2000, 1000, F.col("x2") - F.col("x1") >= 20, least=64))
+add("t06_semantic_tiling")(lambda s, p: tiling.optimise_segments(clustered_cells(s, p), "seg_start", 1.4443e-05, 3.0, "best"))
 add("j10_tile_in_coarse", " SELECT seg_start, row_no, col_no, CAST(col_no // 2 AS INT) AS coarse FROM v_grid GROUP BY ALL", "grid")(lambda s, p: catalog(s, p).select("seg_start", "row_no", "col_no", F.floor(F.col("col_no") / 2).cast("int").alias("coarse")))
 add("snk03_coalesced_segments")(lambda s, p: tiling.coalesced_segments(catalog(s, p)))
 add("snk04_bitrate_by_area", " SELECT DISTINCT row_no, col_no, round(CAST(5000000 AS DOUBLE)*(64*(col_no+1)*64)/CAST(2000*1000 AS DOUBLE),6) AS bitrate FROM v_grid", "grid")(
@@ -237,6 +244,12 @@ def similar_tiles(s, p):
     return components(similar_pairs(s, p)).select(F.col("node").alias("tile_id"), "component")
 
 
+def clustered_cells(s, p):
+    """Cells of segments with the cluster that their tile's embedding falls in (a tile alike no other is its own)."""
+    cells = tiles(s, p).select((F.floor(F.col("t") / 10) * 10).alias("seg_start"), "tile_id", "row_no", "col_no")
+    return cells.join(similar_tiles(s, p), "tile_id", "left").withColumn("cluster", F.coalesce("component", "tile_id"))
+
+
 add("j09_similar_tiles", f" SELECT a.tile_id AS u, b.tile_id AS v FROM v_tile a JOIN v_tile b ON a.t // 10 = b.t // 10 AND a.tile_id < b.tile_id WHERE {COS} > CAST(0.2 AS DOUBLE)", "tile")(similar_pairs)
 QUERIES["t05_semantic_clusters"] = (QUERIES["t05_semantic_clusters"][0], f"{w('tile').replace('WITH v_tile', 'WITH RECURSIVE v_tile')}, pr AS (SELECT a.tile_id AS u, b.tile_id AS v FROM v_tile a JOIN v_tile b ON a.t // 10 = b.t // 10 AND a.tile_id < b.tile_id WHERE {COS} > CAST(0.2 AS DOUBLE)), bo AS (SELECT u, v FROM pr UNION SELECT v, u FROM pr), rc AS (SELECT u AS id, u AS r FROM bo UNION SELECT bo.v, rc.r FROM rc JOIN bo ON bo.u = rc.id) SELECT id AS tile_id, min(r) AS component FROM rc GROUP BY id")
 QUERIES["gr3_components"] = QUERIES["t05_semantic_clusters"]
