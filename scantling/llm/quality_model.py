@@ -63,6 +63,19 @@ def fold(word: bytes) -> bytes:
     return word.lower() if word.isascii() else word.decode("utf-8", "replace").lower().encode()
 
 
+#: Slots of words; behind them each step of a statistic has its own.
+WORD_SLOTS = 1 << SLOTS_LOG2
+STEPS = tuple((name, s) for name, steps in STATISTICS for s in steps)
+#: A text of more distinct words than this counts each for less, or the sum over a very long text would be noise.
+FULL_WORDS = 300
+
+
+def values_of(slots: np.ndarray) -> np.ndarray:
+    """What each of a text's features counts."""
+    words = slots < WORD_SLOTS
+    return np.where(words, min(1.0, FULL_WORDS / max(1, int(words.sum()))), 1.0)
+
+
 class Reader:
     """Statistics, votes and features of texts in UTF-8."""
 
@@ -110,14 +123,15 @@ class Reader:
         return sum((stats[name] >= least) << j for j, (name, least) in enumerate(LABELLERS)) if stats else -1
 
     def features(self, text: bytes) -> tuple[int, np.ndarray]:
-        """Votes and the slots of the features, in order without repeats."""
+        """Votes and the slots of the features: hashed words, in order without repeats, then steps of statistics."""
         stats, bare = self.read(text)
         if not stats:
             return -1, np.zeros(0, np.int32)
         votes = sum((stats[name] >= least) << j for j, (name, least) in enumerate(LABELLERS))
-        marks = [f"\0{name}>{s}".encode() for name, steps in STATISTICS for s in steps if stats[name] >= s]
-        hashes = np.fromiter(map(zlib.crc32, [*bare, *marks]), np.uint32)
-        return votes, np.unique((hashes * np.uint32(2654435761)) >> np.uint32(32 - SLOTS_LOG2)).astype(np.int32)
+        hashes = np.fromiter(map(zlib.crc32, bare), np.uint32)
+        words = np.unique((hashes * np.uint32(2654435761)) >> np.uint32(32 - SLOTS_LOG2)).astype(np.int32)
+        marks = [WORD_SLOTS + k for k, (name, s) in enumerate(STEPS) if stats[name] >= s]
+        return votes, np.concatenate([words, np.array(marks, np.int32)])
 
 
 @dataclass
@@ -164,22 +178,23 @@ def fit_scorer(slots: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS
 
     Slots in fewer than ``least`` texts keep weight 0: what a few texts have tells nothing of others.
     """
-    weights, bias = np.zeros(1 << SLOTS_LOG2, np.float32), 0.0
+    weights, bias = np.zeros(WORD_SLOTS + len(STEPS), np.float32), 0.0
     n = len(slots)
     if not n:
         return weights, bias
     lengths = np.array([len(s) for s in slots])
     flat = np.concatenate(slots) if lengths.sum() else np.zeros(0, np.int32)
     owner = np.repeat(np.arange(n), lengths)
-    frequent = np.bincount(flat, minlength=1 << SLOTS_LOG2) >= min(least, max(2, n // 50))
+    worth = np.concatenate([values_of(s) for s in slots])
+    frequent = np.bincount(flat, minlength=len(weights)) >= min(least, max(2, n // 50))
     used = frequent[flat]
     names, flat = np.unique(flat[used], return_inverse=True)
-    owner = owner[used]
+    owner, worth = owner[used], worth[used]
     w, g2, b, b2 = np.zeros(len(names)), np.full(len(names), 1e-6), math.log((labels.mean() + 1e-3) / (1 - labels.mean() + 1e-3)), 1e-6
     for _ in range(epochs * 4):
-        score = b + np.bincount(owner, w[flat], n)
+        score = b + np.bincount(owner, w[flat] * worth, n)
         error = 1 / (1 + np.exp(-np.clip(score, -30, 30))) - labels
-        grad = np.bincount(flat, error[owner], len(names)) / n + ridge * w
+        grad = np.bincount(flat, error[owner] * worth, len(names)) / n + ridge * w
         g2 += grad * grad
         w -= step * grad / np.sqrt(g2)
         top = error.mean()
@@ -202,7 +217,7 @@ class Classifier:
         for text in texts:
             v, slots = reader.features(text)
             votes.append(v)
-            score = self.bias + float(self.weights[slots].sum())
+            score = self.bias + float(self.weights[slots] @ values_of(slots))
             quality.append(0.0 if v < 0 else 1 / (1 + math.exp(min(50.0, max(-50.0, score)))))
         return quality, self.labels.posterior(np.array(votes, np.int64)).tolist()
 
