@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from scantling.functions import geometry
 from scantling.plans.base import Registry
 from scantling.sources import connectors as c
 from scantling.sources import views
@@ -51,6 +52,10 @@ add("src13_seek_or_skip", " SELECT t, tile_id, CASE WHEN t % 30 = 0 THEN 0 ELSE
 add("src15_tile_labels", " SELECT frame, line, string_agg(object_name, ',' ORDER BY object_name) AS names FROM v_det WHERE object_name IN ('A','N') GROUP BY frame, line", "det")(
     lambda s, p: read(s, p, "det").where(F.col("object_name").isin("A", "N")).groupBy("frame", "line").agg(F.array_join(F.sort_array(F.collect_list("object_name")), ",").alias("names")))
 add("src16_frame_rows", " SELECT frame, count(*) AS n, max(confidence) AS best FROM v_det WHERE object_name = 'R' GROUP BY frame", "det")(lambda s, p: read(s, p, "det").where("object_name = 'R'").groupBy("frame").agg(F.count("*").alias("n"), F.max("confidence").alias("best")))
+add("src17_named_detections", " SELECT frame, line, CASE object_name WHEN 'A' THEN 'car' ELSE 'bus' END AS name, confidence FROM v_det WHERE object_name IN ('A','N') AND confidence > CAST(0.4 AS DOUBLE)", "det")(
+    lambda s, p: c.name_detections(read(s, p, "det").withColumn("cname", F.when(F.col("object_name") == "A", 0).when(F.col("object_name") == "N", 1).otherwise(2)), {0: "car", 1: "bus", 2: "person"}, ["car", "bus"]).where("confidence > CAST(0.4 AS DOUBLE)").select("frame", "line", F.col("object_name").alias("name"), "confidence"))
+add("src30_normalised_tensor", " SELECT tile_id, round((CAST(embedding[1] AS DOUBLE)/255-CAST(0.5 AS DOUBLE))/CAST(0.25 AS DOUBLE),6) AS first, round((CAST(embedding[8] AS DOUBLE)/255-CAST(0.5 AS DOUBLE))/CAST(0.25 AS DOUBLE),6) AS last FROM v_tile", "tile")(
+    lambda s, p: read(s, p, "tile").select("tile_id", geometry.normalise(F.slice("embedding", 1, 8), 0.5, 0.25).alias("v")).select("tile_id", F.round(F.element_at("v", 1), 6).alias("first"), F.round(F.element_at("v", -1), 6).alias("last")))
 add("src21_presence_source", " SELECT tile_id AS id, round(1/(1+exp(CAST(embedding[1] AS DOUBLE)-CAST(embedding[2] AS DOUBLE))),6) AS proxy_score, CASE WHEN EXISTS (SELECT 1 FROM v_det WHERE frame = tile_id) THEN CAST(1 AS DOUBLE) ELSE 0 END AS label FROM v_tile", "tile", "det")(
     lambda s, p: c.presence_source(read(s, p, "det"), read(s, p, "tile").select(F.col("tile_id").alias("id"), F.transform(F.slice("embedding", 1, 2), lambda x: x.cast("double")).alias("logits"))).withColumn("proxy_score", F.round("proxy_score", 6)))
 add("src23_beta_source")(lambda s, p: c.beta_source(s, 10_000, 0.01, 2.0, noise=0.01))

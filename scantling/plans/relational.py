@@ -225,3 +225,26 @@ add("a23_sampling_bound", f"SELECT count(*) AS n, {BOUND.format("1")} AS upper,
     lambda s, p: bounds(read(s, p, "proxy").where("id % 3 = 0"), F.col("label"), 0.05))
 add("a24_one_sided", "SELECT round(m + 1.6448536269514722 * sqrt(m*(1-m)/n), 6) AS bernoulli_upper, round(m - 1.6448536269514722 * s / sqrt(n), 6) AS std_lower FROM (SELECT avg(label) AS m, stddev_samp(label) AS s, count(*) AS n FROM v_proxy WHERE id % 3 = 0)", "proxy")(
     lambda s, p: one_sided(read(s, p, "proxy").where("id % 3 = 0"), F.col("label")))
+
+
+# label filters, exclusions around accepted frames
+def _inter(r: tuple) -> str:
+    w_, h_ = f"(least(xmax,{r[2]})-greatest(xmin,{r[0]}))", f"(least(ymax,{r[3]})-greatest(ymin,{r[1]}))"
+    return f"(CASE WHEN {w_}>0 AND {h_}>0 THEN {w_}*{h_} ELSE 0 END)"
+
+
+AREA = "((xmax-xmin)*(ymax-ymin))"
+add("p09_label_filter", f"SELECT frame, line, confidence FROM v_det WHERE confidence > CAST(0.3 AS DOUBLE) AND object_name IN ('A','R') AND {_inter(VALID)}>0 AND {_inter(VALID)}/{AREA}>=CAST(0.25 AS DOUBLE) AND " + " AND ".join(f"NOT {_inter(b)}/{AREA}>CAST(0.6 AS DOUBLE)" for b in BANS), "det")(
+    lambda s, p: read(s, p, "det").where(predicates.confident(F.col("confidence"), F.col("object_name"), ["A", "R"], 0.3) & predicates.in_region(box(), valid(), bans())).select("frame", "line", "confidence"))
+add("j12_blacklist", "SELECT id FROM v_proxy a WHERE NOT EXISTS (SELECT 1 FROM v_proxy b WHERE b.label = 1 AND b.id % 5 = 0 AND a.id BETWEEN b.id - 7 AND b.id + 7)", "proxy")(
+    lambda s, p: d.dilate(read(s, p, "proxy").select("id", ((F.col("label") == 1) & (F.col("id") % 5 == 0)).alias("flag")), "id", "flag", 7).where("NOT near").select("id"))
+add("w08_running_estimates", f"SELECT place, round(mean, 6) AS mean, round(least_upper, 6) AS least_upper FROM (SELECT place, mean, min(mean + 3.0::DOUBLE/sqrt(place)) OVER (ORDER BY place) AS least_upper FROM (SELECT row_number() OVER x AS place, avg(label) OVER x AS mean FROM v_proxy WINDOW x AS (ORDER BY {HASH.format('id')}, id))) WHERE place <= 500", "proxy")(
+    lambda s, p: running_estimates(s, p))
+
+
+def running_estimates(s, p, rows: int = 500):
+    """Running mean and the least upper bound so far over the first rows of a sample: a bounded window."""
+    w_ = Window.orderBy(d.hash_order(F.col("id")), "id")
+    first = d.first_by_hash(read(s, p, "proxy"), "id", rows).select(F.row_number().over(w_).alias("place"), F.avg("label").over(w_.rowsBetween(Window.unboundedPreceding, 0)).alias("mean"))
+    upper = F.min(F.col("mean") + F.lit(3.0) / F.sqrt("place")).over(Window.orderBy("place"))
+    return first.select("place", F.round("mean", 6).alias("mean"), F.round(upper, 6).alias("least_upper"))

@@ -25,8 +25,12 @@ def read_detections(spark: SparkSession, path: str, classes: list[str] | None =
 
 def read_raw_detections(spark: SparkSession, path: str, names: dict[int, str], wanted: list[str]) -> DataFrame:
     """Columnar detections by class id, named by a small dimension, restricted to wanted names."""
+    return name_detections(spark.read.parquet(path), names, wanted)
+
+
+def name_detections(df: DataFrame, names: dict[int, str], wanted: list[str]) -> DataFrame:
     name = F.create_map(*[F.lit(x) for k, v in names.items() for x in (k, v)])[F.col("cname")]
-    return spark.read.parquet(path).withColumn("object_name", name).where(F.col("object_name").isin(wanted))
+    return df.withColumn("object_name", name).where(F.col("object_name").isin(wanted))
 
 
 def read_tile_labels(spark: SparkSession, path: str, schema: str, classes: list[str]) -> DataFrame:
