@@ -102,9 +102,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """Rows of ``docs``, all columns kept, each as often as the mix takes it. Rows that repeat an id must not differ in source."""
-    chosen = mix(docs, id_col, text_col, source_col, **options).select(F.col("id").alias("__id"), "copies").distinct().where("copies > 0")
+    chosen = mix(docs, id_col, text_col, source_col, **options).where("copies > 0").select(F.col("id").alias("__id"), F.col("copies").alias("__copies")).distinct()
     joined = docs.join(chosen, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 ORACLE_SQL = rf"""

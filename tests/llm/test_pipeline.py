@@ -2,9 +2,11 @@
 
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 
 from scantling.llm import mixing
 from scantling.llm.util import materialize
+from tests.llm.test_llm import ODD
 
 
 def test_stages_in_order():
@@ -30,3 +32,18 @@ def test_run(spark, sf):
 def test_empty_documents(spark, sf, k):
     docs = spark.read.parquet(f"{sf}/documents.parquet").where("false")
     assert corpus_pipeline.STAGES[k][1](spark, docs, sf).count() == 0
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_odd_documents(spark, sf, k):
+    """Nulls in every column, repeated rows and ids, a very long text, and columns named like those that stages make."""
+    docs = spark.createDataFrame([(*row, None) for row in ODD], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({c: F.lit(1) for c in ("id", "copies", "size", "rank", "fp", "kept", "quality", "component_id")})
+    name, stage = corpus_pipeline.STAGES[k]
+    got = materialize(stage(spark, docs, sf), f"odd-{name}")
+    if k < 4:
+        assert got.columns == docs.columns
+    if name == "near_dedup":
+        assert got.count() == len(ODD) - 3  # two empty texts of one group, and the copy of document 5
+    if name == "encoding":
+        assert got.count() == len(ODD)
