@@ -190,7 +190,7 @@ add("p19_close_positions", """SELECT n1.frame, n1.n = n2.n AND coalesce(x.far, 0
 # windows, limits, samples, sets
 add("w01_rank", "SELECT id, row_number() OVER (ORDER BY proxy_score DESC, id) AS rank FROM v_proxy", "proxy")(
     lambda s, p: ranked(read(s, p, "proxy"), "proxy_score", "id").select("id", (F.col("rank") + 1).alias("rank")))
-add("w02_rank_in_frame", "SELECT t, tile_id, row_number() OVER (PARTITION BY t ORDER BY truth DESC, tile_id) AS rank FROM v_tile", "tile")(
+add("w02_rank_in_frame", "SELECT t, tile_id, CAST(row_number() OVER (PARTITION BY t ORDER BY truth DESC, tile_id) AS INT) AS rank FROM v_tile", "tile")(
     lambda s, p: read(s, p, "tile").select("t", "tile_id", F.row_number().over(Window.partitionBy("t").orderBy(F.desc("truth"), "tile_id")).alias("rank")))
 add("w06_dilate", "SELECT id, EXISTS (SELECT 1 FROM v_proxy b WHERE b.proxy_score > CAST(0.9 AS DOUBLE) AND b.id BETWEEN a.id - 10 AND a.id + 10) AS near FROM v_proxy a", "proxy")(
     lambda s, p: d.dilate(read(s, p, "proxy").select("id", (F.col("proxy_score") > 0.9).alias("flag")), "id", "flag"))
@@ -201,7 +201,7 @@ add("w07_thresholds_two_sided", f"SELECT max(cut) FILTER (WHERE missed <= ps * C
     lambda s, p: d.thresholds_two_sided(read(s, p, "proxy"), "proxy_score", F.col("label") == 1, 0.05, 0.05))
 add("w09_runs", "SELECT label, min(id) AS first, max(id) AS last, count(*) AS n FROM (SELECT id, label, id - row_number() OVER (PARTITION BY label ORDER BY id) AS island FROM v_proxy) GROUP BY label, island", "proxy")(
     lambda s, p: d.runs(read(s, p, "proxy"), "id", ["label"]))
-add("w10_changes", "SELECT g, part, min(id) AS first, max(id) AS last, any_value(label) AS label, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY g ORDER BY id) AS part FROM (SELECT id, label, id // 1000 AS g, CASE WHEN lag(label) OVER (PARTITION BY id // 1000 ORDER BY id) = label THEN 0 ELSE 1 END AS new FROM v_proxy)) GROUP BY g, part", "proxy")(
+add("w10_changes", "SELECT g, part, min(id) AS first, max(id) AS last, any_value(label) AS label, count(*) AS n FROM (SELECT *, CAST(sum(new) OVER (PARTITION BY g ORDER BY id) AS BIGINT) AS part FROM (SELECT id, label, id // 1000 AS g, CASE WHEN lag(label) OVER (PARTITION BY id // 1000 ORDER BY id) = label THEN 0 ELSE 1 END AS new FROM v_proxy)) GROUP BY g, part", "proxy")(
     lambda s, p: d.changes(read(s, p, "proxy").withColumn("g", F.floor(F.col("id") / 1000)), "id", "label", ["g"]))
 add("w12_repeat_frames", "SELECT tile_id, truth, tile_id * 3 + unnest([0, 1, 2]) AS out_frame FROM v_tile", "tile")(lambda s, p: d.repeat_frames(read(s, p, "tile").select("tile_id", "truth"), "tile_id", 3))
 add("snk09_interleave", "SELECT tile_id, tile_id * 2 + unnest([0, 1]) AS out_frame FROM v_tile", "tile")(lambda s, p: d.repeat_frames(read(s, p, "tile").select("tile_id"), "tile_id", 2))
@@ -238,7 +238,7 @@ add("p09_label_filter", f"SELECT frame, line, confidence FROM v_det WHERE confid
     lambda s, p: read(s, p, "det").where(predicates.confident(F.col("confidence"), F.col("object_name"), ["A", "R"], 0.3) & predicates.in_region(box(), valid(), bans())).select("frame", "line", "confidence"))
 add("j12_blacklist", "SELECT id FROM v_proxy a WHERE NOT EXISTS (SELECT 1 FROM v_proxy b WHERE b.label = 1 AND b.id % 5 = 0 AND a.id BETWEEN b.id - 7 AND b.id + 7)", "proxy")(
     lambda s, p: d.dilate(read(s, p, "proxy").select("id", ((F.col("label") == 1) & (F.col("id") % 5 == 0)).alias("flag")), "id", "flag", 7).where("NOT near").select("id"))
-add("w08_running_estimates", f"SELECT place, round(mean, 6) AS mean, round(least_upper, 6) AS least_upper FROM (SELECT place, mean, min(mean + 3.0::DOUBLE/sqrt(place)) OVER (ORDER BY place) AS least_upper FROM (SELECT row_number() OVER x AS place, avg(label) OVER x AS mean FROM v_proxy WINDOW x AS (ORDER BY {HASH.format('id')}, id))) WHERE place <= 500", "proxy")(
+add("w08_running_estimates", f"SELECT CAST(place AS INT) AS place, round(mean, 6) AS mean, round(least_upper, 6) AS least_upper FROM (SELECT place, mean, min(mean + 3.0::DOUBLE/sqrt(place)) OVER (ORDER BY place) AS least_upper FROM (SELECT row_number() OVER x AS place, avg(label) OVER x AS mean FROM v_proxy WINDOW x AS (ORDER BY {HASH.format('id')}, id))) WHERE place <= 500", "proxy")(
     lambda s, p: running_estimates(s, p))
 
 

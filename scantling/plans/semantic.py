@@ -24,7 +24,7 @@ def add(name: str, sql: str | None = None, *need: str):
 # index -------------------------------------------------------------------------------------------------------------------------
 L2 = "sqrt(list_sum(list_transform(range(1,65), lambda i: pow(CAST(a.embedding[i] AS DOUBLE)-CAST(b.embedding[i] AS DOUBLE),2))))"
 TOPK = f""", dist AS (SELECT a.tile_id, b.tile_id AS rep_id, {L2} AS dist FROM v_tile a, v_tile b WHERE b.tile_id % 10 = 0),
-topk AS (SELECT tile_id, rep_id, dist, row_number() OVER (PARTITION BY tile_id ORDER BY dist, rep_id) AS rank FROM dist QUALIFY rank <= 5)"""
+topk AS (SELECT tile_id, rep_id, dist, CAST(row_number() OVER (PARTITION BY tile_id ORDER BY dist, rep_id) AS INT) AS rank FROM dist QUALIFY rank <= 5)"""
 SCORE = f"""{TOPK}, pred AS (SELECT k.tile_id, (sum(dist)*sum(truth)-sum(truth*dist))/((count(*)-1)*sum(dist)) AS score FROM topk k JOIN v_tile r ON k.rep_id = r.tile_id GROUP BY k.tile_id)"""
 
 
@@ -54,7 +54,7 @@ add("a02_frame_scores", f"{SCORE} SELECT t, round(sum(score),6) AS score FROM pr
 add("a03_best_in_frame", f"{SCORE} SELECT t, tile_id, round(score,6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY score DESC, tile_id) AS rn FROM pred JOIN v_tile USING (tile_id) WHERE score > -1) WHERE rn = 1", "tile")(
     lambda s, p: index.best_in_frame(scored(s, p), "t", F.col("proxy")).select("t", "tile_id", F.round("score", 6).alias("score")))
 add("i02_crack", f""", dist AS (SELECT a.tile_id, b.tile_id AS rep_id, {L2} AS dist FROM v_tile a, v_tile b WHERE b.tile_id % 10 = 0 OR b.tile_id % 7 = 3),
-topk AS (SELECT tile_id, rep_id, dist, row_number() OVER (PARTITION BY tile_id ORDER BY dist, rep_id) AS rank FROM dist QUALIFY rank <= 3) SELECT tile_id, rank, rep_id, round(dist,6) AS dist FROM topk""", "tile")(
+topk AS (SELECT tile_id, rep_id, dist, CAST(row_number() OVER (PARTITION BY tile_id ORDER BY dist, rep_id) AS INT) AS rank FROM dist QUALIFY rank <= 3) SELECT tile_id, rank, rep_id, round(dist,6) AS dist FROM topk""", "tile")(
     lambda s, p: index.crack(tiles(s, p), tiles(s, p).where("tile_id % 10 = 0 OR tile_id % 7 = 3"), 3).select("tile_id", "rank", "rep_id", F.round("dist", 6).alias("dist")))
 FPF_N = 8
 STEPS = [f"r0 AS (SELECT tile_id AS rep_id, embedding FROM v_tile ORDER BY {HASH.format('tile_id')}, tile_id LIMIT 1)", f"s0 AS (SELECT 0 AS place, tile_id AS rep_id FROM v_tile ORDER BY {HASH.format('tile_id')}, tile_id LIMIT 1)",
