@@ -128,7 +128,6 @@ QUERIES.add("j07_anti_skip", f"{w('roi')}, {SKIP} SELECT roi_id FROM v_roi WHERE
     lambda s, p: read(s, p, "roi").where(~g.any_of([g.overlap(g.rect("x1", "y1", "x2", "y2"), b).isNotNull() for b in bans()])).select("roi_id"))
 QUERIES.add("j08_cells_with_roi", f"{w('roi')} SELECT DISTINCT seg, CAST(floor((y1+y2)/2/200) AS BIGINT) AS row_no, CAST(floor((x1+x2)/2/300) AS BIGINT) AS col_no FROM v_roi")(
     lambda s, p: read(s, p, "roi").select("seg", F.floor((F.col("y1") + F.col("y2")) / 2 / 200).alias("row_no"), F.floor((F.col("x1") + F.col("x2")) / 2 / 300).alias("col_no")).distinct())
-DIM = {"A": 0, "N": 1, "R": 2}
 QUERIES.add("j14_class_names", f"{w('det')}, names AS (SELECT * FROM (VALUES (0,'car'),(1,'bus'),(2,'person')) AS t(id, name)) SELECT frame, line, name FROM v_det JOIN names ON id = CASE object_name WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END")(
     lambda s, p: read(s, p, "det").select("frame", "line", F.create_map(*[F.lit(x) for k, v in (("A", "car"), ("N", "bus"), ("R", "person")) for x in (k, v)])[F.col("object_name")].alias("name")))
 add("j05_workload_tiles", "SELECT workload_id, t, tile_id, count(*) AS n FROM v_workload JOIN v_tile USING (t) GROUP BY ALL", "workload", "tile")(

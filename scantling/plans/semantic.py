@@ -65,7 +65,7 @@ for k in range(2, FPF_N):
     STEPS.append(f"m{k} AS (SELECT a.tile_id, a.embedding, least(a.m, {L2}) AS m FROM m{k - 1} a, r{k} b)")
 FPF = ", " + ", ".join(STEPS) + " SELECT place, rep_id FROM s0 UNION ALL SELECT 1, rep_id FROM q1 " + " ".join(f"UNION ALL SELECT {k}, rep_id FROM r{k}" for k in range(2, FPF_N))
 add("i01_farthest_first", FPF, "tile")(lambda s, p: index.farthest_first(tiles(s, p), FPF_N))
-add("i03_mining", FPF.replace("SELECT place, rep_id", "SELECT place, rep_id"), "tile")(lambda s, p: index.farthest_first(tiles(s, p), FPF_N, in_one=0))
+add("i03_mining", FPF, "tile")(lambda s, p: index.farthest_first(tiles(s, p), FPF_N, in_one=0))
 add("i06_index_tables", None)(lambda s, p: (lambda t, r: index.nearest(t, t.join(r.select(F.col("rep_id").alias("tile_id")), "tile_id", "left_semi"), 3))(tiles(s, p), index.farthest_first(tiles(s, p), 16)))
 add("i07_label_misses", " SELECT tile_id FROM v_tile WHERE tile_id % 10 = 0 AND NOT tile_id % 4 = 0", "tile")(lambda s, p: index.label_misses(tiles(s, p).where("tile_id % 10 = 0"), tiles(s, p).where("tile_id % 4 = 0")).select("tile_id"))
 add("i04_triplet_loss", " SELECT a.tile_id, round(greatest(list_sum(list_transform(range(1,65), lambda i: pow(CAST(a.embedding[i] AS DOUBLE)-CAST(b.embedding[i] AS DOUBLE),2)-pow(CAST(a.embedding[i] AS DOUBLE)-CAST(c.embedding[i] AS DOUBLE),2)))+CAST(0.5 AS DOUBLE),0),4) AS loss FROM v_tile a JOIN v_tile b ON b.tile_id = a.tile_id + 1 JOIN v_tile c ON c.tile_id = a.tile_id + 2", "tile")(
@@ -124,7 +124,6 @@ add("a09_selection_quality", " SELECT round(count(*) FILTER (WHERE s AND label=1
     lambda s, p: selection.quality_of(read(s, p, "proxy"), read(s, p, "proxy").where("proxy_score > CAST(0.7 AS DOUBLE)").select("id")))
 add("a10_trial_summary")(lambda s, p: selection.summarise(selection.run_trials(read(s, p, "proxy").where("id < 2000"), "recall_sqrt", selection.Target(budget=300), 3)))
 add("as11_trials")(lambda s, p: selection.run_trials(read(s, p, "proxy").where("id < 2000"), "precision_naive", selection.Target(budget=300), 3))
-FRAME_PROXY = f"{SCORE}, ranked AS (SELECT t, tile_id, score, truth, row_number() OVER (PARTITION BY t ORDER BY score DESC, tile_id) AS rn FROM pred JOIN v_tile USING (tile_id))"
 
 
 def frame_proxy(s, p):
@@ -163,9 +162,8 @@ add("tq3_subframe_query", " SELECT CAST(sum(seg_end-seg_start) AS BIGINT) AS til
     lambda s, p: limits.subframe_query(read(s, p, "grid"), F.col("cluster").isin(1, 3), F.lit(64), F.lit(64), F.col("seg_end") - F.col("seg_start")))
 QUERIES["p12_info_filter"] = (lambda s, p: read(s, p, "grid").where(F.arrays_overlap(F.array("cluster"), F.array(F.lit(1), F.lit(3)))).select("seg_start", "row_no", "col_no", "cluster"), f"{w('grid')} SELECT seg_start, row_no, col_no, cluster FROM v_grid WHERE cluster IN (1, 3)")
 
-ROWS = "(frame * 10 + line)"
 GR1 = f", l AS ({LINK}), ed AS (SELECT frame_a*10+line_a AS u, frame_b*10+line_b AS v FROM l), both_ AS (SELECT u, v FROM ed UNION SELECT v, u FROM ed), nodes AS (SELECT DISTINCT frame*10+line AS id FROM v_track)"
-GR1 = GR1.replace(", l AS", ", RECURSIVE_MARK l AS", 1).replace("RECURSIVE_MARK ", "") + """, reach AS (SELECT id, id AS r FROM nodes UNION SELECT b.v, reach.r FROM reach JOIN both_ b ON b.u = reach.id AND reach.r < b.v),
+GR1 += """, reach AS (SELECT id, id AS r FROM nodes UNION SELECT b.v, reach.r FROM reach JOIN both_ b ON b.u = reach.id AND reach.r < b.v),
 comp AS (SELECT id, min(r) AS track FROM reach GROUP BY id), best AS (SELECT track, max(confidence) AS c FROM comp JOIN v_track ON frame*10+line = id GROUP BY track)
 SELECT id AS row_id, CAST(dense_rank() OVER (ORDER BY track) - 1 AS BIGINT) AS ind FROM comp JOIN best USING (track) WHERE c > CAST(0.1 AS DOUBLE)"""
 
@@ -183,7 +181,6 @@ TRI = [(0.0, 0.0), (1500.0, 0.0), (0.0, 900.0)]
 add("g37_polygon_clip")(lambda s, p: tracks.polygon_shares(read(s, p, "det"), ["frame", "line", "xmin", "ymin"], [TRI, [(400.0, 300.0), (1200.0, 300.0), (1200.0, 800.0), (400.0, 800.0)]]))
 
 # tiling and the catalog -------------------------------------------------------------------------------------------------------
-ROI = ["seg", "t", "roi_id", "x1", "y1", "x2", "y2"]
 add("t02_merge_regions")(lambda s, p: tiling.merge_regions(read(s, p, "roi"), ["seg", "t"]))
 add("t02_merge_regions_near")(lambda s, p: tiling.merge_regions(read(s, p, "roi"), ["seg", "t"], tiling.near_centres(2.0)))
 add("t03_layouts")(lambda s, p: tiling.generate_layouts(read(s, p, "roi"), "seg", 2000, 1000))
