@@ -24,7 +24,6 @@ from scantling.llm.util import map_columns
 BLOCK, RATE, PARTS_LOG2 = 1024, 8000, 2
 #: Code of a block's size in a frame's header: 1024 has its own, other sizes follow the header in 16 bits.
 SIZE_CODE = {1024: 10}
-ESCAPE = 15
 
 
 @lru_cache(maxsize=1)
