@@ -79,7 +79,7 @@ def word_pattern(below: int = sys.maxunicode + 1) -> re.Pattern:
 class Bpe:
     """Encodes and decodes with the vocabulary and merges of a tokenizer file."""
 
-    def __init__(self, path: str, table_words: int = 500_000):
+    def __init__(self, path: str, table_words: int = 200_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]

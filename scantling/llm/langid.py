@@ -206,7 +206,7 @@ def keep_identified(docs: DataFrame, least_score: float = 0.5, id_col: str = "do
     def run(batches):
         import pyarrow as pa
 
-        from scantling.llm.util import slices, texts_of
+        from scantling.llm.util import give_back, slices, texts_of
 
         for batch in batches:
             texts = texts_of(batch.column(at))
@@ -214,5 +214,7 @@ def keep_identified(docs: DataFrame, least_score: float = 0.5, id_col: str = "do
             for a, b in slices([len(t) for t in texts], 1 << 19):
                 keep += [lang != UNKNOWN and score >= least_score for lang, score, _ in shared.value.predict(texts[a:b])]
             yield batch.filter(pa.array(keep, pa.bool_()))
+        batch = texts = None
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scantling.llm.quality_rules import repeated_words
-from scantling.llm.util import drop_materialized, map_columns, materialize, slices, texts_of
+from scantling.llm.util import drop_materialized, give_back, map_columns, materialize, slices, texts_of
 
 #: Insults that a labeller looks for, lower case.
 INSULTS = frozenset(
@@ -306,5 +306,7 @@ def keep_good(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "d
             for a, b in slices([len(t) for t in texts], 4 << 20):
                 keep += [q >= threshold for q in shared.value.score(texts[a:b])[0]]
             yield batch.filter(pa.array(keep, pa.bool_()))
+        batch = texts = None
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,7 +13,7 @@ from pyspark.sql import types as T
 
 from scantling.sources.shared import drop_materialized, materialize
 
-__all__ = ["WORD_PATTERN", "drop_materialized", "map_columns", "materialize", "slices", "table", "texts_of"]
+__all__ = ["WORD_PATTERN", "drop_materialized", "give_back", "map_columns", "materialize", "slices", "table", "texts_of"]
 
 #: Bytes that part words: space and the characters 9 to 13. ``bytes.split()`` parts at exactly these.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -27,6 +29,16 @@ def texts_of(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def give_back() -> None:
+    """Return freed memory to the system at the end of a task: workers are kept for later tasks and share an executor's memory."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def slices(lengths: list[int], most: int) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about ``most`` bytes together (at least a row each): bounds what one step holds in memory."""
     start = held = 0
@@ -62,5 +74,7 @@ def map_columns(
                 held = [batch.column(i).slice(a, b - a).cast(arrow.field(i).type) for i in range(len(keys))]
                 made_columns = [pa.array(made[f.name], arrow.field(f.name).type) for f in schema.fields]
                 yield pa.RecordBatch.from_arrays([*held, *made_columns], schema=arrow)
+        batch = texts = made = held = made_columns = None
+        give_back()
 
     return frame.mapInArrow(run, out)
