@@ -169,8 +169,10 @@ SELECT id AS row_id, CAST(dense_rank() OVER (ORDER BY track) - 1 AS BIGINT) AS i
 
 
 def numbered(s, p):
-    one = F.count("*").over(Window.partitionBy("frame", "line"))
-    return read(s, p, "track").where("frame < 400").withColumn("c", one).where("c = 1").drop("c").withColumn("row_id", F.col("frame") * 10 + F.col("line"))
+    """Every detection with a number in order of frame and line; those that repeat both go by their other columns."""
+    rows = read(s, p, "track")
+    again = F.row_number().over(Window.partitionBy("frame", "line").orderBy(*[c for c in rows.columns if c not in ("frame", "line")]))
+    return rows.withColumn("row_id", (F.col("frame") * 10 + F.col("line")) * 2**20 + again - 1)
 
 
 QUERIES.add("gr1_build_tracks", w("track").replace("WITH v_track AS", "WITH RECURSIVE v_all AS") + ", v_track AS (SELECT * FROM v_all WHERE frame < 400 QUALIFY count(*) OVER (PARTITION BY frame, line) = 1)" + GR1)(lambda s, p: tracks.build_tracks(numbered(s, p), "row_id"))
