@@ -1,5 +1,9 @@
 """Queries over their whole tables, against brute force or SQL without a cut."""
 
+from collections import Counter
+
+import pytest
+
 from scantling.plans import registry
 from scantling.sources import views
 
@@ -37,3 +41,23 @@ def test_tracks_of_all_detections(spark, sf):
     got = QUERIES["gr1_build_tracks"](spark, sf).collect()
     assert len({r["row_id"] for r in got}) == len(got)
     assert [(r["row_id"] >> 20, r["ind"]) for r in sorted(got)] == want
+
+
+@pytest.fixture(scope="module")
+def far(tmp_path_factory, spark):
+    """A table whose last frame is far beyond 2000."""
+    at = tmp_path_factory.mktemp("far")
+    rows = [(f, n) for f in (0, 0, 3, 1999, 2001, 2500, 2500, 2500, 2500, 3100) for n in (1,)]
+    lines = spark.createDataFrame(rows, "l_orderkey long, l_linenumber int").selectExpr("*", "1L AS l_partkey", "1L AS l_suppkey", "1.0D AS l_quantity", "'A' AS l_returnflag")
+    lines.write.parquet(f"{at}/lineitem.parquet")
+    lines.where("false").write.parquet(f"{at}/none/lineitem.parquet")
+    return str(at)
+
+
+@pytest.mark.parametrize("name, value", [("a11_dense_counts", lambda n: n), ("j16_dense_zero_fill", lambda n: n), ("a12_presence", lambda n: min(n, 1)), ("a13_clipped_count", lambda n: min(n, 3))])
+def test_dense_to_the_last_frame(spark, far, name, value):
+    n = Counter({0: 2, 3: 1, 1999: 1, 2001: 1, 2500: 4, 3100: 1})
+    want = {f: value(n[f]) for f in range(3101) if name != "j16_dense_zero_fill" or not n[f]}
+    got = QUERIES[name](spark, far).collect()
+    assert len(got) == len(want) and dict(map(tuple, got)) == want
+    assert QUERIES[name](spark, f"{far}/none").count() == 0
