@@ -115,15 +115,15 @@ add("src28_positive_filter", " SELECT id FROM v_proxy JOIN (SELECT unnest([1,2,2
     lambda s, p: s.createDataFrame([(i,) for i in (1, 2, 2, 3, 5, 8, 8, 13, 21, 34, 55, 89)], "id long").join(read(s, p, "proxy").where("label = 1"), "id", "left_semi"))
 add("src24_drop_positives", f" SELECT row_number() OVER (ORDER BY id) - 1 AS new_id, id FROM v_proxy WHERE NOT (label = 1 AND {HASH.format('id')} < {2**31})", "proxy")(
     lambda s, p: tracks.dense_numbers(read(s, p, "proxy").where(~((F.col("label") == 1) & (d.hash_order(F.col("id")) < 2**31))).select("id"), "id").select(F.col("ind").alias("new_id"), "id"))
-add("src20_proxy_source", " SELECT id, proxy_score, CAST(label AS DOUBLE) AS label FROM v_proxy WHERE id < 100", "proxy")(lambda s, p: read(s, p, "proxy").where("id < 100").select("id", "proxy_score", F.col("label").cast("double").alias("label")))
+add("src20_proxy_source", " SELECT id, proxy_score, CAST(label AS DOUBLE) AS label FROM v_proxy WHERE id < 100", "proxy")(lambda s, p: read(s, p, "proxy").select("id", "proxy_score", F.col("label").cast("double").alias("label")))
 TARGET = selection.Target(precision=0.8, recall=0.9, delta=0.05, budget=1000)
 for k, (name, _) in enumerate(selection.SELECTORS.items()):
     add(f"as{k + 2:02d}_{name}")(lambda s, p, name=name: selection.quality_of(read(s, p, "proxy"), selection.SELECTORS[name](read(s, p, "proxy"), TARGET, 7)))
 add("as08_joint_selector")(lambda s, p: selection.quality_of(read(s, p, "proxy"), selection.select_both(read(s, p, "proxy"), TARGET)[0]))
 add("a09_selection_quality", " SELECT round(count(*) FILTER (WHERE s AND label=1)*1.0::DOUBLE/count(*) FILTER (WHERE s),6) AS \"precision\", round(count(*) FILTER (WHERE s AND label=1)*1.0::DOUBLE/sum(label),6) AS recall, count(*) FILTER (WHERE s) AS size, CAST(sum(label) AS BIGINT) AS n_true FROM (SELECT label, proxy_score > CAST(0.7 AS DOUBLE) AS s FROM v_proxy)", "proxy")(
     lambda s, p: selection.quality_of(read(s, p, "proxy"), read(s, p, "proxy").where("proxy_score > CAST(0.7 AS DOUBLE)").select("id")))
-add("a10_trial_summary")(lambda s, p: selection.summarise(selection.run_trials(read(s, p, "proxy").where("id < 2000"), "recall_sqrt", selection.Target(budget=300), 3)))
-add("as11_trials")(lambda s, p: selection.run_trials(read(s, p, "proxy").where("id < 2000"), "precision_naive", selection.Target(budget=300), 3))
+add("a10_trial_summary")(lambda s, p: selection.summarise(selection.run_trials(read(s, p, "proxy"), "recall_sqrt", selection.Target(budget=300), 3)))
+add("as11_trials")(lambda s, p: selection.run_trials(read(s, p, "proxy"), "precision_naive", selection.Target(budget=300), 3))
 
 
 def frame_proxy(s, p):
@@ -210,7 +210,7 @@ add("meta05_roi_positions", f", {GRIDS} SELECT seg_start, row_no, col_no FROM ca
 add("meta06_tile_lookup", f", {GRIDS} SELECT row_no, col_no, has_roi FROM cat WHERE seg_start = 300", "grid")(lambda s, p: catalog(s, p).where("seg_start = 300").select("row_no", "col_no", "has_roi"))
 add("meta08_segment_of_frame", " SELECT id, CAST(floor(id/30) AS BIGINT)*30 AS seg_start FROM v_proxy", "proxy")(lambda s, p: tiling.segment_of(read(s, p, "proxy").select("id"), "id", 30))
 add("meta07_fill_grid", ", k AS (SELECT DISTINCT seg, x1, y1, x2, y2 FROM v_roi WHERE roi_id % 30 = 0), cx AS (SELECT DISTINCT seg, x FROM (SELECT seg, x1 AS x FROM k UNION ALL SELECT seg, x2 FROM k)), cy AS (SELECT DISTINCT seg, y FROM (SELECT seg, y1 AS y FROM k UNION ALL SELECT seg, y2 FROM k)), bx AS (SELECT seg, row_number() OVER w - 1 AS col_no, x AS x1, lead(x) OVER w AS x2 FROM cx WINDOW w AS (PARTITION BY seg ORDER BY x)), by_ AS (SELECT seg, row_number() OVER w - 1 AS row_no, y AS y1, lead(y) OVER w AS y2 FROM cy WINDOW w AS (PARTITION BY seg ORDER BY y)) SELECT bx.seg, CAST(row_no AS INT) AS row_no, CAST(col_no AS INT) AS col_no, bx.x1, by_.y1, bx.x2, by_.y2, k.seg IS NOT NULL AS known FROM bx JOIN by_ ON bx.seg = by_.seg LEFT JOIN k ON k.seg = bx.seg AND k.x1 = bx.x1 AND k.x2 = bx.x2 AND k.y1 = by_.y1 AND k.y2 = by_.y2 WHERE bx.x2 IS NOT NULL AND by_.y2 IS NOT NULL", "roi")(
-    lambda s, p: tiling.fill_grid(read(s, p, "roi").where("roi_id % 30 = 0"), "seg"))
+    lambda s, p: tiling.fill_grid(read(s, p, "roi"), "seg"))
 add("meta09_keys", " SELECT DISTINCT row_no || '_' || col_no AS key, seg_start || '_' || seg_end AS seg FROM v_grid", "grid")(lambda s, p: read(s, p, "grid").select(F.concat_ws("_", "row_no", "col_no").alias("key"), F.concat_ws("_", "seg_start", "seg_end").alias("seg")).distinct())
 add("a28_subframe_area", " SELECT seg_start, CAST(sum(4096) AS BIGINT) AS area, count(*) AS n FROM v_grid WHERE has_roi GROUP BY seg_start", "grid")(lambda s, p: read(s, p, "grid").where("has_roi").groupBy("seg_start").agg(F.sum(F.lit(4096)).alias("area"), F.count("*").alias("n")))
 add("a29_tile_cost", " SELECT seg_start, round(sum(c*CAST(4096*0.001+3 AS DOUBLE)),6) AS cost FROM (SELECT seg_start, row_no, col_no, count(DISTINCT cluster) AS c FROM v_grid GROUP BY ALL) GROUP BY seg_start", "grid")(
