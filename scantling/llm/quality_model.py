@@ -6,7 +6,8 @@ and on good ones; a pattern's posterior is its documents' weak label. A linear s
 text, and its statistics in steps) is trained on the posteriors of a bounded sample and scores every document.
 
 At most 2 ** labellers patterns exist, so their counts fit in the driver however many rows there are. The scorer is fitted on
-about ``fit_rows`` rows, chosen by a hash of the id, with their whole texts.
+about ``fit_rows`` rows, chosen by a hash of the id, with their whole texts, and on up to about ``STRATUM`` rows of each pattern
+that has fewer among them: a rare kind of bad text has its part at every size of the corpus.
 
 One pair of labellers looks for insults. To a short list of them come, where rows labelled toxic are at hand, the words that such
 rows have far more often than others do; they are learned from about ``lexicon_rows`` labelled rows, near copies counted once. Labels
@@ -38,7 +39,7 @@ INSULTS = frozenset(
         "moron", "morons", "pathetic", "retard", "scum", "scumbag", "stupid", "subhuman", "trash", "vermin", "worthless",
     )
 )
-SLOTS_LOG2, FIT_ROWS, LEXICON_ROWS, LEAST_FREQUENCY, EPOCHS, THRESHOLD = 18, 8000, 20_000, 40, 30, 0.5
+SLOTS_LOG2, FIT_ROWS, LEXICON_ROWS, LEAST_FREQUENCY, STRATUM, EPOCHS, THRESHOLD = 18, 8000, 20_000, 40, 64, 30, 0.5
 STRIP = b".,;:!?\"'()[]{}<>|#*$%&"
 MARKS = b"!%$#&*"
 SYMBOLS = b"#*$%&|<>"
@@ -173,31 +174,50 @@ def fit_labels(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, prio
     return model
 
 
-def fit_scorer(slots: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, least: int = LEAST_FREQUENCY, ridge: float = 1e-3, step: float = 0.5) -> tuple[np.ndarray, float]:
+def least_count(n: int, least: int = LEAST_FREQUENCY) -> int:
+    """How many of ``n`` texts count as enough: a two-hundredth, at most ``least``."""
+    return min(least, max(2, n // 200))
+
+
+def row_weights(patterns: np.ndarray) -> np.ndarray:
+    """What each row counts in the fit: 1, or more where a pattern has few rows, so that each pattern has the least count."""
+    _, at, n = np.unique(patterns, return_inverse=True, return_counts=True)
+    return np.maximum(1.0, least_count(len(patterns)) / n)[at]
+
+
+def fit_scorer(
+    slots: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, least: int = LEAST_FREQUENCY, ridge: float = 1e-3, step: float = 0.5,
+    counts: np.ndarray | None = None,
+) -> tuple[np.ndarray, float]:
     """Weights by slot and a constant of a logistic scorer, on labels from 0 to 1, by AdaGrad over all rows at once.
 
-    Slots in fewer than ``least`` texts keep weight 0: what a few texts have tells nothing of others.
+    Words in fewer than ``least`` texts keep weight 0: what a few texts have tells nothing of others. The steps of statistics are
+    few and always take part. ``counts``: how much each row counts, 1 unless given.
     """
     weights, bias = np.zeros(WORD_SLOTS + len(STEPS), np.float32), 0.0
     n = len(slots)
     if not n:
         return weights, bias
+    counts = np.ones(n) if counts is None else counts
+    total = counts.sum()
     lengths = np.array([len(s) for s in slots])
     flat = np.concatenate(slots) if lengths.sum() else np.zeros(0, np.int32)
     owner = np.repeat(np.arange(n), lengths)
     worth = np.concatenate([values_of(s) for s in slots])
-    frequent = np.bincount(flat, minlength=len(weights)) >= min(least, max(2, n // 50))
+    frequent = np.bincount(flat, minlength=len(weights)) >= least_count(n, least)
+    frequent[WORD_SLOTS:] = True
     used = frequent[flat]
     names, flat = np.unique(flat[used], return_inverse=True)
     owner, worth = owner[used], worth[used]
-    w, g2, b, b2 = np.zeros(len(names)), np.full(len(names), 1e-6), math.log((labels.mean() + 1e-3) / (1 - labels.mean() + 1e-3)), 1e-6
+    mean = (labels @ counts) / total
+    w, g2, b, b2 = np.zeros(len(names)), np.full(len(names), 1e-6), math.log((mean + 1e-3) / (1 - mean + 1e-3)), 1e-6
     for _ in range(epochs * 4):
         score = b + np.bincount(owner, w[flat] * worth, n)
-        error = 1 / (1 + np.exp(-np.clip(score, -30, 30))) - labels
-        grad = np.bincount(flat, error[owner] * worth, len(names)) / n + ridge * w
+        error = (1 / (1 + np.exp(-np.clip(score, -30, 30))) - labels) * counts
+        grad = np.bincount(flat, error[owner] * worth, len(names)) / total + ridge * w
         g2 += grad * grad
         w -= step * grad / np.sqrt(g2)
-        top = error.mean()
+        top = error.sum() / total
         b2 += top * top
         b -= step * top / math.sqrt(b2)
     weights[names] = w
@@ -257,15 +277,18 @@ def learn_insults(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
 
 
 def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> Classifier:
-    """Insults from labelled rows if given, label model from the votes of all rows, scorer from about ``fit_rows`` rows."""
+    """Insults from labelled rows if given, label model from the votes of all rows, scorer from about ``fit_rows`` rows and those of rare patterns."""
     insults = learn_insults(docs, labels, id_col, text_col) if labels is not None else INSULTS
     schema = T.StructType([T.StructField("votes", T.IntegerType())])
-    marked = docs.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    votes = map_columns(marked, [], "text", "string", schema, lambda texts: {"votes": list(map(Reader(insults).votes, texts))})
+    marked = docs.select(draw(F.col(f"`{id_col}`"), "quality").alias("draw"), F.col(f"`{text_col}`").alias("text"))
+    votes = materialize(map_columns(marked, ["draw"], "text", "string", schema, lambda texts: {"votes": list(map(Reader(insults).votes, texts))}), "votes")
     found = votes.groupBy("votes").agg(F.count("*").alias("n")).collect()
     patterns, counts = np.array([r["votes"] for r in found], np.int64), np.array([r["n"] for r in found], np.int64)
     model = fit_labels(patterns, counts)
     share = min(1.0, fit_rows / max(1, int(counts.sum())))
+    # what share of a pattern's rows is read: of patterns with few rows more, at most 2 ** labellers times STRATUM rows in all
+    wider = [x for r in found if r["votes"] >= 0 and STRATUM / r["n"] > share for x in (F.lit(r["votes"]), F.lit(min(1.0, STRATUM / r["n"])))]
+    chosen = F.col("draw") < (F.coalesce(F.create_map(*wider)[F.col("votes")], F.lit(share)) if wider else F.lit(share))
     kinds = T.StructType([T.StructField("votes", T.IntegerType()), T.StructField("slots", T.BinaryType())])
 
     def step(texts: list[bytes]) -> dict[str, list]:
@@ -273,10 +296,13 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id"
         rows = [reader.features(t) for t in texts]
         return {"votes": [v for v, _ in rows], "slots": [s.tobytes() for _, s in rows]}
 
-    sample = map_columns(marked.where(draw(F.col("id"), "quality") < share), [], "text", "string", kinds, step).where("votes >= 0").collect()
+    read = marked.join(F.broadcast(votes.where("votes >= 0").where(chosen).select("draw").distinct()), "draw", "left_semi")
+    sample = map_columns(read, ["draw"], "text", "string", kinds, step).where("votes >= 0").where(chosen).select("votes", "slots").collect()
+    drop_materialized(votes)
     sample.sort(key=lambda r: (r["votes"], r["slots"]))
-    weak = model.posterior(np.array([r["votes"] for r in sample], np.int64)) if sample else np.zeros(0)
-    return Classifier(insults, model, *fit_scorer([np.frombuffer(r["slots"], np.int32) for r in sample], weak))
+    own = np.array([r["votes"] for r in sample], np.int64)
+    weak = model.posterior(own) if sample else np.zeros(0)
+    return Classifier(insults, model, *fit_scorer([np.frombuffer(r["slots"], np.int32) for r in sample], weak, counts=row_weights(own) if sample else None))
 
 
 SCORES = T.StructType([T.StructField("quality", T.DoubleType()), T.StructField("weak_bad", T.DoubleType()), T.StructField("kept", T.BooleanType())])

@@ -180,6 +180,22 @@ def test_quality_against_labels(spark):
     assert np.mean(clean) > 0.97 and np.mean(junk) < 0.1 and np.mean(toxic) < 0.35
 
 
+def test_rare_bad_texts_are_rejected(spark):
+    """Insults in one text of 1,000, of more texts than the scorer is fitted on."""
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 9))) for _ in range(2000)]
+    rows = []
+    for k in range(20_000):
+        own = rng.choices(words, k=60)
+        if k % 1000 == 7:
+            own[::6] = rng.choices(["idiot", "moron", "scum", "vermin"], k=10)
+        rows.append((k, " ".join(own)))
+    got = quality_model.classify(spark.createDataFrame(rows, "doc_id long, text string"), fit_rows=4000).collect()
+    planted = [r for r in got if r["doc_id"] % 1000 == 7]
+    assert all(r["weak_bad"] > 0.9 and not r["kept"] for r in planted)
+    assert np.mean([r["kept"] for r in got if r["doc_id"] % 1000 != 7]) > 0.99
+
+
 # HTML ------------------------------------------------------------------------------------------------------------------------------
 CASES = {
     "<article><h1>T</h1><p>a<b>b</b>c &amp; d&nbsp;e<br>f</article>": "T abc & d e f",
