@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +40,11 @@ def limit_query(tiles: DataFrame, want: float, limit: int, gap: int, batch: int
     Frames are fetched best first in batches that grow fourfold (a top-n each, so no global sort), until the search has enough or
     all frames were seen; only proxies above 0 take part.
     """
+    return grown(tiles, limit, batch, id_col, lambda rows, _: spaced_search(rows, want, limit, gap))
+
+
+def grown(tiles: DataFrame, limit: int, batch: int, id_col: str, search: Callable[[list[tuple[int, list[float]]], bool], list[tuple[int, int, int]]]) -> DataFrame:
+    """What ``search`` finds in the best frames (and whether these are all), ever more of them until it has its limit or all were seen."""
     spark = tiles.sparkSession
     live = tiles.where(F.col("proxy") > 0)
     order = F.sort_array(F.collect_list(F.struct((-F.col("proxy")).alias("p"), F.col(id_col).alias("i"), F.col("truth").alias("y"))))
@@ -45,16 +52,17 @@ def limit_query(tiles: DataFrame, want: float, limit: int, gap: int, batch: int
     size, n = batch, frames.count()
     while True:
         rows = [(r["t"], r["ys"]) for r in frames.orderBy(F.desc("score"), "t").limit(size).collect()]
-        found = spaced_search(rows, want, limit, gap)
+        found = search(rows, size >= n)
         if len(found) >= limit or size >= n:
             return spark.createDataFrame(found, RESULT)
         size *= 4
 
 
-def batched_search(frames: list[tuple[int, list[float]]], want: float, limit: int, gap: int, batch: int) -> list[tuple[int, int, int]]:
+def batched_search(frames: list[tuple[int, list[float]]], want: float, limit: int, gap: int, batch: int, whole: bool = True) -> list[tuple[int, int, int]]:
     """The same search with ``batch`` calls at a time: the best tile left of each frame, frames near one at work postponed.
 
-    Ends where no candidate is left, with what was found.
+    Ends where no candidate is left, with what was found; where more frames follow (not ``whole``), already where these no longer
+    fill a batch, as the next frames belong into it.
     """
     left = {t: list(s) for t, s in frames}
     order = [t for t, _ in frames]
@@ -75,7 +83,7 @@ def batched_search(frames: list[tuple[int, list[float]]], want: float, limit: in
             group.append((t, left[t].pop(0)))
             if len(group) == batch:
                 break
-        if not group:
+        if not group or (not whole and len(group) < batch):
             break
         for t, s in group:
             calls += 1
@@ -88,6 +96,11 @@ def batched_search(frames: list[tuple[int, list[float]]], want: float, limit: in
     return out
 
 
+def batched_query(tiles: DataFrame, want: float, limit: int, gap: int, calls: int, batch: int = 2000, id_col: str = "tile_id") -> DataFrame:
+    """:func:`limit_query` with ``calls`` calls at a time: :func:`batched_search` over the best frames, fetched in growing batches."""
+    return grown(tiles, limit, batch, id_col, lambda rows, whole: batched_search(rows, want, limit, gap, calls, whole))
+
+
 def frame_limit(frames: DataFrame, order: list[Column], accepted: str, limit: int, gap: int, batch: int = 5000) -> DataFrame:
     """Frames in a given order, one call each, accepted if ``accepted`` holds, with spacing."""
     spark, size, n = frames.sparkSession, batch, frames.count()

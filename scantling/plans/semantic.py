@@ -141,16 +141,9 @@ fr AS (SELECT t, any_value(fs) AS fs, min(rn) FILTER (WHERE upto >= 12) AS need,
 se AS (SELECT *, sum(coalesce(need, have)) OVER (ORDER BY fs DESC, t) AS calls FROM fr)
 SELECT t, CAST(row_number() OVER (ORDER BY fs DESC, t) AS INT) AS n_found, CAST(calls AS BIGINT) AS n_calls FROM se WHERE need IS NOT NULL ORDER BY fs DESC, t LIMIT 10""", "tile")(
     lambda s, p: limits.limit_query(scored(s, p), 12, 10, 0))
-add("l02_limit_batched")(lambda s, p: s.createDataFrame(limits.batched_search([(r["t"], r["ys"]) for r in frame_lists(s, p).collect()], 12, 10, 3, 8), limits.RESULT))
-add("l03_limit_whole_frames")(lambda s, p: s.createDataFrame(limits.batched_search([(r["t"], r["ys"]) for r in frame_lists(s, p).collect()], 12, 10, 0, 32), limits.RESULT))
+add("l02_limit_batched")(lambda s, p: limits.batched_query(scored(s, p), 12, 10, 3, 8))
+add("l03_limit_whole_frames")(lambda s, p: limits.batched_query(scored(s, p), 12, 10, 0, 32))
 add("l01_limit_spaced")(lambda s, p: limits.limit_query(scored(s, p), 12, 10, 5))
-
-
-def frame_lists(s, p):
-    order = F.sort_array(F.collect_list(F.struct((-F.col("proxy")).alias("q"), "tile_id", "truth")))
-    return scored(s, p).where("proxy > 0").groupBy("t").agg(F.sum("proxy").alias("fs"), F.transform(order, lambda x: x["truth"]).alias("ys")).orderBy(F.desc("fs"), "t").limit(500)
-
-
 add("l04_frame_limit", " SELECT t, CAST(row_number() OVER (ORDER BY rank) AS INT) AS n_found, rank AS n_calls FROM (SELECT id AS t, label, row_number() OVER (ORDER BY proxy_score DESC, id) AS rank FROM v_proxy) WHERE label = 1 ORDER BY rank LIMIT 20", "proxy")(
     lambda s, p: limits.frame_limit(read(s, p, "proxy").select(F.col("id").alias("t"), "proxy_score", (F.col("label") == 1).alias("ok")), [F.desc("proxy_score"), F.col("t")], "ok", 20, 0))
 add("l05_baseline_order", " SELECT id AS t, CAST(row_number() OVER (ORDER BY id) AS INT) AS n_found, id + 1 AS n_calls FROM v_proxy WHERE label = 1 ORDER BY id LIMIT 20", "proxy")(

@@ -1,12 +1,14 @@
 """Queries over their whole tables, against brute force or SQL without a cut."""
 
+import random
 from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from scantling.operators import selection
-from scantling.plans import registry
+from scantling.operators import limits, selection
+from scantling.plans import registry, semantic
 from scantling.sources import views
 from tests.compare import same_rows
 
@@ -91,3 +93,23 @@ def test_trials_of_all_rows(spark):
     trials = selection.run_trials(proxy, "precision_naive", selection.Target(budget=300), 3)
     assert QUERIES["as11_trials"](spark, NEXT).collect() == trials.collect()
     assert QUERIES["a10_trial_summary"](spark, NEXT).collect() == selection.summarise(selection.run_trials(proxy, "recall_sqrt", selection.Target(budget=300), 3)).collect()
+
+
+@pytest.mark.parametrize("name", ["l02_limit_batched", "l03_limit_whole_frames"])
+def test_limit_goes_on_beyond_the_best_frames(spark, monkeypatch, name):
+    """Only the frames of the least proxies have what is wanted, behind thousands that don't."""
+    tiles = spark.range(3000).select(F.col("id").alias("tile_id"), F.col("id").alias("t"), (1 / (F.col("id") + 1)).alias("proxy"), F.when(F.col("id") >= 2900, 12.0).otherwise(0.0).alias("truth"))
+    monkeypatch.setattr(semantic, "scored", lambda s, p: tiles)
+    got = QUERIES[name](spark, "").collect()
+    gap, calls = (3, 8) if name == "l02_limit_batched" else (0, 32)
+    assert sorted(map(tuple, got)) == sorted(limits.batched_search([(k, [12.0 if k >= 2900 else 0.0]) for k in range(3000)], 12, 10, gap, calls)) and len(got) == 10
+
+
+@pytest.mark.parametrize("gap, calls", [(0, 1), (0, 5), (2, 4), (3, 7)])
+def test_batches_of_frames_change_nothing(spark, gap, calls):
+    rng = random.Random(gap * 10 + calls)
+    frames = [(t, [float(rng.randint(0, 4)) for _ in range(3)]) for t in rng.sample(range(60), 40)]
+    rows = [(3 * k + i, t, 1 / (k + 1) - i * 1e-6, y) for k, (t, ys) in enumerate(frames) for i, y in enumerate(ys)]
+    tiles = spark.createDataFrame(rows, "tile_id long, t long, proxy double, truth double")
+    got = limits.batched_query(tiles, 7, 4, gap, calls, batch=5)
+    assert sorted(map(tuple, got.collect())) == sorted(limits.batched_search(frames, 7, 4, gap, calls))
