@@ -222,6 +222,12 @@ def test_host_boilerplate_without_articles(spark):
     assert [got[k] for k in range(3)] == unique and got[10] == unique[0] and got[9] == menu and got[11] == ""
 
 
+def test_empty_article_leaves_loose_text(spark):
+    rows = [(1, "http://h.example/1", "<main></main><div><p>the text stands outside</p></div>"), (2, "http://h.example/2", "<article> <script>x</script></article><p>so here</p>"), (3, "http://h.example/3", "<article>in</article><p>out</p>")]
+    got = {r["page_id"]: (r["text"], r["from_article"]) for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: ("the text stands outside", False), 2: ("so here", False), 3: ("in", True)}
+
+
 def test_html_query(spark, sf):
     got = queries.op4_html(spark, sf)
     assert got.count() == spark.read.parquet(f"{sf}/pages.parquet").count() and got.where("n_chars <> length(text) OR NOT from_article").count() == 0
