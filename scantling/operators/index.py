@@ -148,20 +148,36 @@ def triplet_loss(anchor: Column, positive: Column, negative: Column, margin: flo
     return F.greatest(d(anchor, positive) - d(anchor, negative) + margin, F.lit(0.0))
 
 
-def triplets(tiles: DataFrame, bucket: str, frame: str, apart: int = 30, seed: int = 7, id_col: str = "tile_id") -> DataFrame:
-    """For each tile (anchor): a tile of its bucket more than ``apart`` frames away, and one of another bucket; each by hash order.
+def triplets(tiles: DataFrame, bucket: str, frame: str, apart: int = 30, seed: int = 7, id_col: str = "tile_id", ranges: int = 256) -> DataFrame:
+    """For each tile (anchor): a tile of its bucket more than ``apart`` frames away, and one of a random other bucket, each drawn evenly by hash.
 
-    Partners come from a sample of at most 64 tiles of each bucket, so no bucket is gathered whole and no pairs are made of it.
+    The tiles of a bucket are numbered by frame, so those too near to an anchor are one run of numbers and the draw is among all
+    others: null only where there is none. Numbers come from counts of ranges of frames, so no bucket is gathered or sorted whole.
     """
-    h = hash_order(F.col(id_col), seed)
-    w = Window.partitionBy(bucket, "__salt").orderBy("__h")
-    slim = tiles.select(id_col, bucket, frame, h.alias("__h")).withColumn("__salt", F.col("__h") % 64)
-    few = slim.withColumn("rn", F.row_number().over(w)).where("rn = 1").groupBy(bucket).agg(F.sort_array(F.collect_list(F.struct("__h", F.col(id_col).alias("id"), F.col(frame).alias("f")))).alias("pool"))
-    anchored = slim.join(few, bucket)
+    slim = tiles.select(F.col(id_col).alias("id"), F.col(bucket).alias("b"), F.col(frame).alias("f")).where("b is not null")
+    span = slim.agg(F.min("f").alias("since"), F.max("f").alias("until"))
+    # how many tiles each bucket has up to a frame: at the frames of its tiles and at the ends of what is too near to them
+    ends = slim.select("b", F.explode(F.array(F.col("f") - apart - 1, F.col("f") + apart)).alias("f")).distinct()
+    at = slim.select("b", "f", F.lit(1).alias("n")).union(ends.select("b", "f", F.lit(0).alias("n"))).groupBy("b", "f").agg(F.sum("n").alias("n"))
+    at = at.join(F.broadcast(span)).withColumn("part", F.floor((F.col("f") - F.col("since")) * ranges / (F.col("until") - F.col("since") + 1)))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("b").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = at.groupBy("b", "part").agg(F.sum("n").alias("n")).select("b", "part", before.alias("start"))
+    upto = F.col("start") + F.sum("n").over(Window.partitionBy("b", "part").orderBy("f").rowsBetween(Window.unboundedPreceding, 0))
+    at = at.join(starts, ["b", "part"]).select("b", "f", "n", upto.alias("upto"))
+    order = Window.partitionBy("b", "f").orderBy(hash_order(F.col("id"), seed), "id")
+    numbered = slim.withColumn("rn", F.row_number().over(order)).join(at, ["b", "f"]).select("b", "id", (F.col("upto") - F.col("n") + F.col("rn") - 1).alias("place"))
+
+    edge = lambda shift, name: at.select("b", (F.col("f") - shift).alias("f"), F.col("upto").alias(name))
     # buckets are classes of labels: a bounded table
-    others = few.select(F.col(bucket).alias("__other"), F.element_at("pool", 1).alias("one"))
-    every = others.agg(F.sort_array(F.collect_list(F.struct(F.col("one.__h").alias("h"), F.col("one.id").alias("id"), F.col("__other").alias("b")))).alias("heads"))
-    pick = lambda e: F.try_element_at(e, F.lit(1))
-    pos = pick(F.filter("pool", lambda x: (F.abs(x["f"] - F.col(frame)) > apart) & (x["id"] != F.col(id_col))))["id"]
-    neg = pick(F.filter("heads", lambda x: x["b"] != F.col(bucket)))["id"]
-    return anchored.join(F.broadcast(every)).select(F.col(id_col).alias("anchor"), pos.alias("positive"), neg.alias("negative"))
+    sizes = slim.groupBy("b").agg(F.count("*").alias("size"))
+    every = sizes.agg(F.sort_array(F.collect_list(F.struct("b", "size"))).alias("every"))
+    near = slim.join(edge(-apart - 1, "low"), ["b", "f"]).join(edge(apart, "high"), ["b", "f"]).join(F.broadcast(sizes), "b").join(F.broadcast(every))
+    draw = lambda salt, n: F.pmod(hash_order(F.concat(F.lit(salt), F.col("id").cast("string")), seed), n)
+    free = F.col("low") + F.col("size") - F.col("high")
+    drawn = near.withColumn("others", F.filter("every", lambda x: x["b"] != F.col("b"))).withColumn("k", F.when(free > 0, draw("same/", free)))
+    drawn = drawn.withColumn("place", F.when(F.col("k") < F.col("low"), F.col("k")).otherwise(F.col("k") - F.col("low") + F.col("high")))
+    drawn = drawn.withColumn("other", F.when(F.size("others") > 0, F.get("others", draw("bucket/", F.size("others")).cast("int"))))
+    drawn = drawn.select("id", "b", "place", F.col("other.b").alias("other"), draw("other/", F.col("other.size")).alias("other_place"))
+    same = numbered.select("b", "place", F.col("id").alias("positive"))
+    far = numbered.select(F.col("b").alias("other"), F.col("place").alias("other_place"), F.col("id").alias("negative"))
+    return drawn.join(same, ["b", "place"], "left").join(far, ["other", "other_place"], "left").select(F.col("id").alias("anchor"), "positive", "negative")

@@ -7,7 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from scantling.operators import limits, selection
+from scantling.operators import index, limits, selection
 from scantling.plans import registry, semantic
 from scantling.sources import views
 from tests.compare import same_rows
@@ -113,3 +113,23 @@ def test_batches_of_frames_change_nothing(spark, gap, calls):
     tiles = spark.createDataFrame(rows, "tile_id long, t long, proxy double, truth double")
     got = limits.batched_query(tiles, 7, 4, gap, calls, batch=5)
     assert sorted(map(tuple, got.collect())) == sorted(limits.batched_search(frames, 7, 4, gap, calls))
+
+
+def test_triplets_draw_from_whole_buckets(spark):
+    """A bucket with all but one of its tiles in frames close together, one with many tiles, and one with tiles too near only."""
+    rows = [(k, 0, k % 5) for k in range(1500)] + [(1500, 0, 5000)]
+    rows += [(2000 + k, 1, k) for k in range(1000)] + [(4000 + k, 2, k) for k in range(3)]
+    at = {i: (b, f) for i, b, f in rows}
+    got = index.triplets(spark.createDataFrame(rows, "tile_id long, b int, f long"), "b", "f").collect()
+    assert sorted(r["anchor"] for r in got) == sorted(at)
+    for r in got:
+        b, f = at[r["anchor"]]
+        if r["positive"] is None:
+            assert b == 2
+        else:
+            assert at[r["positive"]][0] == b and abs(at[r["positive"]][1] - f) > 30
+        assert at[r["negative"]][0] != b
+    assert sum(r["positive"] == 1500 for r in got) == 1500
+    assert len({r["positive"] for r in got if at[r["anchor"]][0] == 1}) > 500
+    assert len({r["negative"] for r in got if at[r["anchor"]][0] == 0}) > 500
+    assert {at[r["negative"]][0] for r in got if at[r["anchor"]][0] == 0} == {1, 2}
