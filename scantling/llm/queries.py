@@ -24,7 +24,7 @@ from scantling.llm.util import table
 
 def op1_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's bytes stored as FLAC, read back and digested."""
-    return digest_media(encode_media(table(spark, sf_dir, "documents")), ["doc_id", "n_bytes"])
+    return digest_media(encode_media(table(spark, sf_dir, "documents"), linear_order=4), ["doc_id", "n_bytes"])
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -159,6 +159,15 @@ def test_decode_ids(odd):
     assert {r["text"] for r in bpe.decode_ids(made, ["doc_id"]).collect()} == {ODD[7][1], ODD[12][1]}
 
 
+def test_flac_query_uses_linear_predictors(spark, sf, docs):
+    """Stored coefficients are taken where they are shorter, so the streams are, and they decode to the same."""
+    plain = flac.digest_media(flac.encode_media(docs), ["doc_id", "n_bytes"])
+    columns = ["payload_bytes", "payload_sha256", "tail_crc32", "n_blocks", "feature"]
+    got = queries.op1_flac(spark, sf)
+    assert got.agg(F.sum("media_bytes")).first()[0] < plain.agg(F.sum("media_bytes")).first()[0]
+    assert got.select("doc_id", *columns).exceptAll(plain.select("doc_id", *columns)).count() == 0
+
+
 # quality -----------------------------------------------------------------------------------------------------------------------
 def test_label_model_finds_accuracies():
     rng = np.random.default_rng(1)
