@@ -33,17 +33,17 @@ add("src05_ranged_read", " SELECT t, tile_id, truth FROM v_tile WHERE t >= 20 AN
 SEG = ", sg AS (SELECT DISTINCT seg_start, seg_end FROM v_grid), hit AS (SELECT seg_start, t FROM v_workload JOIN sg ON t >= seg_start AND t < seg_end WHERE workload_id = 1)"
 add("src06_decode_plan", f"{SEG} SELECT seg_start, min(t) AS start, max(t)-min(t)+1 AS length, max(t)-min(t)+1-count(DISTINCT t) AS n_skip FROM hit GROUP BY seg_start", "workload", "grid")(
     lambda s, p: c.decode_plan(read(s, p, "workload").where("workload_id = 1"), read(s, p, "grid").select("seg_start", "seg_end").distinct()).select("seg_start", "start", "length", F.size("skip").cast("long").alias("n_skip")))
-FILES = "SELECT 'cam/' || p_partkey || '.mp4' AS file, CAST(p_size * 10 AS BIGINT) AS n_frames FROM part WHERE p_partkey < 300"
+FILES = "SELECT 'cam/' || p_partkey || '.mp4' AS file, CAST(p_size * 10 AS BIGINT) AS n_frames FROM part"
 files = lambda s, p: read(s, p, "part").select(F.concat(F.lit("cam/"), F.col("p_partkey").cast("string"), F.lit(".mp4")).alias("file"), (F.col("p_size") * 10).cast("long").alias("n_frames"))
 add("src07_file_offsets", f"SELECT file, n_frames, coalesce(sum(n_frames) OVER (ORDER BY CAST(regexp_extract(file, '([0-9]+)[.]', 1) AS BIGINT), file ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS \"offset\" FROM ({FILES})")(
     lambda s, p: c.file_offsets(files(s, p)))
 add("src08_stale_files", f"SELECT file, 'new' AS what FROM ({FILES}) WHERE n_frames % 3 = 0 UNION ALL SELECT file, 'gone' FROM ({FILES}) WHERE n_frames % 7 = 0 AND NOT n_frames % 3 = 0")(
     lambda s, p: c.stale_files(files(s, p).where("n_frames % 3 <> 0").withColumnRenamed("n_frames", "size"), files(s, p).where("n_frames % 3 = 0 OR n_frames % 7 <> 0").withColumnRenamed("n_frames", "size")))
 add("src09_current_segment", " SELECT t, tile_id, CAST(floor(t/30) AS BIGINT)*30 AS seg_start FROM v_tile", "tile")(lambda s, p: tile(s, p).select("t", "tile_id", (F.floor(F.col("t") / 30) * 30).alias("seg_start")))
-add("src10_full_scan", f"{CAT} SELECT seg_start, row_no, col_no, unnest(range(seg_start, seg_end)) AS t FROM cat WHERE has_roi AND seg_start < 900", "grid")(
+add("src10_full_scan", f"{CAT} SELECT seg_start, row_no, col_no, unnest(range(seg_start, seg_end)) AS t FROM cat WHERE has_roi", "grid")(
     lambda s, p: c.scan_tiles(catalog(s, p)).select("seg_start", "row_no", "col_no", "t"))
 add("src10_first_frames", f"{CAT} SELECT row_no, col_no, seg_start AS t FROM cat WHERE has_roi AND cluster IN (0, 1)", "grid")(lambda s, p: c.scan_tiles(catalog(s, p), True, F.col("cluster").isin(0, 1)).select("row_no", "col_no", "t"))
-KEYS = " SELECT id AS t, CAST(id % 2 AS INT) AS row_no FROM v_proxy WHERE id % 13 = 0 AND id < 6000"
+KEYS = " SELECT id AS t, CAST(id % 2 AS INT) AS row_no FROM v_proxy"
 add("src11_point_lookup", f"{CAT}, ky AS ({KEYS}) SELECT ky.t, cat.row_no, col_no FROM ky JOIN cat ON ky.t >= seg_start AND ky.t < seg_end AND ky.row_no = cat.row_no", "grid", "proxy")(
     lambda s, p: c.select_tiles(catalog(s, p), read(s, p, "proxy").select(F.col("id").alias("t"), (F.col("id") % 2).cast("int").alias("row_no"))).select("t", "row_no", "col_no"))
 add("src12_tiles_in_frame", f"{CAT} SELECT row_no, col_no, has_roi FROM cat WHERE 1234 >= seg_start AND 1234 < seg_end", "grid")(

@@ -46,7 +46,7 @@ def _(s, p):
     return read(s, p, "tile").agg(F.sum("truth").alias("total"), F.count("*").alias("n"))
 
 
-SPINE = "spine AS (SELECT unnest(range(0, 2001)) AS frame), counts AS (SELECT s.frame, count(v.frame) AS n FROM spine s LEFT JOIN v_det v ON s.frame = v.frame GROUP BY s.frame)"
+SPINE = "spine AS (SELECT unnest(range(0, (SELECT max(frame) + 1 FROM v_det))) AS frame), counts AS (SELECT s.frame, count(v.frame) AS n FROM spine s LEFT JOIN v_det v ON s.frame = v.frame GROUP BY s.frame)"
 
 
 def dense(s, p):
@@ -109,7 +109,7 @@ add("a27_latency_grid", "SELECT h, w, round(avg(ms),6) AS ms, count(*) AS n FROM
 add("a32_distinct", "SELECT DISTINCT object_name, line FROM v_det", "det")(lambda s, p: read(s, p, "det").select("object_name", "line").distinct())
 
 # joins
-SEGS = "seg AS (SELECT unnest(range(0, 100)) * 50 AS s)"
+SEGS = "seg AS (SELECT DISTINCT CAST(floor(frame / 50) * 50 AS BIGINT) AS s FROM v_det)"
 QUERIES.add("j04_frame_segment", f"{w('det')}, {SEGS} SELECT s AS seg_start, count(*) AS n FROM v_det JOIN seg ON frame >= s AND frame < s + 50 GROUP BY s")(
     lambda s, p: read(s, p, "det").withColumn("seg_start", F.floor(F.col("frame") / 50) * 50).groupBy("seg_start").agg(F.count("*").alias("n")))
 LINK = """SELECT a.frame AS frame_a, a.line AS line_a, b.frame AS frame_b, b.line AS line_b FROM v_track a JOIN v_track b ON a.object_name = b.object_name AND b.frame > a.frame AND b.frame <= a.frame + 3
@@ -222,9 +222,9 @@ add("set2_difference", f"{TOP} EXCEPT {POS}", "proxy")(lambda s, p: top_(s, p).s
 add("set3_label_union", "SELECT frame, string_agg(DISTINCT object_name, ',' ORDER BY object_name) AS names FROM v_det GROUP BY frame", "det")(
     lambda s, p: read(s, p, "det").groupBy("frame").agg(F.array_join(F.array_sort(F.collect_set("object_name")), ",").alias("names")))
 BOUND = "round(avg(x) + {0} * stddev_pop(x) * sqrt(2*ln(1/(2*0.05))) / sqrt(count(x)), 6)"
-add("a23_sampling_bound", f"SELECT count(*) AS n, {BOUND.format("1")} AS upper, {BOUND.format("-1")} AS lower FROM (SELECT label AS x FROM v_proxy WHERE id % 3 = 0)", "proxy")(
+add("a23_sampling_bound", f"SELECT count(*) AS n, {BOUND.format("1")} AS upper, {BOUND.format("-1")} AS lower FROM (SELECT label AS x FROM v_proxy)", "proxy")(
     lambda s, p: bounds(read(s, p, "proxy"), F.col("label"), 0.05))
-add("a24_one_sided", "SELECT round(m + 1.6448536269514722 * sqrt(m*(1-m)/n), 6) AS bernoulli_upper, round(m - 1.6448536269514722 * s / sqrt(n), 6) AS std_lower FROM (SELECT avg(label) AS m, stddev_samp(label) AS s, count(*) AS n FROM v_proxy WHERE id % 3 = 0)", "proxy")(
+add("a24_one_sided", "SELECT round(m + 1.6448536269514722 * sqrt(m*(1-m)/n), 6) AS bernoulli_upper, round(m - 1.6448536269514722 * s / sqrt(n), 6) AS std_lower FROM (SELECT avg(label) AS m, stddev_samp(label) AS s, count(*) AS n FROM v_proxy)", "proxy")(
     lambda s, p: one_sided(read(s, p, "proxy"), F.col("label")))
 
 

@@ -115,7 +115,7 @@ add("src28_positive_filter", " SELECT id FROM v_proxy JOIN (SELECT unnest([1,2,2
     lambda s, p: s.createDataFrame([(i,) for i in (1, 2, 2, 3, 5, 8, 8, 13, 21, 34, 55, 89)], "id long").join(read(s, p, "proxy").where("label = 1"), "id", "left_semi"))
 add("src24_drop_positives", f" SELECT row_number() OVER (ORDER BY id) - 1 AS new_id, id FROM v_proxy WHERE NOT (label = 1 AND {HASH.format('id')} < {2**31})", "proxy")(
     lambda s, p: tracks.dense_numbers(read(s, p, "proxy").where(~((F.col("label") == 1) & (d.hash_order(F.col("id")) < 2**31))).select("id"), "id").select(F.col("ind").alias("new_id"), "id"))
-add("src20_proxy_source", " SELECT id, proxy_score, CAST(label AS DOUBLE) AS label FROM v_proxy WHERE id < 100", "proxy")(lambda s, p: read(s, p, "proxy").select("id", "proxy_score", F.col("label").cast("double").alias("label")))
+add("src20_proxy_source", " SELECT id, proxy_score, CAST(label AS DOUBLE) AS label FROM v_proxy", "proxy")(lambda s, p: read(s, p, "proxy").select("id", "proxy_score", F.col("label").cast("double").alias("label")))
 TARGET = selection.Target(precision=0.8, recall=0.9, delta=0.05, budget=1000)
 for k, (name, _) in enumerate(selection.SELECTORS.items()):
     add(f"as{k + 2:02d}_{name}")(lambda s, p, name=name: selection.quality_of(read(s, p, "proxy"), selection.SELECTORS[name](read(s, p, "proxy"), TARGET, 7)))
@@ -155,9 +155,11 @@ add("tq3_subframe_query", " SELECT CAST(sum(seg_end-seg_start) AS BIGINT) AS til
     lambda s, p: limits.subframe_query(read(s, p, "grid"), F.col("cluster").isin(1, 3), F.lit(64), F.lit(64), F.col("seg_end") - F.col("seg_start")))
 QUERIES["p12_info_filter"] = (lambda s, p: read(s, p, "grid").where(F.arrays_overlap(F.array("cluster"), F.array(F.lit(1), F.lit(3)))).select("seg_start", "row_no", "col_no", "cluster"), f"{w('grid')} SELECT seg_start, row_no, col_no, cluster FROM v_grid WHERE cluster IN (1, 3)")
 
-GR1 = f", l AS ({LINK}), ed AS (SELECT frame_a*10+line_a AS u, frame_b*10+line_b AS v FROM l), both_ AS (SELECT u, v FROM ed UNION SELECT v, u FROM ed), nodes AS (SELECT DISTINCT frame*10+line AS id FROM v_track)"
-GR1 += """, reach AS (SELECT id, id AS r FROM nodes UNION SELECT b.v, reach.r FROM reach JOIN both_ b ON b.u = reach.id AND reach.r < b.v),
-comp AS (SELECT id, min(r) AS track FROM reach GROUP BY id), best AS (SELECT track, max(confidence) AS c FROM comp JOIN v_track ON frame*10+line = id GROUP BY track)
+OVERLAP = "greatest(0, least(a.xmax,b.xmax)-greatest(a.xmin,b.xmin)) * greatest(0, least(a.ymax,b.ymax)-greatest(a.ymin,b.ymin))"
+GR1 = f""", d AS (SELECT *, (frame*10+line)*1048576 + row_number() OVER (PARTITION BY frame, line ORDER BY object_name, confidence, xmin, ymin, xmax, ymax) - 1 AS id FROM v_track),
+ed AS (SELECT a.id AS u, b.id AS v FROM d a JOIN d b ON a.object_name = b.object_name AND b.frame > a.frame AND b.frame <= a.frame + 3 AND {OVERLAP} > CAST(0.7 AS DOUBLE) * ((a.xmax-a.xmin)*(a.ymax-a.ymin)+(b.xmax-b.xmin)*(b.ymax-b.ymin)-{OVERLAP})),
+both_ AS (SELECT u, v FROM ed UNION SELECT v, u FROM ed), reach AS (SELECT id, id AS r FROM d UNION SELECT b.v, reach.r FROM reach JOIN both_ b ON b.u = reach.id AND reach.r < b.v),
+comp AS (SELECT id, min(r) AS track FROM reach GROUP BY id), best AS (SELECT track, max(confidence) AS c FROM comp JOIN d USING (id) GROUP BY track)
 SELECT id AS row_id, CAST(dense_rank() OVER (ORDER BY track) - 1 AS BIGINT) AS ind FROM comp JOIN best USING (track) WHERE c > CAST(0.1 AS DOUBLE)"""
 
 
@@ -168,7 +170,7 @@ def numbered(s, p):
     return rows.withColumn("row_id", (F.col("frame") * 10 + F.col("line")) * 2**20 + again - 1)
 
 
-QUERIES.add("gr1_build_tracks", w("track").replace("WITH v_track AS", "WITH RECURSIVE v_all AS") + ", v_track AS (SELECT * FROM v_all WHERE frame < 400 QUALIFY count(*) OVER (PARTITION BY frame, line) = 1)" + GR1)(lambda s, p: tracks.build_tracks(numbered(s, p), "row_id"))
+QUERIES.add("gr1_build_tracks", w("track").replace("WITH", "WITH RECURSIVE", 1) + GR1)(lambda s, p: tracks.build_tracks(numbered(s, p), "row_id"))
 add("gr2_region_tracks", " SELECT frame, line, ind0, CAST(dense_rank() OVER (ORDER BY first) - 1 AS BIGINT) AS ind FROM (SELECT *, min(frame*10+line) OVER (PARTITION BY ind0) AS first FROM (SELECT frame, line, CAST(xmin AS BIGINT)*31+CAST(ymin AS BIGINT) AS ind0 FROM v_track WHERE confidence > CAST(0.5 AS DOUBLE)))", "track")(
     lambda s, p: tracks.filter_tracks(read(s, p, "track").withColumn("ind0", F.col("xmin").cast("long") * 31 + F.col("ymin").cast("long")).withColumn("o", F.col("frame") * 10 + F.col("line")), "ind0", "o", F.col("confidence") > 0.5).select("frame", "line", "ind0", "ind"))
 add("a20_non_max_suppression")(lambda s, p: tracks.non_max_suppression(read(s, p, "det").withColumn("row_id", F.col("frame") * 10 + F.col("line")), ["frame"], "row_id"))
@@ -202,8 +204,8 @@ add("meta04_grid_shapes", " SELECT seg_start, seg_end, max(row_no)+1 AS rows, ma
 add("meta05_roi_positions", f", {GRIDS} SELECT seg_start, row_no, col_no FROM cat WHERE has_roi", "grid")(lambda s, p: catalog(s, p).where("has_roi").select("seg_start", "row_no", "col_no"))
 add("meta06_tile_lookup", f", {GRIDS} SELECT row_no, col_no, has_roi FROM cat WHERE seg_start = 300", "grid")(lambda s, p: catalog(s, p).where("seg_start = 300").select("row_no", "col_no", "has_roi"))
 add("meta08_segment_of_frame", " SELECT id, CAST(floor(id/30) AS BIGINT)*30 AS seg_start FROM v_proxy", "proxy")(lambda s, p: tiling.segment_of(read(s, p, "proxy").select("id"), "id", 30))
-add("meta07_fill_grid", ", k AS (SELECT DISTINCT seg, x1, y1, x2, y2 FROM v_roi WHERE roi_id % 30 = 0), cx AS (SELECT DISTINCT seg, x FROM (SELECT seg, x1 AS x FROM k UNION ALL SELECT seg, x2 FROM k)), cy AS (SELECT DISTINCT seg, y FROM (SELECT seg, y1 AS y FROM k UNION ALL SELECT seg, y2 FROM k)), bx AS (SELECT seg, row_number() OVER w - 1 AS col_no, x AS x1, lead(x) OVER w AS x2 FROM cx WINDOW w AS (PARTITION BY seg ORDER BY x)), by_ AS (SELECT seg, row_number() OVER w - 1 AS row_no, y AS y1, lead(y) OVER w AS y2 FROM cy WINDOW w AS (PARTITION BY seg ORDER BY y)) SELECT bx.seg, CAST(row_no AS INT) AS row_no, CAST(col_no AS INT) AS col_no, bx.x1, by_.y1, bx.x2, by_.y2, k.seg IS NOT NULL AS known FROM bx JOIN by_ ON bx.seg = by_.seg LEFT JOIN k ON k.seg = bx.seg AND k.x1 = bx.x1 AND k.x2 = bx.x2 AND k.y1 = by_.y1 AND k.y2 = by_.y2 WHERE bx.x2 IS NOT NULL AND by_.y2 IS NOT NULL", "roi")(
-    lambda s, p: tiling.fill_grid(read(s, p, "roi"), "seg"))
+add("meta07_fill_grid", ", k AS (SELECT DISTINCT t, x1, y1, x2, y2 FROM v_roi), cx AS (SELECT DISTINCT t, x FROM (SELECT t, x1 AS x FROM k UNION ALL SELECT t, x2 FROM k)), cy AS (SELECT DISTINCT t, y FROM (SELECT t, y1 AS y FROM k UNION ALL SELECT t, y2 FROM k)), bx AS (SELECT t, row_number() OVER w - 1 AS col_no, x AS x1, lead(x) OVER w AS x2 FROM cx WINDOW w AS (PARTITION BY t ORDER BY x)), by_ AS (SELECT t, row_number() OVER w - 1 AS row_no, y AS y1, lead(y) OVER w AS y2 FROM cy WINDOW w AS (PARTITION BY t ORDER BY y)) SELECT bx.t, CAST(row_no AS INT) AS row_no, CAST(col_no AS INT) AS col_no, bx.x1, by_.y1, bx.x2, by_.y2, k.t IS NOT NULL AS known FROM bx JOIN by_ ON bx.t = by_.t LEFT JOIN k ON k.t = bx.t AND k.x1 = bx.x1 AND k.x2 = bx.x2 AND k.y1 = by_.y1 AND k.y2 = by_.y2 WHERE bx.x2 IS NOT NULL AND by_.y2 IS NOT NULL", "roi")(
+    lambda s, p: tiling.fill_grid(read(s, p, "roi"), "t"))
 add("meta09_keys", " SELECT DISTINCT row_no || '_' || col_no AS key, seg_start || '_' || seg_end AS seg FROM v_grid", "grid")(lambda s, p: read(s, p, "grid").select(F.concat_ws("_", "row_no", "col_no").alias("key"), F.concat_ws("_", "seg_start", "seg_end").alias("seg")).distinct())
 add("a28_subframe_area", " SELECT seg_start, CAST(sum(4096) AS BIGINT) AS area, count(*) AS n FROM v_grid WHERE has_roi GROUP BY seg_start", "grid")(lambda s, p: read(s, p, "grid").where("has_roi").groupBy("seg_start").agg(F.sum(F.lit(4096)).alias("area"), F.count("*").alias("n")))
 add("a29_tile_cost", " SELECT seg_start, round(sum(c*CAST(4096*0.001+3 AS DOUBLE)),6) AS cost FROM (SELECT seg_start, row_no, col_no, count(DISTINCT cluster) AS c FROM v_grid GROUP BY ALL) GROUP BY seg_start", "grid")(
