@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from scantling.llm import bpe, flac, html_extract, langid, licenses, mixing, quality_model, quality_rules, queries, simhash, token_files
+from scantling.llm import bpe, flac, langid, licenses, mixing, quality_model, quality_rules, queries, simhash, token_files
 from tests.compare import same_rows
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -205,43 +205,6 @@ def test_rare_bad_texts_are_rejected(spark):
     assert np.mean([r["kept"] for r in got if r["doc_id"] % 1000 != 7]) > 0.99
 
 
-# HTML ------------------------------------------------------------------------------------------------------------------------------
-CASES = {
-    "<article><h1>T</h1><p>a<b>b</b>c &amp; d&nbsp;e<br>f</article>": "T abc & d e f",
-    "<nav>x</nav><main>in<aside>no</aside> yes<section class='comments'>hey</section></main><p>out": "in yes",
-    "<form><article>in</article></form>": "in", "<article>a<script>if(a<b){'</p>'}</script>b<style>p{}</style></article>": "ab",
-    "<article><p class=ad>bad<p>good</article>": "good", "<div hidden>x</div><p>shown": "shown", "plain &lt;b&gt; text": "plain <b> text",
-    "<header>site</header><article><header><h1>T</h1></header>x</article>": "T x", "": "", "<article>open <p>end": "open end", "<!-- c --><p>a<!-- d -->b": "ab",
-    "<div class='cookie-notice'>c</div><div id='sidebar'>s</div><div class='article-header'>h</div>": "h",
-}
-
-
-@pytest.mark.parametrize("page", sorted(CASES))
-def test_html_by_hand(page):
-    article, has, blocks = html_extract.read_page(page)
-    assert (article if has else " ".join(t for z, t in blocks if z == html_extract.LOOSE)) == CASES[page]
-
-
-def test_host_boilerplate_without_articles(spark):
-    menu = "Home Products About Us Contact Imprint Privacy Terms Login Register"
-    unique = ["alpha beta gamma delta one two three four five", "some quite different words stand here and make sense", "yet another page with its own text to keep whole"]
-    rows = [(k, f"http://h.example/{k}", f"<div><p>{menu}</p><p>{u}</p></div>") for k, u in enumerate(unique)]
-    rows += [(9, "http://other.example/", f"<p>{menu}</p>"), (10, "http://h.example/mirror", rows[0][2]), (11, None, None)]
-    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("key", F.lit(1))).collect()}
-    assert [got[k] for k in range(3)] == unique and got[10] == unique[0] and got[9] == menu and got[11] == ""
-
-
-def test_empty_article_leaves_loose_text(spark):
-    rows = [(1, "http://h.example/1", "<main></main><div><p>the text stands outside</p></div>"), (2, "http://h.example/2", "<article> <script>x</script></article><p>so here</p>"), (3, "http://h.example/3", "<article>in</article><p>out</p>")]
-    got = {r["page_id"]: (r["text"], r["from_article"]) for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert got == {1: ("the text stands outside", False), 2: ("so here", False), 3: ("in", True)}
-
-
-def test_html_query(spark, sf):
-    got = queries.op4_html(spark, sf)
-    assert got.count() == spark.read.parquet(f"{sf}/pages.parquet").count() and got.where("n_chars <> length(text) OR NOT from_article").count() == 0
-
-
 # token files ----------------------------------------------------------------------------------------------------------------------
 @given(st.lists(st.integers(0, 9), max_size=60), st.integers(1, 12))
 @settings(max_examples=12, deadline=None)
