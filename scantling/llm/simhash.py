@@ -5,20 +5,26 @@ near-duplicates of each other.
 
 Candidates: the 64 bits are cut into ``2 * radius`` blocks, and any two fingerprints within the radius agree in at least
 ``radius`` blocks whole, so fingerprints meet under a key for each choice of ``radius`` blocks (for radius 2: six keys of 32
-bits). Within a bucket, bit planes are stored vertically: word w of plane b holds bit b of 64 fingerprints. Against each
-fingerprint the differing bits of all are counted at once by carry-save adders, and a block of fingerprints is abandoned when
-all its counters have passed the radius.
+bits). A bucket with more than ``bucket_limit`` distinct fingerprints is parted in the same way by the bits that its key leaves free, of
+which again those of two near fingerprints agree in half: 32, then 16, then 8 are free, and a bucket has at most 256 fingerprints, however the data are.
 
-Only distinct fingerprints take part, so exact copies cost nothing. A bucket with more than ``bucket_limit`` distinct fingerprints
-isn't compared: its fingerprints meet instead under every number within one bit of them (two within two bits share such a
-number), which holds at most 65 distinct fingerprints however the data are, and the result is the same. A bucket gives the edges
-of a forest over its links, not all pairs.
+Every pair of a bucket is compared in bit planes, whatever the bucket's size. The buckets of a task stand one behind the other in shared
+planes: word w of plane b holds bit b of 64 fingerprints. For each distance d the planes are compared with themselves shifted by
+d places, so that each lane holds the pair of a fingerprint and the d-th behind it; lanes whose two lie in different buckets are
+masked. Differing bits are added by carry-save adders into vertical counters, and after each few planes words are abandoned whose
+lanes are all masked or past the radius.
+
+Only distinct fingerprints take part, so exact copies cost nothing. A bucket gives the edges of a forest over its links, not all pairs.
 
 Null or empty text, or one of white space: no shingles, fingerprint zero, linked like any other. Repeated rows: same fingerprint.
+Rows with a null id have a fingerprint and link others, and their component is the least id that is not null (null if there is none).
+No rows: no rows.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from itertools import combinations, repeat
 
 import numpy as np
@@ -28,23 +34,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scantling.llm.util import map_columns, materialize
+from scantling.llm.util import drop_materialized, map_columns, materialize
 from scantling.operators.graph import components
 
-SHINGLE, SEED, RADIUS, BUCKET_LIMIT = 3, 42, 2, 2048
+SHINGLE, SEED, RADIUS, BUCKET_LIMIT, STRIDE, LEVELS = 3, 42, 2, 1024, 8, 3
 FINGERPRINT = T.StructType([T.StructField("fp", T.LongType())])
+PIECE = 1 << 20
+SPACE = re.compile(rb"[\x20\x09-\x0d]")
+
+
+def pieces(text: bytes, size: int = PIECE) -> Iterator[list[bytes]]:
+    """The words of a text, some ``size`` bytes of it at a time."""
+    at = 0
+    while at < len(text):
+        m = SPACE.search(text, at + size)
+        end = m.start() if m else len(text)
+        yield text[at:end].split()  # of bytes: at space and 9 to 13 only
+        at = end
 
 
 def fingerprint(text: bytes, words_in_shingle: int = SHINGLE) -> int:
     """SimHash of a text in UTF-8, unsigned: a bit is set if it is set in over half of the shingles' hashes."""
-    words = text.lower().split()  # of bytes: A-Z only, and at space and 9 to 13 only
-    if not words:
-        return 0
-    shingles = map(b" ".join, zip(*(words[i:] for i in range(words_in_shingle)))) if len(words) >= words_in_shingle else [b" ".join(words)]
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64)
-    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    set_bits = bits.sum(0, dtype=np.int64) * 2 > len(hashes)
-    return int(np.packbits(set_bits, bitorder="little").view("<u8")[0])
+    counts, n, words = np.zeros(64, np.int64), 0, []
+    for piece in pieces(text.lower()):  # of bytes: A-Z only
+        words += piece
+        if len(words) < words_in_shingle:
+            continue
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, map(b" ".join, zip(*(words[i:] for i in range(words_in_shingle)))), repeat(SEED)), np.uint64)
+        for a in range(0, len(hashes), 1 << 16):
+            counts += np.unpackbits(hashes[a : a + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        n += len(hashes)
+        words = words[len(words) - words_in_shingle + 1 :]
+    if not n:
+        return xxhash.xxh64_intdigest(b" ".join(words), SEED) if words else 0
+    return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, id_cols: list[str] | None = None, text_col: str = "text") -> DataFrame:
@@ -65,51 +88,87 @@ def planes_of(fps: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.packbits(bits.T.reshape(64, n, 64), axis=2, bitorder="little")).view(np.uint64)[..., 0]
 
 
-FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
+def lanes_of(marks: np.ndarray) -> np.ndarray:
+    """A word for each 64 truth values."""
+    padded = np.zeros(-(-len(marks) // 64) * 64, bool)
+    padded[: len(marks)] = marks
+    return np.packbits(padded, bitorder="little").view(np.uint64)
 
 
-def within(planes: np.ndarray, fp: int, radius: int, stride: int = 16) -> np.ndarray:
-    """A bit for each fingerprint of these planes: whether at most ``radius`` bits of it differ from ``fp``.
+def shifted(planes: np.ndarray, words: np.ndarray, d: int) -> np.ndarray:
+    """These words of the planes of the fingerprints ``d`` places further on; zeros behind the last."""
+    far, bits = divmod(d, 64)
+    n = planes.shape[1]
+    at = words + far
+    low = np.where(at < n, planes[:, np.minimum(at, n - 1)], np.uint64(0))
+    if not bits:
+        return low
+    high = np.where(at + 1 < n, planes[:, np.minimum(at + 1, n - 1)], np.uint64(0))
+    return low >> np.uint64(bits) | high << np.uint64(64 - bits)
+
+
+def add_up(columns: list[list[np.ndarray]], over: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Carry-save addition: ``columns[i]`` are planes worth 2 ** i; one plane of each is left, what is worth more goes to ``over``."""
+    out = []
+    for i, planes in enumerate(columns):
+        while len(planes) > 1:
+            a, b = planes.pop(), planes.pop()
+            half = a ^ b
+            carry = a & b
+            if planes:
+                c = planes.pop()
+                carry |= half & c
+                half ^= c
+            planes.append(half)
+            if i + 1 < len(columns):
+                columns[i + 1].append(carry)
+            else:
+                over = over | carry
+        out.append(planes[0] if planes else np.zeros_like(over))
+    return out, over
 
-    Differing bits are added plane by plane into vertical counters; a counter past the radius stays so. After each ``stride``
-    planes, words whose 64 fingerprints have all passed the radius are abandoned.
+
+def within(planes: np.ndarray, lanes: np.ndarray, d: int, radius: int, bits: list[int], stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
+    """Of the fingerprints in these ``lanes`` those from which the ``d``-th behind differs in ``radius`` of ``bits`` or fewer: words and lanes.
+
+    Only ``bits`` are looked at. Words without such a lane are left out.
     """
-    n = planes.shape[1]
+    words = np.flatnonzero(lanes)
+    live = lanes[words]
     digits = (radius + 1).bit_length()
-    out = np.zeros(n, np.uint64)
-    alive = np.arange(n)
-    counters = [np.zeros(n, np.uint64) for _ in range(digits)]
-    over = np.zeros(n, np.uint64)
-    own = planes
-    for start in range(0, 64, stride):
-        for b in range(start, start + stride):
-            carry = own[b] ^ (FULL if fp >> b & 1 else np.uint64(0))
-            for d in range(digits):
-                counters[d], carry = counters[d] ^ carry, counters[d] & carry
-            over |= carry
-        # over: counters that have wrapped; and those whose number is above the radius now
-        above = over.copy()
-        equal = np.full(len(alive), FULL)
-        for d in reversed(range(digits)):
-            if radius >> d & 1:
-                equal &= counters[d]
+    counters = [np.zeros(len(words), np.uint64) for _ in range(digits)]
+    over = np.zeros(len(words), np.uint64)
+    for start in range(0, len(bits), stride):
+        if not len(words):
+            break
+        own = planes[bits[start : start + stride]]
+        differ = own[:, words] ^ shifted(own, words, d)
+        counters, over = add_up([[counters[0], *differ], *([c] for c in counters[1:])], over)
+        # past the radius: counters that have overflowed, and those whose number is above it now
+        above, equal = over, ~over
+        for i in reversed(range(digits)):
+            if radius >> i & 1:
+                equal = equal & counters[i]
             else:
-                above |= equal & counters[d]
-                equal &= ~counters[d]
+                above = above | equal & counters[i]
+                equal = equal & ~counters[i]
         over = above
-        if (live := over != FULL).all():
-            continue
-        alive, own, over, counters = alive[live], own[:, live], over[live], [c[live] for c in counters]
-        if not len(alive):
-            return out
-    out[alive] = ~over
-    return out
+        live = live & ~over
+        keep = np.flatnonzero(live)
+        if len(keep) < len(words):
+            words, live, over, counters = words[keep], live[keep], over[keep], [c[keep] for c in counters]
+    return words, live
+
 
+def forest(fps: np.ndarray, buckets: np.ndarray, radius: int, bits: list[int] | None = None) -> np.ndarray:
+    """Edges (places in ``fps``, a row each) that join all that links within the buckets join: fewer than there are fingerprints.
 
-def forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Edges (places in ``fps``) that join all that links among distinct fingerprints join: no more than ``len(fps) - 1``."""
+    ``buckets`` rises; fingerprints of one bucket agree in all but ``bits``.
+    """
     n = len(fps)
-    parent = list(range(n))
+    bits = list(range(64)) if bits is None else bits
+    parent = np.arange(n)
+    edges: list[tuple[int, int]] = []
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -117,68 +176,99 @@ def forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
             i = parent[i]
         return i
 
-    edges = []
+    # how many of its bucket stand behind each fingerprint
+    starts = np.flatnonzero(np.append(True, buckets[1:] != buckets[:-1])) if n else np.zeros(0, int)
+    sizes = np.diff(np.append(starts, n))
+    behind = np.repeat(starts + sizes, sizes) - np.arange(n) - 1
+    planes = planes_of(fps)
+    for d in range(1, int(sizes.max(initial=1))):
+        words, hits = within(planes, lanes_of(behind >= d), d, radius, bits)
+        if not len(words):
+            continue
+        k, lane = np.nonzero(np.unpackbits(hits.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+        i = words[k] * 64 + lane
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+        for a in i[parent[i] != parent[i + d]].tolist():
+            x, y = root(a), root(a + d)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                edges.append((a, a + d))
+    return np.array(edges, np.int64).reshape(-1, 2)
 
-    def join(i: int, j: int) -> None:
-        a, b = root(i), root(j)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-            edges.append((i, j))
 
-    if n <= 48:  # too few to fill words of planes
-        for i in range(n - 1):
-            for j in np.flatnonzero(np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= radius).tolist():
-                join(i, i + 1 + j)
-        return edges
-    planes = planes_of(fps)
-    for i in range(n - 1):
-        w = (i + 1) // 64
-        hits = within(planes[:, w:], int(fps[i]), radius)
-        if hits.any():
-            for j in np.flatnonzero(np.unpackbits(hits.view(np.uint8), bitorder="little")).tolist():
-                if i < (j := j + 64 * w) < n:
-                    join(i, j)
-    return edges
-
-
-def band_keys(fp, radius: int) -> list:
-    """A column for each choice of ``radius`` of ``2 * radius`` blocks: the bits of those blocks, and which they are."""
-    n = 2 * radius
-    cuts = [64 * i // n for i in range(n + 1)]
-    out = []
-    for k, chosen in enumerate(combinations(range(n), radius)):
-        mask = sum(((1 << cuts[i + 1]) - (1 << cuts[i])) for i in chosen)
-        mask = mask - (1 << 64) if mask >> 63 else mask
-        out.append(F.struct(F.lit(k).cast("int").alias("band"), fp.bitwiseAND(F.lit(mask)).alias("part")))
-    return out
+def finer(mask: int, radius: int) -> list[int]:
+    """Masks that fix half of the bits that ``mask`` leaves free, too: a mask for each choice of ``radius`` of ``2 * radius`` blocks of these."""
+    free, n = free_bits(mask), 2 * radius
+    cuts = [len(free) * i // n for i in range(n + 1)]
+    return [mask | sum(1 << b for i in chosen for b in free[cuts[i] : cuts[i + 1]]) for chosen in combinations(range(n), radius)]
+
+
+def free_bits(mask: int) -> list[int]:
+    return [b for b in range(64) if not mask >> b & 1]
+
+
+def signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+EDGES = T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType())])
+
+
+def compare_buckets(batches: Iterator[pa.RecordBatch], radius: int, rows: int = 1 << 15) -> Iterator[pa.RecordBatch]:
+    """Edges of the buckets of a partition: rows of ``mask``, ``part`` and ``fp``, sorted. Whole buckets of one mask are compared together."""
+    held: list[np.ndarray] = []
+    n = 0
+
+    def found(table: np.ndarray) -> pa.RecordBatch:
+        fps = table[2].view(np.uint64)
+        at = forest(fps, np.cumsum(np.append(False, table[1, 1:] != table[1, :-1])), radius, free_bits(int(table[0, 0]) & (1 << 64) - 1))
+        return pa.RecordBatch.from_arrays([pa.array(table[2, at[:, 0]], pa.int64()), pa.array(table[2, at[:, 1]], pa.int64())], names=["u", "v"])
+
+    def whole(last: bool) -> Iterator[pa.RecordBatch]:
+        """Compares what is held but for the last bucket, which may go on; at the end that too."""
+        nonlocal held, n
+        table = np.concatenate(held, axis=1)
+        cut = table.shape[1]
+        if not last:
+            cut = int(np.flatnonzero((table[:2] != table[:2, -1:]).any(0))[-1:].max(initial=-1)) + 1
+        masks = np.flatnonzero(np.append(True, table[0, 1:cut] != table[0, : cut - 1])) if cut else []
+        for a, b in zip(masks, [*masks[1:], cut], strict=False):
+            yield found(table[:, a:b])
+        held, n = [table[:, cut:]], table.shape[1] - cut
+
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            part = batch.slice(a, rows)
+            held.append(np.stack([c.to_numpy() for c in part.columns]))
+            n += part.num_rows
+            if n >= rows:
+                yield from whole(False)
+    if n:
+        yield from whole(True)
 
 
 def link_edges(distinct: DataFrame, radius: int = RADIUS, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
     """Edges ``u``, ``v`` (fingerprints) that join what the links among distinct fingerprints ``fp`` join."""
-    if not 1 <= radius <= 2:
-        raise ValueError("radius is 1 or 2: a bucket that is too large is parted by single bits")
-    banded = distinct.select("fp", F.explode(F.array(*band_keys(F.col("fp"), radius))).alias("k")).select("k.band", "k.part", "fp")
-    sizes = banded.groupBy("band", "part").agg(F.count("*").alias("n")).where("n > 1")
-    shared = banded.join(sizes, ["band", "part"])
-    schema = T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType())])
-
-    def compare(t: pa.Table) -> pa.Table:
-        fps = np.sort(t.column("fp").to_numpy().view(np.uint64))
-        pairs = np.array(forest(fps, radius), np.int64).reshape(-1, 2)
-        ends = fps.view(np.int64)
-        return pa.table({"u": pa.array(ends[pairs[:, 0]], pa.int64()), "v": pa.array(ends[pairs[:, 1]], pa.int64())})
-
-    usual = shared.where(F.col("n") <= bucket_limit).select("band", "part", "fp").groupBy("band", "part").applyInArrow(compare, schema)
-    ones = [F.lit(-(1 << 63) if b == 63 else 1 << b) for b in range(64)]
-    near = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(b) for b in ones])
-    balls = shared.where(F.col("n") > bucket_limit).select("fp").distinct().select("fp", F.explode(near).alias("centre"))
-    # all that share a centre are within two bits of each other; with radius 1 links are checked
-    heads = balls.groupBy("centre").agg(F.min("fp").alias("head"))
-    if radius == 2:
-        hot = balls.join(heads, "centre").select(F.col("head").alias("u"), F.col("fp").alias("v"))
-    else:
-        hot = balls.where("fp <> centre").join(distinct.select(F.col("fp").alias("centre")), "centre").select(F.col("centre").alias("u"), F.col("fp").alias("v"))
-    return usual.union(hot.where("u <> v"))
+    if radius < 1:
+        raise ValueError("radius is 1 or more")
+    spark = distinct.sparkSession
+    masks, every, out = [0], distinct.select("fp", F.lit(0).cast("long").alias("mask")), None
+    for level in range(LEVELS):
+        # every mask is fixed by the radius and the step: 6, 36 and 216 of them for radius 2
+        steps = spark.createDataFrame([(signed(m), signed(f)) for m in masks for f in finer(m, radius)], "mask long, finer long")
+        masks = [f for m in masks for f in finer(m, radius)]
+        banded = every.join(F.broadcast(steps), "mask").select(F.col("finer").alias("mask"), F.col("fp").bitwiseAND(F.col("finer")).alias("part"), "fp")
+        sizes = materialize(banded.groupBy("mask", "part").agg(F.count("*").alias("n")).where("n > 1"), "simhash-sizes")
+        shared = banded.join(sizes, ["mask", "part"])
+        last = level == LEVELS - 1
+        own = (shared if last else shared.where(F.col("n") <= bucket_limit)).select("mask", "part", "fp")
+        edges = own.repartition("mask", "part").sortWithinPartitions("mask", "part", "fp").mapInArrow(lambda batches: compare_buckets(batches, radius), EDGES)
+        out = edges if out is None else out.union(edges)
+        if last or sizes.where(F.col("n") > bucket_limit).isEmpty():
+            break
+        every = shared.where(F.col("n") > bucket_limit).select("fp", "mask")
+    return out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
@@ -192,6 +282,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     moved = linked.join(least, "component").select("fp", F.col("least").alias("label"))
     # written, so that the join below stands alone and Spark can split a fingerprint that very many documents share
     labels = materialize(heads.join(moved, "fp", "left").select("fp", F.coalesce("label", "head").alias("component_id")), "simhash-labels")
+    for done in (heads, parts):
+        drop_materialized(done)
     return marks.join(labels, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 

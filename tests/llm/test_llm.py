@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -267,17 +268,84 @@ def test_simhash_query_by_brute_force(spark, sf, docs):
     assert all(got[i]["fingerprint"] == f"{f:016x}" for (i, _), f in zip(rows, fps, strict=True))
 
 
-@given(st.integers(0, 2**64 - 1), st.lists(st.integers(0, 2**64 - 1), min_size=1, max_size=150), st.integers(0, 5))
-@settings(max_examples=60, deadline=None)
-def test_bit_planes_count(fp, others, radius):
-    near = [fp, fp ^ 1, fp ^ (3 << 40), fp ^ (7 << 20), *others]
-    fps = np.array(near, np.uint64)
-    bits = np.unpackbits(simhash.within(simhash.planes_of(fps), fp, radius).view(np.uint8), bitorder="little")[: len(fps)]
-    assert bits.tolist() == [int((f ^ fp).bit_count() <= radius) for f in near]
+def near_ones(rng, n, spread):
+    """Fingerprints around a few, and which bucket each is in."""
+    fps, buckets = [], []
+    for k in range(n):
+        base = rng.getrandbits(64)
+        for _ in range(rng.choice([1, 2, 3, 70, 150])):
+            flipped = base
+            for _ in range(rng.randrange(spread)):
+                flipped ^= 1 << rng.randrange(64)
+            fps.append(flipped)
+            buckets.append(k)
+    return np.array(fps, np.uint64), np.array(buckets)
+
+
+@pytest.mark.parametrize("radius", [1, 2, 3, 5])
+@pytest.mark.parametrize("seed", range(5))
+def test_bit_planes_count(seed, radius):
+    """Of every distance: exactly the pairs of a bucket within the radius."""
+    fps, buckets = near_ones(random.Random(seed), 9, 7)
+    planes, n = simhash.planes_of(fps), len(fps)
+    for d in (1, 2, 63, 64, 65, 100, 149):
+        same = np.append(buckets[d:] == buckets[:-d], np.zeros(min(d, n), bool)) if d < n else np.zeros(n, bool)
+        words, lanes = simhash.within(planes, simhash.lanes_of(same), d, radius, list(range(64)))
+        got = {int(w) * 64 + b for w, x in zip(words, lanes, strict=True) for b in range(64) if int(x) >> b & 1}
+        assert got == {i for i in range(n - d) if same[i] and (int(fps[i]) ^ int(fps[i + d])).bit_count() <= radius}
+
+
+def test_every_pair_goes_through_the_planes(monkeypatch):
+    """Buckets of all sizes: each pair of a bucket is a lane of one comparison, and nothing else decides on it."""
+    fps, buckets = near_ones(random.Random(9), 12, 7)
+    asked, plain = Counter(), simhash.within
+
+    def within(planes, lanes, d, *rest):
+        asked.update((w * 64 + b, w * 64 + b + d) for w, x in enumerate(lanes) for b in range(64) if int(x) >> b & 1)
+        return plain(planes, lanes, d, *rest)
+
+    monkeypatch.setattr(simhash, "within", within)
+    edges = simhash.forest(fps, buckets, 2)
+    assert asked == Counter((i, j) for i in range(len(fps)) for j in range(i + 1, len(fps)) if buckets[i] == buckets[j])
+    monkeypatch.setattr(simhash, "within", lambda *a: (np.zeros(0, int), np.zeros(0, np.uint64)))
+    assert len(edges) and not len(simhash.forest(fps, buckets, 2))
+
+
+def test_buckets_cross_batches():
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    fps = sorted({rng.getrandbits(16) for _ in range(900)})
+    rows = sorted((simhash.signed(m), simhash.signed(f & m), f) for m in simhash.finer(0, 2) for f in fps)
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[a : a + 37], strict=True)], names=["mask", "part", "fp"]) for a in range(0, len(rows), 37)]
+    got = [r for size in (10, 1 << 15) for r in [sorted((e["u"], e["v"]) for b in simhash.compare_buckets(iter(batches), 2, size) for e in b.to_pylist())]]
+    assert all((u ^ v).bit_count() <= 2 for u, v in got[0])
+    assert plain_components(fps, fps) == joined(fps, got[0]) == joined(fps, got[1])
+
+
+def joined(fps, edges):
+    parent = {f: f for f in fps}
+
+    def root(f):
+        while parent[f] != f:
+            f = parent[f]
+        return f
+
+    for u, v in edges:
+        a, b = root(u), root(v)
+        parent[max(a, b)] = min(a, b)
+    return {f: root(f) for f in fps}
 
 
-@pytest.mark.parametrize("limit", [3, 2048])
-@pytest.mark.parametrize("radius", [1, 2])
+def test_fingerprint_of_pieces(monkeypatch):
+    text = " ".join(f"w{k * k % 97}" for k in range(500)) + "\x0b\u00a0é end"
+    whole = simhash.fingerprint(text.encode())
+    monkeypatch.setattr(simhash.pieces, "__defaults__", (40,))
+    assert simhash.fingerprint(text.encode()) == whole == plain_fingerprint(text)
+    assert simhash.fingerprint(b" " * 300) == 0 and simhash.fingerprint(b" " * 90 + b"a" + b" " * 90 + b"B") == plain_fingerprint("a b")
+
+
+@pytest.mark.parametrize("radius, limit", [(1, 3), (1, 2048), (2, 3), (2, 2048), (3, 2048)])
 def test_large_buckets_lose_no_link(spark, limit, radius):
     rng = random.Random(limit)
     fps = {rng.getrandbits(64) for _ in range(40)}
@@ -285,21 +353,17 @@ def test_large_buckets_lose_no_link(spark, limit, radius):
     for b in base:
         fps |= {b ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for _ in range(90)}
     fps = sorted(fps)
-    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    signed = [simhash.signed(f) for f in fps]
     edges = simhash.link_edges(spark.createDataFrame([(f,) for f in signed], "fp long"), radius, limit).collect()
-    want = plain_components(fps, signed, radius)
-    parent = {f: f for f in signed}
+    assert all(((e["u"] ^ e["v"]) & (1 << 64) - 1).bit_count() <= radius for e in edges)
+    assert joined(signed, [(e["u"], e["v"]) for e in edges]) == plain_components(fps, signed, radius)
 
-    def root(f):
-        while parent[f] != f:
-            f = parent[f]
-        return f
 
-    for e in edges:
-        a, b = root(e["u"]), root(e["v"])
-        parent[max(a, b)] = min(a, b)
-        assert ((e["u"] ^ e["v"]) & (1 << 64) - 1).bit_count() <= 2
-    assert {f: root(f) for f in signed} == want
+def test_null_ids_link_others(spark):
+    same = "a text that three rows have in common"
+    rows = [(None, same), (7, same), (9, same), (None, "alone"), (None, None), (3, "")]
+    got = sorted(((r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(None, 7), (7, 7), (9, 7), (None, None), (None, 3), (3, 3)], key=str)
 
 
 def test_one_of_each_group_stays(odd):
