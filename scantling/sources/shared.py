@@ -4,14 +4,21 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SCRATCH: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or where that is unset a folder made for this session."""
+    """spark.checkpoint.dir. Where that is unset, a folder made for this session if it runs in one process; on a cluster that raises."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: executors need a folder that they share")
         found = "file://" + tempfile.mkdtemp(prefix="scantling-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -20,14 +27,32 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    if (made := _SCRATCH.get()) is not None:
+        made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(conf).delete(at, True)
+
+
 def drop_materialized(df: DataFrame) -> None:
     """Delete the files behind a frame that :func:`materialize` returned."""
-    spark = df.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for name in df.inputFiles()[:1]:
-        path = jvm.org.apache.hadoop.fs.Path(name).getParent()
-        path.getFileSystem(conf).delete(path, True)
+        _delete(df.sparkSession, name.rsplit("/", 1)[0])
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what was materialized within: for work whose result has been written elsewhere by then."""
+    outer, own = _SCRATCH.get(), []
+    _SCRATCH.set(own)
+    try:
+        yield
+    finally:
+        _SCRATCH.set(outer)
+        for path in own:
+            _delete(spark, path)
