@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from scantling.operators.detections import hash_order
 
-#: The greatest matrix of representatives that is sent to every task.
-BROADCAST_BYTES = 256 << 20
+#: The greatest matrix of representatives that is sent to every task at a time.
+BLOCK_BYTES = 64 << 20
+#: How many of the farthest tiles the driver looks at between two passes over all.
+CANDIDATES = 2048
 
 
 def _matrix(batch: pa.RecordBatch, at: int) -> np.ndarray:
@@ -21,50 +25,54 @@ def _matrix(batch: pa.RecordBatch, at: int) -> np.ndarray:
     return flat.reshape(batch.num_rows, -1)
 
 
-def nearest(tiles: DataFrame, reps: DataFrame, k: int, id_col: str = "tile_id", vector: str = "embedding") -> DataFrame:
+def _nearest_in(tiles: DataFrame, reps: DataFrame, k: int, id_col: str, vector: str) -> DataFrame:
+    """``id_col``, ``rep_id`` and ``dist`` of the ``k`` nearest of a block of representatives that fits into memory."""
+    rows = sorted(reps.select(id_col, vector).collect())
+    shared = tiles.sparkSession.sparkContext.broadcast((np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64)))
+    schema = T.StructType([tiles.schema[id_col], T.StructField("rep_id", T.LongType()), T.StructField("dist", T.DoubleType()), T.StructField("rank", T.IntegerType())])
+
+    def run(batches):
+        ids, reps_ = shared.value
+        for batch in batches:
+            for a in range(0, batch.num_rows, 512):
+                part = batch.slice(a, 512)
+                x = _matrix(part, 1)
+                # differences, not products of norms: near ties keep their order
+                d = np.sqrt(((x[:, None, :] - reps_[None, :, :]) ** 2).sum(2)) if len(ids) * x.shape[1] * 512 <= 1 << 24 else np.stack([np.sqrt(((reps_ - v) ** 2).sum(1)) for v in x])
+                best = np.argsort(d, axis=1, kind="stable")[:, :k]
+                n, m = best.shape
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(pa.array(np.repeat(np.arange(n), m))), pa.array(ids[best].ravel(), pa.int64()), pa.array(np.take_along_axis(d, best, 1).ravel(), pa.float64()), pa.array(np.tile(np.arange(1, m + 1), n), pa.int32())],
+                    names=[id_col, "rep_id", "dist", "rank"],
+                )
+
+    return tiles.select(id_col, vector).mapInArrow(run, schema)
+
+
+def nearest(tiles: DataFrame, reps: DataFrame, k: int, id_col: str = "tile_id", vector: str = "embedding", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``id_col``, ``rank`` (1 is nearest), ``rep_id``, ``dist`` of the ``k`` nearest representatives of every tile; ties by lesser id.
 
-    Representatives are a parameter of the index (thousands); where they fit the bound they go to every task as one matrix and
-    distances are matrix products in blocks. Beyond it they are compared in blocks of rows, each block a job's worth of pairs, merged by rank.
+    Representatives go to every task as a matrix of at most ``block_bytes``, and distances are matrix products in blocks. Where there are
+    more, block follows block: each is compared with all tiles, merged with the best so far and written, so that neither the
+    driver nor a task ever holds a second one.
     """
-    spark = tiles.sparkSession
-    width = reps.select(F.max(F.size(vector))).first()[0] or 0
-    count = reps.count()
-    per = max(k, BROADCAST_BYTES // max(1, 8 * width))
-    parts = []
-    if count <= per:
-        blocks = [reps]
-    else:
-        numbered = reps.withColumn("__block", F.pmod(F.xxhash64(id_col), F.lit(-(-count // per))))
-        blocks = [numbered.where(F.col("__block") == b).drop("__block") for b in range(-(-count // per))]
-    schema = T.StructType([tiles.schema[id_col], T.StructField("rank", T.IntegerType()), T.StructField("rep_id", T.LongType()), T.StructField("dist", T.DoubleType())])
-    for block in blocks:
-        rows = sorted(block.select(id_col, vector).collect())
-        shared = spark.sparkContext.broadcast((np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64)))
-
-        def run(batches, shared=shared):
-            ids, reps_ = shared.value
-            for batch in batches:
-                for a in range(0, batch.num_rows, 512):
-                    part = batch.slice(a, 512)
-                    x = _matrix(part, 1)
-                    # differences, not products of norms: near ties keep their order
-                    d = np.sqrt(((x[:, None, :] - reps_[None, :, :]) ** 2).sum(2)) if len(ids) * x.shape[1] * 512 <= 1 << 24 else np.stack([np.sqrt(((reps_ - v) ** 2).sum(1)) for v in x])
-                    best = np.argsort(d, axis=1, kind="stable")[:, :k]
-                    n, m = best.shape
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column(0).take(pa.array(np.repeat(np.arange(n), m))), pa.array(np.tile(np.arange(1, m + 1), n), pa.int32()), pa.array(ids[best].ravel(), pa.int64()), pa.array(np.take_along_axis(d, best, 1).ravel(), pa.float64())],
-                        names=[id_col, "rank", "rep_id", "dist"],
-                    )
-
-        parts.append(tiles.select(id_col, vector).mapInArrow(run, schema))
-    if len(parts) == 1:
-        return parts[0]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.union(p)
+    size = reps.agg(F.count("*").alias("n"), F.max(F.size(vector)).alias("width")).first()
+    blocks = -(-size["n"] * 8 * max(1, size["width"] or 1) // block_bytes)
+    order = [id_col, "rank", "rep_id", "dist"]
+    if blocks <= 1:
+        return _nearest_in(tiles, reps, k, id_col, vector).select(*order)
+    from scantling.sources.shared import drop_materialized, materialize
+
     w = Window.partitionBy(id_col).orderBy("dist", "rep_id")
-    return every.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    best = None
+    for b in range(blocks):
+        own = _nearest_in(tiles, reps.where(F.pmod(F.xxhash64(id_col), F.lit(blocks)) == b), k, id_col, vector)
+        every = own if best is None else own.unionByName(best)
+        now = materialize(every.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k), "nearest")
+        if best is not None:
+            drop_materialized(best)
+        best = now
+    return best.select(*order)
 
 
 def propagate(topk: DataFrame, scores: DataFrame, id_col: str = "tile_id") -> DataFrame:
@@ -78,55 +86,83 @@ def propagate(topk: DataFrame, scores: DataFrame, id_col: str = "tile_id") -> Da
     return sums.select(id_col, F.when((F.col("s") == 0) | (F.col("k") == 1), F.col("y") / F.col("k")).otherwise(weighed).alias("score"))
 
 
-def farthest_first(tiles: DataFrame, buckets: int, random_share: float = 0.25, seed: int = 7, id_col: str = "tile_id", vector: str = "embedding", in_one: int = 1_000_000) -> DataFrame:
+def farthest_first(tiles: DataFrame, buckets: int, random_share: float = 0.25, seed: int = 7, id_col: str = "tile_id", vector: str = "embedding", candidates: int = CANDIDATES) -> DataFrame:
     """``place`` and ``rep_id`` of ``buckets`` representatives: some by hash, then the tile farthest from all chosen, ties by lesser id.
 
-    Up to ``in_one`` tiles are a matrix of one task; beyond it each step is a pass over a table of least distances.
+    A table holds each tile's least distance to those chosen. A pass over it takes in the newest of them only, and brings the
+    ``candidates`` farthest tiles to the driver, which goes on choosing among them for as long as the farthest is farther than any tile left
+    behind could be, as distances only shrink. So most passes choose many, and the choice is that of one at a time.
     """
+    from scantling.sources.shared import drop_materialized, materialize
+
     spark = tiles.sparkSession
-    n = tiles.count()
-    buckets = min(buckets, n)
-    first = max(1, int(random_share * buckets)) if n else 0
-    starts = [r[0] for r in tiles.select(id_col, hash_order(F.col(id_col), seed).alias("h")).orderBy("h", id_col).limit(first).select(id_col).collect()]
     schema = "place int, rep_id long"
-    if n <= in_one:
-        def one(key, pdf):
-            import pandas as pd
-
-            pdf = pdf.sort_values(id_col, ignore_index=True)
-            ids, x = pdf[id_col].to_numpy(), np.stack(pdf[vector].to_numpy()).astype(np.float64)
-            place = {i: p for p, i in enumerate(ids.tolist())}
-            reps = list(starts)
-            least = np.full(len(ids), np.inf)
-            for r in reps:
-                least = np.minimum(least, np.sqrt(((x - x[place[r]]) ** 2).sum(1)))
-            while len(reps) < buckets:
-                far = int(least.argmax())
-                reps.append(int(ids[far]))
-                least = np.minimum(least, np.sqrt(((x - x[far]) ** 2).sum(1)))
-            return pd.DataFrame({"place": np.arange(len(reps), dtype=np.int32), "rep_id": reps})
-
-        if not n:
-            return spark.createDataFrame([], schema)
-        return tiles.select(id_col, vector, F.lit(0).alias("__all")).groupBy("__all").applyInPandas(one, schema)
-    reps = list(starts)
-    vectors = {r[0]: r[1] for r in tiles.where(F.col(id_col).isin(starts)).select(id_col, vector).collect()}
-    chosen = [vectors[r] for r in reps]
+    buckets = min(buckets, tiles.count())
+    first = max(1, int(random_share * buckets)) if buckets else 0
+    started = tiles.select(id_col, vector, hash_order(F.col(id_col), seed).alias("h")).orderBy("h", id_col).limit(first).collect()
+    reps, fresh = [r[0] for r in started], [r[1] for r in started]
+    table = tiles.select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v"), F.lit(float("inf")).alias("least"))
+    written = None
     while len(reps) < buckets:
-        shared = spark.sparkContext.broadcast(np.array(chosen, np.float64))
+        shared = spark.sparkContext.broadcast(np.array(fresh, np.float64))
 
-        def far(batches, shared=shared):
+        def closer(batches, shared=shared):
             for batch in batches:
-                d = np.min([np.sqrt(((_matrix(batch, 1) - c) ** 2).sum(1)) for c in shared.value], axis=0)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(d, pa.float64())], names=["id", "d"])
-
-        best = tiles.select(id_col, vector).mapInArrow(far, "id long, d double").orderBy(F.desc("d"), "id").limit(1)
-        r = best.join(tiles, F.col("id") == F.col(id_col)).select(id_col, vector).first()
-        reps.append(r[0])
-        chosen.append(r[1])
+                x, least = _matrix(batch, 1), batch.column(2).to_numpy()
+                for c in shared.value:
+                    least = np.minimum(least, np.sqrt(((x - c) ** 2).sum(1)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(least)], names=["id", "v", "least"])
+
+        table = materialize(table.mapInArrow(closer, table.schema), "farthest")
+        if written is not None:
+            drop_materialized(written)
+        written = table
+        rows = table.orderBy(F.desc("least"), "id").limit(candidates).collect()
+        ids, x, least = np.array([r["id"] for r in rows]), np.array([r["v"] for r in rows], np.float64), np.array([r["least"] for r in rows])
+        # no tile that stayed behind is farther than this
+        rest = least[-1] if len(rows) == candidates else -1.0
+        fresh = []
+        while len(reps) < buckets:
+            far = int(np.lexsort((ids, -least))[0])
+            if fresh and least[far] <= rest:
+                break
+            reps.append(int(ids[far]))
+            fresh.append(x[far])
+            least = np.minimum(least, np.sqrt(((x - x[far]) ** 2).sum(1)))
+    if written is not None:
+        drop_materialized(written)
     return spark.createDataFrame(list(enumerate(reps)), schema)
 
 
+@dataclass(frozen=True)
+class IndexConfig:
+    """How an index is built: representatives, nearest ones kept for each tile, tiles to train an embedder on, seed, random share."""
+
+    buckets: int = 7000
+    k: int = 5
+    training: int = 3000
+    seed: int = 1
+    random_share: float = 0.25
+
+
+def build_index(tiles: DataFrame, config: IndexConfig = IndexConfig(), id_col: str = "tile_id") -> dict[str, DataFrame]:
+    """Tables of an index: ``reps`` (place, rep_id) and ``topk`` (tile, rank, rep_id, dist)."""
+    reps = farthest_first(tiles, config.buckets, config.random_share, config.seed, id_col)
+    own = tiles.join(reps.select(F.col("rep_id").alias(id_col)), id_col, "left_semi")
+    return {"reps": reps, "topk": nearest(tiles, own, config.k, id_col)}
+
+
+def write_index(tables: dict[str, DataFrame], path: str) -> None:
+    """Each table of an index in a folder of its own; refuses to overwrite."""
+    for name, df in tables.items():
+        df.write.mode("error").parquet(f"{path}/{name}")
+
+
+def read_index(spark: SparkSession, path: str, names: tuple[str, ...] = ("reps", "topk")) -> dict[str, DataFrame]:
+    """The tables of a written index: a query starts from them, not from the embeddings."""
+    return {name: spark.read.parquet(f"{path}/{name}") for name in names}
+
+
 def crack(tiles: DataFrame, labelled: DataFrame, k: int, id_col: str = "tile_id") -> DataFrame:
     """Nearest representatives where every labelled tile is one."""
     return nearest(tiles, tiles.join(labelled.select(id_col).distinct(), id_col, "left_semi"), k, id_col)

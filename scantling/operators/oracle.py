@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 Labeller = Callable[[DataFrame], DataFrame]
 
@@ -20,12 +21,17 @@ class LabelCache:
         self.table = table
 
     def get(self, wanted: DataFrame) -> DataFrame:
-        """Labels of the wanted keys."""
+        """Labels of the wanted keys. Each key is asked for once, however often it is wanted; nulls are keys like any other."""
         from scantling.sources.shared import materialize
 
-        wanted_keys = wanted.select(*self.keys).distinct()
-        missing = wanted if self.table is None else wanted.join(self.table.select(*self.keys), self.keys, "left_anti")
+        keys = wanted.select(*self.keys).distinct()
+        missing = keys if self.table is None else self._keyed(keys, "left_anti")
         made = materialize(self.labeller(missing), "labels")
-        self.calls += made.count()
+        self.calls += made.select(*self.keys).distinct().count()
         self.table = made if self.table is None else self.table.unionByName(made)
-        return self.table.join(wanted_keys, self.keys, "left_semi")
+        return self._keyed(self.table, "left_semi", keys)
+
+    def _keyed(self, left: DataFrame, how: str, right: DataFrame | None = None) -> DataFrame:
+        right = (self.table if right is None else right).select(*[F.col(k).alias(f"__{k}") for k in self.keys])
+        on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in self.keys]
+        return left.join(right, on, how)

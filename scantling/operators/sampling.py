@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -23,21 +25,33 @@ def one_sided(df: DataFrame, x: Column, z: float = 1.6448536269514722) -> DataFr
     return df.agg(F.round(m + z * F.sqrt(m * (1 - m) / n), 6).alias("bernoulli_upper"), F.round(m - z * F.stddev_samp(x) / F.sqrt(n), 6).alias("std_lower"))
 
 
-def ranked(df: DataFrame, score: str, tie: str, sums: dict[str, Column] | None = None, bins: int = 1024) -> DataFrame:
-    """``rank`` (0 first) by falling score in [0, 1], ties by rising ``tie``, and running sums, with no global sort.
+def in_order(df: DataFrame, order: list[Column], label: str) -> DataFrame:
+    """``df`` sorted over range partitions and written, with ``__part`` and ``__place``: each row's partition and its place there, both rising.
 
-    Scores are cut into bins; the bins' counts and sums, a bounded table, give where each begins; rows are ordered within theirs.
+    Partitions are cut by a sample of all of ``order``, so where its last part is unique no value of the others is too frequent for a task.
+    """
+    from scantling.sources.shared import materialize
+
+    mark = F.monotonically_increasing_id()
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__mark", mark)
+    placed = materialize(placed, label)
+    return placed.withColumn("__part", F.shiftright("__mark", 33)).withColumn("__place", F.col("__mark").bitwiseAND((1 << 33) - 1)).drop("__mark")
+
+
+def ranked(df: DataFrame, score: str, tie: str, sums: dict[str, Column] | None = None) -> DataFrame:
+    """``rank`` (0 first) by falling score, ties by rising ``tie``, and running sums.
+
+    Rows are sorted over range partitions of score and tie together; counts and sums of the partitions, a bounded table, give where each begins.
     """
     sums = sums or {}
-    cut = F.least(F.floor((1 - F.col(score)) * bins), F.lit(bins - 1)).cast("int")
-    own = df.withColumn("__bin", cut).select("*", *[c.cast("double").alias(f"__{n}") for n, c in sums.items()])
-    total = own.groupBy("__bin").agg(F.count("*").alias("__n"), *[F.sum(f"__{n}").alias(f"__s_{n}") for n in sums])
-    before = Window.orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
-    starts = total.select("__bin", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__from"), *[F.coalesce(F.sum(f"__s_{n}").over(before), F.lit(0.0)).alias(f"__b_{n}") for n in sums])
-    w = Window.partitionBy("__bin").orderBy(F.desc(score), tie)
-    inner = own.withColumn("__rn", F.row_number().over(w)).select("*", *[F.sum(f"__{n}").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias(f"__c_{n}") for n in sums])
-    joined = inner.join(F.broadcast(starts), "__bin")
-    return joined.select(*df.columns, (F.col("__from") + F.col("__rn") - 1).alias("rank"), *[(F.col(f"__b_{n}") + F.col(f"__c_{n}")).alias(n) for n in sums])
+    own = in_order(df.select("*", *[c.cast("double").alias(f"__{n}") for n, c in sums.items()]), [F.desc(score), F.asc(tie)], "ranked")
+    total = own.groupBy("__part").agg(F.count("*").alias("__n"), *[F.sum(f"__{n}").alias(f"__s_{n}") for n in sums])
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = total.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__from"), *[F.coalesce(F.sum(f"__s_{n}").over(before), F.lit(0.0)).alias(f"__b_{n}") for n in sums])
+    w = Window.partitionBy("__part").orderBy("__place").rowsBetween(Window.unboundedPreceding, 0)
+    inner = own.select("*", *[F.sum(f"__{n}").over(w).alias(f"__c_{n}") for n in sums])
+    joined = inner.join(F.broadcast(starts), "__part")
+    return joined.select(*df.columns, (F.col("__from") + F.col("__place")).alias("rank"), *[(F.col(f"__b_{n}") + F.col(f"__c_{n}")).alias(n) for n in sums])
 
 
 def importance_weights(df: DataFrame, score: str, mode: str = "sqrt", uniform: float = 0.1) -> DataFrame:
@@ -48,7 +62,7 @@ def importance_weights(df: DataFrame, score: str, mode: str = "sqrt", uniform: f
 
 
 def importance_sample(df: DataFrame, score: str, tie: str, budget: int, mode: str = "sqrt", seed: int = 7) -> DataFrame:
-    """``budget`` draws with replacement by inverse CDF: rows of ``df`` with ``draw``, ``rank``, ``prob`` and ``mass`` (1 / n / prob).
+    """``budget`` draws with replacement by inverse CDF: rows of ``df`` with ``draw``, ``rank``, ``n``, ``prob``, ``upto`` (the probability down to this rank) and ``mass`` (1 / n / prob).
 
     Draws meet rows by the bin of their uniform number, so the range join is an equi-join with a residual.
     """
@@ -59,7 +73,7 @@ def importance_sample(df: DataFrame, score: str, tie: str, budget: int, mode: st
     low = F.floor((F.col("upto") - F.col("prob")) * 1000)
     spread = run.withColumn("slot", F.explode(F.sequence(low, F.floor(F.col("upto") * 1000))))
     hit = spread.join(draws, "slot").where((F.col("u") < F.col("upto")) & (F.col("u") >= F.col("upto") - F.col("prob")))
-    return hit.withColumn("mass", 1 / F.col("n") / F.col("prob")).drop("slot", "upto", "u")
+    return hit.withColumn("mass", 1 / F.col("n") / F.col("prob")).drop("slot", "u")
 
 
 def reuse_sample(df: DataFrame, score: str, tie: str, wanted: int, mode: str = "sqrt", seed: int = 7, seen: DataFrame | None = None) -> DataFrame:
@@ -72,59 +86,87 @@ def reuse_sample(df: DataFrame, score: str, tie: str, wanted: int, mode: str = "
     return drawn.join(F.broadcast(last)).where(F.col("draw") <= F.col("last")).drop("last")
 
 
-def _steps(y: np.ndarray, p: np.ndarray, n: int, tau: float, var: float, eps: float, conf: float, top: float) -> tuple[int, float, float] | None:
-    """First step of the stopping rule that closes the bounds, with both; None if these rows don't. Rows are in sampling order."""
-    growth, order = 1.5, 1.1
-    t = np.arange(2, len(y))
-    if not len(t):
-        return None
-    k = np.ones(len(t), int)
-    ks = [int(growth**j) for j in range(200) if growth**j < 4e18]
-    for j in range(2, len(ks)):
-        k[(t > ks[j - 1]) & (t <= ks[j])] = j
-    k[k < 2] = 2
-    edges = np.array(ks)
-    sy, sp, syp, syy, spp = (np.cumsum(v) for v in (y, p, y * p, y * y, p * p))
-    n0 = np.minimum(np.maximum(edges[k - 1] + 1, min(100, len(y))), len(y))
-    i0 = n0 - 1
-    cov = (syp[i0] - sy[i0] * sp[i0] / n0) / (n0 - 1)
-    c = -cov / var if var > 0 else np.zeros(len(t))
-    m = t + 1
-    s = sy[t] + c * (sp[t] - m * tau)
-    s2 = syy[t] + 2 * c * (syp[t] - tau * sy[t]) + c * c * (spp[t] - 2 * tau * sp[t] + m * tau * tau)
-    alpha = edges[k] / edges[k - 1]
-    d = conf * (order - 1) / order / (np.log(k) / np.log(1.1)) ** order
-    x = -alpha * np.log(d) / 3
-    var_s = (s2 - s * s / t) / t
-    ok = var_s >= 0
-    sigma = np.sqrt(np.where(ok, var_s, 0)) * np.sqrt((n - t) / (n - 1))
-    ct = sigma * np.sqrt(2 * x / t) + 3 * top * x / t
-    mean = np.abs(s / t)
-    lower = np.maximum.accumulate(np.where(ok, mean - ct, -np.inf))
-    upper = np.minimum.accumulate(np.where(ok, mean + ct, np.inf))
-    hit = np.flatnonzero(lower + eps >= upper - eps)
-    if not len(hit):
+#: The stopping rule looks anew at its control variate when the sample has grown by this.
+GROWTH, ORDER = 1.5, 1.1
+EDGES = [int(GROWTH**j) for j in range(1, 100) if GROWTH**j < 1 << 52]
+
+
+def _first_close(rows: DataFrame, limit: int, n: int, tau: float, var: float, eps: float, conf: float, top: float, bins: int = 512) -> tuple[int, float] | None:
+    """First place of the sample at which the bounds meet, and the estimate there; None if they don't. ``rows``: ``h``, ``k``, ``y``, ``p``.
+
+    Rows are in order of ``h`` (under ``limit``, evenly spread) and ``k``. Running sums and running bounds come from those of bins of
+    ``h`` and windows within each; the driver gets a row for each growth step and the answer.
+    """
+    from scantling.sources.shared import drop_materialized, materialize
+
+    names = {"sy": F.col("y"), "sp": F.col("p"), "syp": F.col("y") * F.col("p"), "syy": F.col("y") * F.col("y"), "spp": F.col("p") * F.col("p")}
+    binned = rows.withColumn("bin", F.floor(F.col("h") * bins / F.lit(limit)))
+    before = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    totals = binned.groupBy("bin").agg(F.count("*").alias("n_"), *[F.sum(c).alias(f"{x}_") for x, c in names.items()])
+    starts = totals.select("bin", *[F.coalesce(F.sum(f"{x}_").over(before), F.lit(0)).alias(f"{x}_") for x in ("n", *names)])
+    w = Window.partitionBy("bin").orderBy("h", "k")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    run = binned.select("bin", F.row_number().over(w).alias("rn"), *[F.sum(c).over(upto).alias(x) for x, c in names.items()]).join(F.broadcast(starts), "bin")
+    run = materialize(run.select("bin", (F.col("n_") + F.col("rn") - 1).alias("t"), *[(F.col(x) + F.col(f"{x}_")).alias(x) for x in names]), "sample-sums")
+    # at the beginning of each step, how the proxy and the truth vary together
+    have = run.agg(F.max("t")).first()[0]
+    if have is None or have < 2:
+        drop_materialized(run)
         return None
-    i = int(hit[0])
-    return int(t[i]), float(np.sign(s[i])) * 0.5 * ((1 + eps) * lower[i] + (1 - eps) * upper[i]) * n, float(c[i])
+    size = have + 1
+    begin = {j: min(max(EDGES[j - 1] + 1, min(100, size)), size) for j in range(1, len(EDGES)) if EDGES[j - 1] < size or j == 1}
+    at = {r["t"]: r for r in run.where(F.col("t").isin(sorted({b - 1 for b in begin.values()}))).collect()}
+    cs, alphas, xs = [], [], []
+    for j, b in begin.items():
+        r = at[b - 1]
+        cs.append(-((r["syp"] - r["sy"] * r["sp"] / b) / (b - 1)) / var if var > 0 else 0.0)
+        alphas.append(EDGES[j] / EDGES[j - 1])
+        d = conf * (ORDER - 1) / ORDER / (math.log(j + 1) / math.log(1.1)) ** ORDER
+        xs.append(-alphas[-1] * math.log(d) / 3)
+    edges = np.array([EDGES[j - 1] for j in begin])
+    values = np.array([cs, xs], float)
+
+    def bounds_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t, sy, sp, syp, syy, spp = (batch.column(i).to_numpy() for i in range(1, 7))
+            c, x = values[:, np.maximum(np.searchsorted(edges, t) - 1, 0)]
+            m = t + 1
+            s = sy + c * (sp - m * tau)
+            s2 = syy + 2 * c * (syp - tau * sy) + c * c * (spp - 2 * tau * sp + m * tau * tau)
+            spread = (s2 - s * s / t) / t
+            reach = np.sqrt(np.maximum(spread, 0)) * np.sqrt((n - t) / max(1, n - 1)) * np.sqrt(2 * x / t) + 3 * top * x / t
+            mean, known = np.abs(s / t), spread >= 0
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.sign(s)), pa.array(np.where(known, mean - reach, -np.inf)), pa.array(np.where(known, mean + reach, np.inf))], names=["bin", "t", "sign", "lo", "hi"])
+
+    each = run.where("t >= 2").select("bin", "t", *names).mapInArrow(bounds_of, "bin long, t long, sign double, lo double, hi double")
+    best = each.groupBy("bin").agg(F.max("lo").alias("lo_"), F.min("hi").alias("hi_"))
+    best = best.select("bin", F.max("lo_").over(before).alias("lo_"), F.min("hi_").over(before).alias("hi_"))
+    w = Window.partitionBy("bin").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    closed = each.select("bin", "t", "sign", F.max("lo").over(w).alias("lo"), F.min("hi").over(w).alias("hi")).join(F.broadcast(best), "bin")
+    closed = closed.select("t", "sign", F.greatest("lo", "lo_").alias("lo"), F.least("hi", "hi_").alias("hi")).where(F.col("lo") + eps >= F.col("hi") - eps)
+    hit = closed.agg(F.min(F.struct("t", "sign", "lo", "hi")).alias("hit")).first()["hit"]
+    drop_materialized(run)
+    return None if hit is None else (hit["t"], hit["sign"] * 0.5 * ((1 + eps) * hit["lo"] + (1 - eps) * hit["hi"]) * n)
 
 
 def approximate_sum(df: DataFrame, key: str, proxy: str, truth: str, eps: float = 0.1, conf: float = 0.05, seed: int = 7, first: int = 1000, use_proxy: bool = True) -> DataFrame:
     """``estimate`` of the sum of ``truth`` to ``eps`` on the mean, with ``n_samples`` read for it and ``exact`` where all had to be.
 
     Rows are drawn by a seeded hash. The proxy is a control variate. Only rows that the stopping rule reaches need a label, so
-    they are fetched in batches that grow fourfold; where not even a quarter of all closes the bounds, the sum is taken exactly.
+    the sample grows fourfold, up to all rows, until the bounds meet; where they never do, the sum is exact.
     """
     spark = df.sparkSession
     p = F.col(proxy) if use_proxy else F.lit(0.0)
     stats = df.agg(F.count("*").alias("n"), F.avg(p).alias("tau"), F.var_pop(p).alias("var"), F.max(F.rint(p)).alias("top")).first()
     n, size = stats["n"], first
-    schema = "estimate double, n_samples long, exact boolean"
-    while n and size <= max(first, n // 4):
-        rows = df.select(F.col(truth).cast("double").alias("y"), p.cast("double").alias("p"), hash_order(F.col(key), seed).alias("h"), F.col(key).alias("k")).orderBy("h", "k").limit(size).toPandas()
-        found = _steps(rows["y"].to_numpy(), rows["p"].to_numpy(), n, stats["tau"], stats["var"] or 0.0, eps, conf, max(1.0, stats["top"] or 0.0))
+    drawn = df.select(hash_order(F.col(key), seed).alias("h"), F.col(key).alias("k"), F.col(truth).cast("double").alias("y"), p.cast("double").alias("p"))
+    while n:
+        limit = min(1 << 32, (size << 32) // n + 1)
+        found = _first_close(drawn.where(F.col("h") < limit), limit, n, stats["tau"], stats["var"] or 0.0, eps, conf, max(1.0, stats["top"] or 0.0))
         if found:
-            return spark.createDataFrame([(round(float(found[1]), 6), int(found[0]), False)], schema)
+            return spark.createDataFrame([(round(float(found[1]), 6), int(found[0]), False)], "estimate double, n_samples long, exact boolean")
+        if limit == 1 << 32:
+            break
         size *= 4
     return df.agg(F.coalesce(F.sum(truth), F.lit(0.0)).cast("double").alias("estimate"), F.count("*").alias("n_samples"), F.lit(True).alias("exact"))
 

@@ -11,7 +11,7 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scantling.operators.detections import hash_order
@@ -39,7 +39,7 @@ def _down_to(df: DataFrame, rank: int, positives: list[int], order: DataFrame |
 
 
 def _sample(df: DataFrame, budget: int, mode: str, seed: int) -> list:
-    return importance_sample(df, "proxy_score", "id", budget, mode, seed).select("draw", "id", "rank", "label", "mass").orderBy("rank", "draw").collect()
+    return importance_sample(df, "proxy_score", "id", budget, mode, seed).select("draw", "id", "rank", "label", "mass", "n", "upto").orderBy("rank", "draw").collect()
 
 
 def select_recall(df: DataFrame, target: Target, mode: str = "sqrt", seed: int = 7) -> DataFrame:
@@ -95,34 +95,41 @@ def select_precision_uniform(df: DataFrame, target: Target, bound: str = "upper"
 
 
 def _precision_cut(rows: list, precision: float, delta: float, stride: int) -> int:
-    """Last rank whose lower bound of the weighed share of positives is above ``precision``; -1 if none."""
+    """Last rank down to which the lower bound of the share of positives is above ``precision``; -1 if none.
+
+    ``rows``: draws in order of rank, each with ``mass`` (1 / n / probability) and ``upto``: what the draws down to its rank weigh
+    of all, known exactly from running sums of the probabilities. Draws down to a rank are a sample of the rows down to it, and
+    their masses, scaled by these sums, have a mean of one. ``delta`` is split over the ranks that are tried.
+    """
     label, mass = np.array([r["label"] for r in rows], float), np.array([r["mass"] for r in rows], float)
+    tries = [s for s in range(stride, len(rows), stride) if s + 1 < len(rows)]
     out = -1
-    for s in range(stride, len(rows), stride):
-        if s + 1 >= len(rows):
-            break
-        x = label[: s + 1] * mass[: s + 1] / mass[: s + 1].mean()
-        if _bound(x, delta, -1) > precision:
-            out = rows[s]["rank"]
+    for s in tries:
+        at = rows[s]
+        # the mean of the masses down to this rank is (rows down to it by n) / (their probability)
+        mean = (at["rank"] + 1) / at["n"] / at["upto"]
+        if _bound(label[: s + 1] * mass[: s + 1] / mean, delta / len(tries), -1) > precision:
+            out = at["rank"]
     return out
 
 
 def select_precision(df: DataFrame, target: Target, stages: int = 2, stride: int = 100, seed: int = 7) -> DataFrame:
-    """Importance draws; with two stages, half of the labels bound how many positives there are, the rest are drawn above that rank."""
-    tries = 1 + 2 * max(0, (target.budget - 100) // 100)
-    delta = target.delta / tries
+    """Importance draws; with two stages, half of the labels bound how many positives there are, the rest are drawn above that rank.
+
+    The chance of failure is split between the stages and, in the last, over the ranks tried every ``stride`` draws.
+    """
     if stages == 1:
         rows = _sample(df, target.budget, "sqrt", seed)
-        return _down_to(df, _precision_cut(rows, target.precision, delta, stride), sorted({r["id"] for r in rows if r["label"] > 0}))
+        return _down_to(df, _precision_cut(rows, target.precision, target.delta, stride), sorted({r["id"] for r in rows if r["label"] > 0}))
     first = _sample(df, target.budget // 2, "sqrt", seed)
     n = df.count()
-    upper = _bound(np.array([r["label"] * r["mass"] for r in first], float), delta, 1)
+    upper = _bound(np.array([r["label"] * r["mass"] for r in first], float), target.delta / 2, 1)
     cutoff = min(n, max(1, math.ceil(upper * n / target.precision)))
     order = ranked(df, "proxy_score", "id")
     top = order.where(F.col("rank") < cutoff).drop("rank")
     second = _sample(top, target.budget - target.budget // 2, "sqrt", seed + 1)
     positives = sorted({r["id"] for r in [*first, *second] if r["label"] > 0})
-    return _down_to(df, _precision_cut(second, target.precision, delta, stride), positives, order)
+    return _down_to(df, _precision_cut(second, target.precision, target.delta / 2, stride), positives, order)
 
 
 def select_both(df: DataFrame, target: Target, seed: int = 7) -> tuple[DataFrame, DataFrame]:
@@ -185,3 +192,34 @@ def run_recall(df: DataFrame, budget: int, recall: float, delta: float = 0.05) -
 def run_precision(df: DataFrame, budget: int, precision: float, delta: float = 0.05) -> DataFrame:
     """The usual choice for a precision target."""
     return select_precision(df, Target(precision=precision, delta=delta, budget=budget))
+
+
+def run_experiment(spark: SparkSession, name: str, trials: int = 100, rows: int = 1_000_000) -> DataFrame:
+    """The trials of a named experiment over its synthetic source."""
+    from scantling.sources.connectors import beta_source
+    from scantling.sources.shared import materialize
+
+    selector, target, (alpha, beta) = EXPERIMENTS[name]
+    return run_trials(materialize(beta_source(spark, rows, alpha, beta), "experiment"), selector, target, trials)
+
+
+@dataclass(frozen=True)
+class SourceSpec:
+    """Where a proxy source lies and which columns it is made of: scores are divided by ``top`` and end at 1; a label is 1 above ``positive``."""
+
+    path: str
+    id: str
+    score: str
+    label: str
+    top: float = 1.0
+    positive: float = 0.5
+
+
+class Sources(dict):
+    """Named proxy sources."""
+
+    def open(self, spark: SparkSession, root: str, name: str) -> DataFrame:
+        """``id``, ``proxy_score`` and ``label`` of a named source under a folder."""
+        spec = self[name]
+        df = spark.read.csv(f"{root}/{spec.path}", header=True, inferSchema=True) if spec.path.endswith(".csv") else spark.read.parquet(f"{root}/{spec.path}")
+        return df.select(F.col(spec.id).cast("long").alias("id"), F.least(F.col(spec.score) / spec.top, F.lit(1.0)).alias("proxy_score"), (F.col(spec.label) > spec.positive).cast("double").alias("label"))

@@ -232,11 +232,6 @@ def fill_grid(known: DataFrame, seg: str) -> DataFrame:
     return cells.join(own, [seg, "x1", "y1", "x2", "y2"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
 
 
-def segment_of(frames: DataFrame, frame: str, length: int) -> DataFrame:
-    """Segments of one length: arithmetic in place of a range join."""
-    return frames.withColumn("seg_start", F.floor(F.col(frame) / length) * length)
-
-
 def merged_groups(tiles: DataFrame, seg: str, keep_line: Column, cost: Column) -> DataFrame:
     """Cells whose kept column lines are given, merged: area, clusters and their cost for each group."""
     line = tiles.select(seg, "col_no", keep_line.cast("int").alias("k")).distinct()

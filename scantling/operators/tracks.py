@@ -69,15 +69,16 @@ def suppress(boxes: np.ndarray, scores: np.ndarray, most: float) -> list[int]:
     return kept
 
 
-def non_max_suppression(det: DataFrame, keys: list[str], row_id: str, least: float = 0.25, most_iou: float = 0.45, most: int = 300, agnostic: bool = False, together: int = 256) -> DataFrame:
-    """Detections that stay of each group of ``keys``: classes don't suppress each other unless ``agnostic``; ``most`` of them at best.
+def non_max_suppression(det: DataFrame, keys: list[str], row_id: str, least: float = 0.25, most_iou: float = 0.45, most: int = 300, agnostic: bool = False, together: int = 256, most_in: int = 30_000) -> DataFrame:
+    """Detections that stay of each group of ``keys``: classes don't suppress each other unless ``agnostic``; ``most`` of them at best, out of the ``most_in`` most confident.
 
     The first key is a frame number. ``together`` neighbouring frames are handed to a task at once, as a group of a few boxes is
     not worth a call.
     """
     part = keys + ([] if agnostic else ["object_name"])
     columns = [*keys, "object_name", row_id, "confidence"]
-    slim = det.where(F.col("confidence") > least).select(*columns, "xmin", "ymin", "xmax", "ymax", F.floor(F.col(keys[0]) / together).alias("__part"))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("confidence"), row_id))
+    slim = det.where(F.col("confidence") > least).withColumn("__place", place).where(F.col("__place") <= most_in).select(*columns, "xmin", "ymin", "xmax", "ymax", F.floor(F.col(keys[0]) / together).alias("__part"))
 
     def several(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([*part, row_id], ignore_index=True)

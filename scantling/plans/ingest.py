@@ -48,7 +48,6 @@ add("src11_point_lookup", f"{CAT}, ky AS ({KEYS}) SELECT ky.t, cat.row_no, col_n
     lambda s, p: c.select_tiles(catalog(s, p), read(s, p, "proxy").select(F.col("id").alias("t"), (F.col("id") % 2).cast("int").alias("row_no"))).select("t", "row_no", "col_no"))
 add("src12_tiles_in_frame", f"{CAT} SELECT row_no, col_no, has_roi FROM cat WHERE 1234 >= seg_start AND 1234 < seg_end", "grid")(
     lambda s, p: c.select_tiles(catalog(s, p), s.createDataFrame([(1234,)], "t long")).select("row_no", "col_no", "has_roi"))
-add("src13_seek_or_skip", " SELECT t, tile_id, CASE WHEN t % 30 = 0 THEN 0 ELSE t % 30 END AS skipped FROM v_tile", "tile")(lambda s, p: tile(s, p).select("t", "tile_id", (F.col("t") % 30).alias("skipped")))
 add("src15_tile_labels", " SELECT frame, line, string_agg(object_name, ',' ORDER BY object_name) AS names FROM v_det WHERE object_name IN ('A','N') GROUP BY frame, line", "det")(
     lambda s, p: read(s, p, "det").where(F.col("object_name").isin("A", "N")).groupBy("frame", "line").agg(F.array_join(F.sort_array(F.collect_list("object_name")), ",").alias("names")))
 add("src16_frame_rows", " SELECT frame, count(*) AS n, max(confidence) AS best FROM v_det WHERE object_name = 'R' GROUP BY frame", "det")(lambda s, p: read(s, p, "det").where("object_name = 'R'").groupBy("frame").agg(F.count("*").alias("n"), F.max("confidence").alias("best")))

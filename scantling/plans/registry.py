@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from scantling.plans.base import Query
 
-MODULES = ("scalars", "relational", "semantic", "ingest")
+MODULES = ("scalars", "relational", "semantic", "ingest", "further")
 
 
 def _all() -> dict[str, tuple[Query, str | None]]:

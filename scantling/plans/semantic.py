@@ -10,8 +10,9 @@ from scantling.functions import geometry as g
 from scantling.operators import detections as d
 from scantling.operators import index, limits, sampling, selection, tiling, tracks
 from scantling.plans.base import Registry
-from scantling.plans.relational import HASH, LINK
-from scantling.sources import views
+from scantling.plans import selector_sql as sqls
+from scantling.plans.relational import HASH
+from scantling.sources import connectors, views
 
 QUERIES = Registry()
 read, w = views.read, views.with_views
@@ -65,8 +66,27 @@ for k in range(2, FPF_N):
     STEPS.append(f"m{k} AS (SELECT a.tile_id, a.embedding, least(a.m, {L2}) AS m FROM m{k - 1} a, r{k} b)")
 FPF = ", " + ", ".join(STEPS) + " SELECT place, rep_id FROM s0 UNION ALL SELECT 1, rep_id FROM q1 " + " ".join(f"UNION ALL SELECT {k}, rep_id FROM r{k}" for k in range(2, FPF_N))
 add("i01_farthest_first", FPF, "tile")(lambda s, p: index.farthest_first(tiles(s, p), FPF_N))
-add("i03_mining", FPF, "tile")(lambda s, p: index.farthest_first(tiles(s, p), FPF_N, in_one=0))
-add("i06_index_tables", None)(lambda s, p: (lambda t, r: index.nearest(t, t.join(r.select(F.col("rep_id").alias("tile_id")), "tile_id", "left_semi"), 3))(tiles(s, p), index.farthest_first(tiles(s, p), 16)))
+add("i03_mining", FPF, "tile")(lambda s, p: index.farthest_first(tiles(s, p), FPF_N, candidates=2))
+INDEX_STEPS = [f"q AS MATERIALIZED (SELECT tile_id, embedding, row_number() OVER (ORDER BY {HASH.format('tile_id')}, tile_id) AS rn FROM v_tile)", f"m3 AS MATERIALIZED (SELECT a.tile_id, any_value(a.embedding) AS embedding, min({L2}) AS m FROM v_tile a, (SELECT * FROM q WHERE rn <= 4) b GROUP BY a.tile_id)"]
+for k in range(4, 16):
+    INDEX_STEPS.append(f"r{k} AS MATERIALIZED (SELECT tile_id, embedding FROM m{k - 1} ORDER BY m DESC, tile_id LIMIT 1)")
+    INDEX_STEPS.append(f"m{k} AS MATERIALIZED (SELECT a.tile_id, a.embedding, least(a.m, {L2}) AS m FROM m{k - 1} a, r{k} b)")
+INDEX_STEPS.append("rp AS MATERIALIZED (SELECT tile_id, embedding FROM q WHERE rn <= 4" + "".join(f" UNION ALL SELECT * FROM r{k}" for k in range(4, 16)) + ")")
+INDEX = ", " + ", ".join(INDEX_STEPS) + f" SELECT tile_id, CAST(row_number() OVER (PARTITION BY tile_id ORDER BY dist, rep_id) AS INT) AS rank, rep_id, round(dist,6) AS dist FROM (SELECT a.tile_id, b.tile_id AS rep_id, {L2} AS dist FROM v_tile a, rp b) QUALIFY rank <= 3"
+CONFIG = index.IndexConfig(buckets=16, k=3, seed=7)
+add("i06_index_tables", INDEX, "tile")(lambda s, p: index.build_index(tiles(s, p), CONFIG)["topk"].select("tile_id", "rank", "rep_id", F.round("dist", 6).alias("dist")))
+
+
+def stored(s, p):
+    """The nearest representatives as a written index gives them back."""
+    from scantling.sources.shared import new_path
+
+    path = new_path(s, "index")
+    index.write_index(index.build_index(tiles(s, p), CONFIG), path)
+    return index.read_index(s, path)["topk"].select("tile_id", "rank", "rep_id", F.round("dist", 6).alias("dist"))
+
+
+add("snk06_stored_index", INDEX, "tile")(stored)
 add("i07_label_misses", " SELECT tile_id FROM v_tile WHERE tile_id % 10 = 0 AND NOT tile_id % 4 = 0", "tile")(lambda s, p: index.label_misses(tiles(s, p).where("tile_id % 10 = 0"), tiles(s, p).where("tile_id % 4 = 0")).select("tile_id"))
 add("i04_triplet_loss", " SELECT a.tile_id, round(greatest(list_sum(list_transform(range(1,65), lambda i: pow(CAST(a.embedding[i] AS DOUBLE)-CAST(b.embedding[i] AS DOUBLE),2)-pow(CAST(a.embedding[i] AS DOUBLE)-CAST(c.embedding[i] AS DOUBLE),2)))+CAST(0.5 AS DOUBLE),0),4) AS loss FROM v_tile a JOIN v_tile b ON b.tile_id = a.tile_id + 1 JOIN v_tile c ON c.tile_id = a.tile_id + 2", "tile")(
     lambda s, p: (lambda t: t.join(t.select((F.col("tile_id") - 1).alias("tile_id"), F.col("embedding").alias("b")), "tile_id").join(t.select((F.col("tile_id") - 2).alias("tile_id"), F.col("embedding").alias("c")), "tile_id"))(tiles(s, p)).select(
@@ -88,10 +108,24 @@ l AS (SELECT *, max(mean-ct) OVER (ORDER BY t) AS lb, min(mean+ct) OVER (ORDER B
 SELECT round(sign(s1)*0.5*((1+{{e}})*lb+(1-{{e}})*ub)*n,6) AS estimate, t AS n_samples, false AS exact FROM l WHERE lb+{{e}} >= ub-{{e}} ORDER BY t LIMIT 1"""
 add("a05_approximate_sum", EBS.format(p="proxy_score", e="CAST(0.1 AS DOUBLE)"), "proxy")(lambda s, p: sampling.approximate_sum(read(s, p, "proxy"), "id", "proxy_score", "label", 0.1, first=4000))
 add("a06_plain_sum", EBS.format(p="CAST(0 AS DOUBLE)", e="CAST(0.12 AS DOUBLE)"), "proxy")(lambda s, p: sampling.approximate_sum(read(s, p, "proxy"), "id", "proxy_score", "label", 0.12, first=4000, use_proxy=False))
-add("a05_exact_fallback", " SELECT CAST(sum(label) AS DOUBLE) AS estimate, count(*) AS n_samples, true AS exact FROM v_proxy", "proxy")(lambda s, p: sampling.approximate_sum(read(s, p, "proxy"), "id", "proxy_score", "label", 1e-6, first=100))
+add("a05_tight_bound", EBS.format(p="proxy_score", e="CAST(0.000001 AS DOUBLE)"), "proxy")(lambda s, p: sampling.approximate_sum(read(s, p, "proxy"), "id", "proxy_score", "label", 1e-6, first=100))
+add("a05_exact_fallback", " SELECT CAST(sum(truth) AS DOUBLE) AS estimate, count(*) AS n_samples, true AS exact FROM v_tile", "tile")(
+    lambda s, p: sampling.approximate_sum(tiles(s, p).select("tile_id", F.lit(0.0).alias("proxy"), "truth"), "tile_id", "proxy", "truth", 0.01, first=100))
+
 
+_M = [[f"sum({a}*{b})" for b in ("1.0::DOUBLE", "p", "p*p")] for a in ("1.0::DOUBLE", "p", "p*p")]
+_V = [f"sum({a}*y)" for a in ("1.0::DOUBLE", "p", "p*p")]
 
-@add("a07_control_variates")
+
+def _determinant(m):
+    return " + ".join(f"({m[0][i]})*(({m[1][(i + 1) % 3]})*({m[2][(i + 2) % 3]})-({m[1][(i + 2) % 3]})*({m[2][(i + 1) % 3]}))" for i in range(3))
+
+
+def _solved(k):
+    return f"({_determinant([[_V[r] if c == k else _M[r][c] for c in range(3)] for r in range(3)])})/({_determinant(_M)})"
+
+
+@add("a07_control_variates", ", o AS (SELECT proxy_score AS p, CAST(label AS DOUBLE) AS y FROM v_proxy) " + " UNION ALL ".join(f"SELECT {k} AS term, round({_solved(k)}, 6) AS coefficient FROM o" for k in range(3)), "proxy")
 def _(s, p):
     df = read(s, p, "proxy").withColumn("p2", F.col("proxy_score") * F.col("proxy_score"))
     return s.createDataFrame([(k, round(v, 6)) for k, v in enumerate(sampling.control_coefficients(df, ["proxy_score", "p2"], "label"))], "term int, coefficient double")
@@ -108,7 +142,9 @@ DRAW = f""", pr AS (SELECT id, label, proxy_score, 0.9::DOUBLE*sqrt(proxy_score)
 cu AS (SELECT *, sum(prob) OVER (ORDER BY proxy_score DESC, id) AS upto FROM pr), dr AS (SELECT draw, {HASH.format("'draw'||draw")}/4294967296.0::DOUBLE AS u FROM (SELECT unnest(range(0,500)) AS draw))
 SELECT draw, id, label, round(1/n/prob,6) AS mass FROM dr JOIN cu ON u < upto AND u >= upto - prob"""
 add("sm02_importance_sample", DRAW, "proxy")(lambda s, p: sampling.importance_sample(read(s, p, "proxy"), "proxy_score", "id", 500).select("draw", "id", "label", F.round("mass", 6).alias("mass")))
-add("sm03_reuse_sample")(lambda s, p: sampling.reuse_sample(read(s, p, "proxy"), "proxy_score", "id", 100).select("draw", "id"))
+REUSE = f"""{DRAW.replace('range(0,500)', 'range(0,1000)').rsplit('SELECT draw, id', 1)[0]}, hit AS (SELECT draw, id FROM dr JOIN cu ON u < upto AND u >= upto - prob)
+SELECT draw, id FROM hit WHERE draw <= (SELECT max(first) FROM (SELECT min(draw) AS first FROM hit GROUP BY id ORDER BY first LIMIT 100))"""
+add("sm03_reuse_sample", REUSE, "proxy")(lambda s, p: sampling.reuse_sample(read(s, p, "proxy"), "proxy_score", "id", 100).select("draw", "id"))
 add("src26_label_lookup", " SELECT id, CAST(label AS DOUBLE) AS label FROM v_proxy WHERE id % 97 = 5", "proxy")(lambda s, p: read(s, p, "proxy").join(read(s, p, "proxy").where("id % 97 = 5").select("id"), "id", "left_semi").select("id", F.col("label").cast("double").alias("label")))
 add("src27_sorted_proxy", " SELECT id, proxy_score FROM v_proxy ORDER BY proxy_score DESC, id LIMIT 500", "proxy")(lambda s, p: read(s, p, "proxy").orderBy(F.desc("proxy_score"), "id").limit(500).select("id", "proxy_score"))
 add("src28_positive_filter", " SELECT id FROM v_proxy JOIN (SELECT unnest([1,2,2,3,5,8,8,13,21,34,55,89]) AS id) USING (id) WHERE label = 1", "proxy")(
@@ -117,13 +153,20 @@ add("src24_drop_positives", f" SELECT row_number() OVER (ORDER BY id) - 1 AS new
     lambda s, p: tracks.dense_numbers(read(s, p, "proxy").where(~((F.col("label") == 1) & (d.hash_order(F.col("id")) < 2**31))).select("id"), "id").select(F.col("ind").alias("new_id"), "id"))
 add("src20_proxy_source", " SELECT id, proxy_score, CAST(label AS DOUBLE) AS label FROM v_proxy", "proxy")(lambda s, p: read(s, p, "proxy").select("id", "proxy_score", F.col("label").cast("double").alias("label")))
 TARGET = selection.Target(precision=0.8, recall=0.9, delta=0.05, budget=1000)
-for k, (name, _) in enumerate(selection.SELECTORS.items()):
-    add(f"as{k + 2:02d}_{name}")(lambda s, p, name=name: selection.quality_of(read(s, p, "proxy"), selection.SELECTORS[name](read(s, p, "proxy"), TARGET, 7)))
-add("as08_joint_selector")(lambda s, p: selection.quality_of(read(s, p, "proxy"), selection.select_both(read(s, p, "proxy"), TARGET)[0]))
+SELECTOR_NAMES = {
+    "recall_sqrt": "as02_recall_sqrt", "recall_prop": "as02_recall_prop", "recall_uniform": "as02_recall_uniform", "recall_naive": "as03_recall_naive",
+    "precision_uniform": "as04_precision_uniform", "precision_one_stage": "as05_precision_one_stage", "precision_two_stage": "as06_precision_two_stage", "precision_naive": "as07_precision_naive",
+}
+for selector, name in SELECTOR_NAMES.items():
+    add(name, f" SELECT * FROM ({sqls.quality(sqls.chosen(selector, TARGET))})", "proxy")(lambda s, p, selector=selector: selection.quality_of(read(s, p, "proxy"), selection.SELECTORS[selector](read(s, p, "proxy"), TARGET, 7)))
+add("as08_joint_selector", f" SELECT * FROM ({sqls.quality(f'SELECT id FROM ({sqls.chosen("recall_sqrt", TARGET)}) JOIN v_proxy USING (id) WHERE label > 0')})", "proxy")(
+    lambda s, p: selection.quality_of(read(s, p, "proxy"), selection.select_both(read(s, p, "proxy"), TARGET)[0]))
 add("a09_selection_quality", " SELECT round(count(*) FILTER (WHERE s AND label=1)*1.0::DOUBLE/count(*) FILTER (WHERE s),6) AS \"precision\", round(count(*) FILTER (WHERE s AND label=1)*1.0::DOUBLE/sum(label),6) AS recall, count(*) FILTER (WHERE s) AS size, CAST(sum(label) AS BIGINT) AS n_true FROM (SELECT label, proxy_score > CAST(0.7 AS DOUBLE) AS s FROM v_proxy)", "proxy")(
     lambda s, p: selection.quality_of(read(s, p, "proxy"), read(s, p, "proxy").where("proxy_score > CAST(0.7 AS DOUBLE)").select("id")))
-add("a10_trial_summary")(lambda s, p: selection.summarise(selection.run_trials(read(s, p, "proxy"), "recall_sqrt", selection.Target(budget=300), 3)))
-add("as11_trials")(lambda s, p: selection.run_trials(read(s, p, "proxy"), "precision_naive", selection.Target(budget=300), 3))
+SMALL = selection.Target(budget=300)
+add("a10_trial_summary", f" SELECT count(*) AS n_trials, round(avg(\"precision\"),6) AS \"precision\", round(avg(recall),6) AS recall, round(stddev_samp(recall)/sqrt(count(*)),6) AS recall_sem, round(avg(CAST(covered AS INT)),6) AS coverage FROM ({sqls.trials('recall_sqrt', SMALL, 3)})", "proxy")(
+    lambda s, p: selection.summarise(selection.run_trials(read(s, p, "proxy"), "recall_sqrt", SMALL, 3)))
+add("as11_trials", f" {sqls.trials('precision_naive', SMALL, 3)}", "proxy")(lambda s, p: selection.run_trials(read(s, p, "proxy"), "precision_naive", SMALL, 3))
 
 
 def frame_proxy(s, p):
@@ -131,8 +174,12 @@ def frame_proxy(s, p):
     return best.join(tiles(s, p).select("tile_id", "truth"), "tile_id").select(F.col("t").alias("id"), (F.col("score") / 9).alias("proxy_score"), F.when(F.col("truth") > 5, 1).otherwise(0).alias("label"))
 
 
-add("as09_frame_precision")(lambda s, p: selection.quality_of(frame_proxy(s, p), selection.select_precision(frame_proxy(s, p), selection.Target(precision=0.95, budget=200), stride=25)))
-add("as10_frame_recall")(lambda s, p: selection.quality_of(frame_proxy(s, p), selection.select_recall(frame_proxy(s, p), selection.Target(recall=0.9, budget=100))))
+FRAMES, BY_FRAME = selection.Target(precision=0.95, budget=200), selection.Target(recall=0.9, budget=100)
+FRAME_PROXY = f"""{SCORE}, v_frame AS (SELECT t AS id, score/9 AS proxy_score, CASE WHEN truth > 5 THEN 1 ELSE 0 END AS label FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY score DESC, tile_id) AS rn FROM pred JOIN v_tile USING (tile_id) WHERE score > -1) WHERE rn = 1)"""
+add("as09_frame_precision", f"{FRAME_PROXY} SELECT * FROM ({sqls.quality(sqls.chosen('precision_two_stage', FRAMES, view='v_frame', stride=25), 'v_frame')})", "tile")(
+    lambda s, p: selection.quality_of(frame_proxy(s, p), selection.select_precision(frame_proxy(s, p), FRAMES, stride=25)))
+add("as10_frame_recall", f"{FRAME_PROXY} SELECT * FROM ({sqls.quality(sqls.chosen('recall_sqrt', BY_FRAME, view='v_frame'), 'v_frame')})", "tile")(
+    lambda s, p: selection.quality_of(frame_proxy(s, p), selection.select_recall(frame_proxy(s, p), BY_FRAME)))
 
 # limits and tracks -----------------------------------------------------------------------------------------------------------
 add("l01_limit_sequential", f"""{SCORE}, f AS (SELECT t, sum(score) AS fs FROM pred JOIN v_tile USING (tile_id) WHERE score > 0 GROUP BY t),
@@ -143,12 +190,22 @@ SELECT t, CAST(row_number() OVER (ORDER BY fs DESC, t) AS INT) AS n_found, CAST(
     lambda s, p: limits.limit_query(scored(s, p), 12, 10, 0))
 add("l02_limit_batched")(lambda s, p: limits.batched_query(scored(s, p), 12, 10, 3, 8))
 add("l03_limit_whole_frames")(lambda s, p: limits.batched_query(scored(s, p), 12, 10, 0, 32))
-add("l01_limit_spaced")(lambda s, p: limits.limit_query(scored(s, p), 12, 10, 5))
+SPACED = f"""{SCORE}, f AS (SELECT t, sum(score) AS fs FROM pred JOIN v_tile USING (tile_id) WHERE score > 0 GROUP BY t),
+run AS (SELECT j.t, fs, row_number() OVER (PARTITION BY j.t ORDER BY score DESC, tile_id) AS rn, sum(truth) OVER (PARTITION BY j.t ORDER BY score DESC, tile_id) AS upto FROM (SELECT * FROM pred JOIN v_tile USING (tile_id)) j JOIN f ON f.t = j.t WHERE score > 0),
+fr AS MATERIALIZED (SELECT t, need, have, row_number() OVER (ORDER BY fs DESC, t) AS i FROM (SELECT t, any_value(fs) AS fs, min(rn) FILTER (WHERE upto >= 12) AS need, max(rn) AS have FROM run GROUP BY t)),
+go AS (SELECT 0::BIGINT AS i, 0::BIGINT AS calls, []::BIGINT[] AS kept, NULL::BIGINT AS got UNION ALL
+ SELECT fr.i, CASE WHEN ok THEN calls + coalesce(need, have) ELSE calls END, CASE WHEN ok AND need IS NOT NULL THEN list_append(kept, fr.t) ELSE kept END, CASE WHEN ok AND need IS NOT NULL THEN fr.t END
+ FROM (SELECT go.*, fr.i AS fi, len(list_filter(kept, lambda k: abs(k - fr.t) <= 5)) = 0 AS ok FROM go JOIN fr ON fr.i = go.i + 1) go JOIN fr ON fr.i = go.fi WHERE len(kept) < 10)
+SELECT got AS t, CAST(len(kept) AS INT) AS n_found, CAST(calls AS BIGINT) AS n_calls FROM go WHERE got IS NOT NULL"""
+QUERIES.add("l01_limit_spaced", w("tile").replace("WITH", "WITH RECURSIVE", 1) + SPACED)(lambda s, p: limits.limit_query(scored(s, p), 12, 10, 5))
 add("l04_frame_limit", " SELECT t, CAST(row_number() OVER (ORDER BY rank) AS INT) AS n_found, rank AS n_calls FROM (SELECT id AS t, label, row_number() OVER (ORDER BY proxy_score DESC, id) AS rank FROM v_proxy) WHERE label = 1 ORDER BY rank LIMIT 20", "proxy")(
-    lambda s, p: limits.frame_limit(read(s, p, "proxy").select(F.col("id").alias("t"), "proxy_score", (F.col("label") == 1).alias("ok")), [F.desc("proxy_score"), F.col("t")], "ok", 20, 0))
+    lambda s, p: limits.frame_limit(read(s, p, "proxy").select(F.col("id").alias("t"), "proxy_score", (F.col("label") == 1).alias("ok")), [("proxy_score", True), ("t", False)], "ok", 20, 0))
 add("l05_baseline_order", " SELECT id AS t, CAST(row_number() OVER (ORDER BY id) AS INT) AS n_found, id + 1 AS n_calls FROM v_proxy WHERE label = 1 ORDER BY id LIMIT 20", "proxy")(
-    lambda s, p: limits.frame_limit(read(s, p, "proxy").select(F.col("id").alias("t"), (F.col("label") == 1).alias("ok")), [F.col("t")], "ok", 20, 0))
-add("w11_spacing")(lambda s, p: limits.spacing(read(s, p, "proxy").withColumn("g", F.floor(F.col("id") / 500)), "g", "id", "proxy_score", 20))
+    lambda s, p: limits.frame_limit(read(s, p, "proxy").select(F.col("id").alias("t"), (F.col("label") == 1).alias("ok")), [("t", False)], "ok", 20, 0))
+SPACING = """, o AS (SELECT id // 500 AS g, id, proxy_score, row_number() OVER (PARTITION BY id // 500 ORDER BY proxy_score DESC, id) AS i FROM v_proxy),
+go AS (SELECT g, 0::BIGINT AS i, []::BIGINT[] AS kept FROM o WHERE i = 1 UNION ALL SELECT go.g, o.i, CASE WHEN len(list_filter(go.kept, lambda k: abs(k - o.id) <= 20)) = 0 THEN list_append(go.kept, o.id) ELSE go.kept END FROM go JOIN o ON o.g = go.g AND o.i = go.i + 1),
+last AS (SELECT g, arg_max(kept, i) AS kept FROM go GROUP BY g) SELECT g, id, proxy_score FROM (SELECT unnest(kept) AS id FROM last) JOIN o USING (id)"""
+QUERIES.add("w11_spacing", w("proxy").replace("WITH", "WITH RECURSIVE", 1) + SPACING)(lambda s, p: limits.spacing(read(s, p, "proxy").withColumn("g", F.floor(F.col("id") / 500)), "g", "id", "proxy_score", 20))
 add("tq1_track_query", f"{SCORE} SELECT count(*) AS tiles, count(*) FILTER (WHERE truth <= 0) AS false_positive FROM v_workload JOIN (SELECT t, truth FROM pred JOIN v_tile USING (tile_id) WHERE score > 0 AND tile_id % 10 <> 0) USING (t)", "tile", "workload")(
     lambda s, p: limits.track_query(read(s, p, "workload"), scored(s, p), tiles(s, p).where("tile_id % 10 = 0")))
 add("tq3_subframe_query", " SELECT CAST(sum(seg_end-seg_start) AS BIGINT) AS tiles, CAST(sum(64*64*(seg_end-seg_start)) AS BIGINT) AS area FROM v_grid WHERE cluster IN (1, 3)", "grid")(
@@ -203,7 +260,7 @@ add("meta03_segments", " SELECT DISTINCT seg_start, seg_end FROM v_grid", "grid"
 add("meta04_grid_shapes", " SELECT seg_start, seg_end, max(row_no)+1 AS rows, max(col_no)+1 AS cols, any_value(seg_end-seg_start) AS duration FROM v_grid GROUP BY ALL", "grid")(lambda s, p: tiling.grid_shapes(catalog(s, p)))
 add("meta05_roi_positions", f", {GRIDS} SELECT seg_start, row_no, col_no FROM cat WHERE has_roi", "grid")(lambda s, p: catalog(s, p).where("has_roi").select("seg_start", "row_no", "col_no"))
 add("meta06_tile_lookup", f", {GRIDS} SELECT row_no, col_no, has_roi FROM cat WHERE seg_start = 300", "grid")(lambda s, p: catalog(s, p).where("seg_start = 300").select("row_no", "col_no", "has_roi"))
-add("meta08_segment_of_frame", " SELECT id, CAST(floor(id/30) AS BIGINT)*30 AS seg_start FROM v_proxy", "proxy")(lambda s, p: tiling.segment_of(read(s, p, "proxy").select("id"), "id", 30))
+add("meta08_segment_of_frame", " SELECT id, CAST(floor(id/30) AS BIGINT)*30 AS seg_start FROM v_proxy", "proxy")(lambda s, p: connectors.segment_of(read(s, p, "proxy").select("id"), "id", 30))
 add("meta07_fill_grid", ", k AS (SELECT DISTINCT t, x1, y1, x2, y2 FROM v_roi), cx AS (SELECT DISTINCT t, x FROM (SELECT t, x1 AS x FROM k UNION ALL SELECT t, x2 FROM k)), cy AS (SELECT DISTINCT t, y FROM (SELECT t, y1 AS y FROM k UNION ALL SELECT t, y2 FROM k)), bx AS (SELECT t, row_number() OVER w - 1 AS col_no, x AS x1, lead(x) OVER w AS x2 FROM cx WINDOW w AS (PARTITION BY t ORDER BY x)), by_ AS (SELECT t, row_number() OVER w - 1 AS row_no, y AS y1, lead(y) OVER w AS y2 FROM cy WINDOW w AS (PARTITION BY t ORDER BY y)) SELECT bx.t, CAST(row_no AS INT) AS row_no, CAST(col_no AS INT) AS col_no, bx.x1, by_.y1, bx.x2, by_.y2, k.t IS NOT NULL AS known FROM bx JOIN by_ ON bx.t = by_.t LEFT JOIN k ON k.t = bx.t AND k.x1 = bx.x1 AND k.x2 = bx.x2 AND k.y1 = by_.y1 AND k.y2 = by_.y2 WHERE bx.x2 IS NOT NULL AND by_.y2 IS NOT NULL", "roi")(
     lambda s, p: tiling.fill_grid(read(s, p, "roi"), "t"))
 add("meta09_keys", " SELECT DISTINCT row_no || '_' || col_no AS key, seg_start || '_' || seg_end AS seg FROM v_grid", "grid")(lambda s, p: read(s, p, "grid").select(F.concat_ws("_", "row_no", "col_no").alias("key"), F.concat_ws("_", "seg_start", "seg_end").alias("seg")).distinct())
@@ -219,8 +276,7 @@ add("t11_hierarchical_layout", f", {GRIDS}, rw AS (SELECT seg_start, row_no, boo
     lambda s, p: tiling.hierarchical_layout(catalog(s, p).drop("seg_end"), "seg_start").withColumn("fine", F.array_join("fine", ",")))
 add("t14_roi_pipeline")(lambda s, p: tiling.roi_pipeline(read(s, p, "roi"), "seg", 2000, 1000, F.col("x2") - F.col("x1") >= 20, least=64))
 add("t06_semantic_tiling")(lambda s, p: tiling.optimise_segments(clustered_cells(s, p), "seg_start", 1.4443e-05, 3.0, "best"))
-add("j10_tile_in_coarse", " SELECT seg_start, row_no, col_no, CAST(col_no // 2 AS INT) AS coarse FROM v_grid GROUP BY ALL", "grid")(lambda s, p: catalog(s, p).select("seg_start", "row_no", "col_no", F.floor(F.col("col_no") / 2).cast("int").alias("coarse")))
-add("snk03_coalesced_segments")(lambda s, p: tiling.coalesced_segments(catalog(s, p)))
+add("snk03_coalesced_segments", f", {GRIDS}, sh AS (SELECT seg_start, seg_end, string_agg(DISTINCT row_no||'_'||col_no||'_'||has_roi, ',' ORDER BY row_no||'_'||col_no||'_'||has_roi) AS layout FROM cat GROUP BY ALL), nw AS (SELECT *, CASE WHEN lag(layout) OVER o = layout AND lag(seg_end) OVER o = seg_start THEN 0 ELSE 1 END AS new FROM sh WINDOW o AS (ORDER BY seg_start)), mk AS (SELECT *, sum(new) OVER (ORDER BY seg_start) AS part FROM nw) SELECT min(seg_start) AS seg_start, max(seg_end) AS seg_end, count(*) AS n FROM mk GROUP BY part", "grid")(lambda s, p: tiling.coalesced_segments(catalog(s, p)))
 add("snk04_bitrate_by_area", " SELECT DISTINCT row_no, col_no, round(CAST(5000000 AS DOUBLE)*(64*(col_no+1)*64)/CAST(2000*1000 AS DOUBLE),6) AS bitrate FROM v_grid", "grid")(
     lambda s, p: read(s, p, "grid").select("row_no", "col_no", F.round(F.lit(5e6) * (64 * (F.col("col_no") + 1) * 64) / F.lit(2000.0 * 1000), 6).alias("bitrate")).distinct())
 COS = "list_sum(list_transform(range(1,65), lambda i: CAST(a.embedding[i] AS DOUBLE)*CAST(b.embedding[i] AS DOUBLE)))/sqrt(list_sum(list_transform(range(1,65), lambda i: pow(CAST(a.embedding[i] AS DOUBLE),2)))*list_sum(list_transform(range(1,65), lambda i: pow(CAST(b.embedding[i] AS DOUBLE),2))))"

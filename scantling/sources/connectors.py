@@ -68,12 +68,12 @@ def beta_source(spark: SparkSession, n: int, alpha: float, beta: float, seed: in
 
 
 def read_workload(spark: SparkSession, path: str, src_fps: int = 10, dst_fps: int = 30) -> DataFrame:
-    """``workload_id``, ``ord``, ``t`` of a text of frame numbers in which lines of ``#`` part workloads; one file is one order of lines."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("ord", "line"))
+    """``file``, ``workload_id``, ``ord``, ``t`` of texts of frame numbers in which lines of ``#`` part workloads; each file is an order of lines of its own."""
+    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("ord", "line"))
     marked = lines.withColumn("mark", F.trim("line").startswith("#").cast("int"))
-    numbered = marked.withColumn("workload_id", F.sum("mark").over(Window.orderBy("ord")))
+    numbered = marked.withColumn("workload_id", F.sum("mark").over(Window.partitionBy("file").orderBy("ord")))
     kept = numbered.where((F.col("mark") == 0) & F.trim("line").rlike(r"^\d+$"))
-    return kept.select(F.col("workload_id").cast("int").alias("workload_id"), F.col("ord").cast("long").alias("ord"), F.floor(F.trim("line").cast("long") * (dst_fps / src_fps)).cast("long").alias("t"))
+    return kept.select("file", F.col("workload_id").cast("int").alias("workload_id"), F.col("ord").cast("long").alias("ord"), F.floor(F.trim("line").cast("long") * (dst_fps / src_fps)).cast("long").alias("t"))
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
@@ -84,18 +84,70 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     return tiles.select("seg_start", "seg_end", "rows", "cols", F.split("cell", "_")[0].cast("int").alias("row_no"), F.split("cell", "_")[1].cast("int").alias("col_no"), "rect")
 
 
-def catalog_document(tiles: DataFrame) -> DataFrame:
-    """One row: the catalog as nested maps, from rows of tiles with ``rect`` text (null: no region)."""
+def read_video(spark: SparkSession, path: str) -> DataFrame:
+    """A row with the resolution, the frames between seek points and the totals that a catalog holds of its video."""
+    return spark.read.schema(CATALOG).json(path, multiLine=True).select("video.*")
+
+
+def discover_grid(files: DataFrame, first: int | None = None, last: int | None = None) -> DataFrame:
+    """Segments and their grids from names of tile files, ``.../<start>_<end>/<row>_<col>.<ext>`` (column ``file``), clipped to a range of frames."""
+    part = lambda k: F.regexp_extract("file", r"(\d+)_(\d+)/(\d+)_(\d+)\.\w+$", k).cast("long")
+    found = files.select(part(1).alias("s"), part(2).alias("e"), part(3).alias("r"), part(4).alias("c")).where("s is not null")
+    since = F.col("s") if first is None else F.greatest("s", F.lit(first))
+    until = F.col("e") if last is None else F.least("e", F.lit(last))
+    each = found.groupBy(since.alias("seg_start"), until.alias("seg_end")).agg((F.max("r") + 1).alias("rows"), (F.max("c") + 1).alias("cols"), F.count_distinct("r", "c").alias("tiles"))
+    return each.where("seg_start < seg_end")
+
+
+def file_name_column(day: Column, number: Column, kind: str = "csv") -> Column:
+    """Names by which the inputs of a day are stored: the detections of a file, or its video."""
+    file = number.cast("string") if kind == "mp4" else F.concat_ws("-", day, number.cast("string"))
+    return F.concat(day, F.lit("/"), file, F.lit(f".{kind}"))
+
+
+def seek_or_skip(wanted: DataFrame, group: str, frame: str, gop: int) -> DataFrame:
+    """How a decoder of each group gets to its wanted frames, in order: whether it seeks, and how many frames it then runs through unseen.
+
+    A frame behind the last one between the same seek points is reached by running on; any other by a seek to the point before it.
+    """
+    last = F.lag(frame).over(Window.partitionBy(group).orderBy(frame))
+    seeks = F.coalesce(F.floor(last / gop) != F.floor(F.col(frame) / gop), F.lit(True))
+    return wanted.select(group, frame, seeks.alias("seeks"), F.when(seeks, F.col(frame) % gop).otherwise(F.col(frame) - last - 1).alias("skipped"))
+
+
+def read_tensor(df: DataFrame, column: str, width: int) -> DataFrame:
+    """Rows of a tensor held as bytes of 32-bit floats, little-endian, as an array of ``width`` numbers; other lengths raise."""
+
+    def run(batches):
+        for pdf in batches:
+            made = [np.frombuffer(b, "<f4") for b in pdf[column]]
+            if any(len(x) != width for x in made):
+                raise ValueError(f"a tensor row of other than {width} numbers")
+            pdf[column] = [x.tolist() for x in made]
+            yield pdf
+
+    schema = T.StructType([T.StructField(f.name, T.ArrayType(T.FloatType())) if f.name == column else f for f in df.schema])
+    return df.mapInPandas(run, schema)
+
+
+def write_detections(det: DataFrame, path: str, keep: Column) -> None:
+    """Detections that fulfil a condition, as CSV with a header; refuses to overwrite."""
+    det.where(keep).write.mode("error").csv(path, header=True)
+
+
+def catalog_document(tiles: DataFrame, video: dict[str, int] | None = None) -> DataFrame:
+    """One row: the catalog as nested maps, from rows of tiles with ``rect`` text (null: no region), and what is known of the video."""
     key = lambda a, b: F.concat_ws("_", a, b)
     roi = F.map_from_entries(F.collect_list(F.when(F.col("rect").isNotNull(), F.struct(key("row_no", "col_no").alias("k"), F.col("rect").alias("v")))))
     segs = tiles.groupBy("seg_start", "seg_end").agg((F.max("row_no") + 1).alias("rows"), (F.max("col_no") + 1).alias("cols"), roi.alias("roi"))
     entry = F.struct("rows", "cols", (F.col("seg_end") - F.col("seg_start")).alias("duration"), "roi")
-    return segs.agg(F.map_from_entries(F.collect_list(F.struct(key("seg_start", "seg_end").alias("k"), entry.alias("v")))).alias("layouts"))
+    out = segs.agg(F.map_from_entries(F.collect_list(F.struct(key("seg_start", "seg_end").alias("k"), entry.alias("v")))).alias("layouts"))
+    return out.withColumn("video", F.struct(*[F.lit(v).alias(k) for k, v in video.items()])) if video else out
 
 
-def write_catalog(tiles: DataFrame, path: str) -> None:
+def write_catalog(tiles: DataFrame, path: str, video: dict[str, int] | None = None) -> None:
     """The catalog as JSON; refuses to overwrite."""
-    catalog_document(tiles).write.mode("error").json(path)
+    catalog_document(tiles, video).write.mode("error").json(path)
 
 
 def write_tiles(tiles: DataFrame, path: str) -> None:
@@ -110,9 +162,36 @@ def read_frames(df: DataFrame, first: int, last: int, limit: int | None = None,
     return out.orderBy(frame).limit(limit) if limit is not None else out
 
 
+def _bucket(segments: DataFrame) -> int:
+    """The mean length of segments: cut into buckets of it they are at most twice as many rows and one each."""
+    size = segments.select("seg_start", "seg_end").distinct().agg(F.count("*").alias("n"), F.sum(F.col("seg_end") - F.col("seg_start")).alias("frames")).first()
+    return max(1, (size["frames"] or 0) // max(1, size["n"]))
+
+
+def in_segments(frames: DataFrame, segments: DataFrame, frame: str = "t", how: str = "inner", on: list[str] | None = None) -> DataFrame:
+    """``frames`` joined to the segments (``seg_start``, ``seg_end``, half-open, of any lengths) that hold them, and equal in ``on``.
+
+    Segments are spread over buckets of frames, so that the range join is an equi-join and a filter.
+    """
+    size = _bucket(segments)
+    spread = segments.withColumn("__bucket", F.explode(F.sequence(F.floor(F.col("seg_start") / size), F.floor((F.col("seg_end") - 1) / size)))).alias("s")
+    placed = frames.withColumn("__bucket", F.floor(F.col(frame) / size)).alias("f")
+    same = [F.col(f"f.{c}") == F.col(f"s.{c}") for c in ["__bucket", *(on or [])]]
+    inside = (F.col(f"f.{frame}") >= F.col("s.seg_start")) & (F.col(f"f.{frame}") < F.col("s.seg_end"))
+    keep = [F.col(f"f.{c}") for c in frames.columns] + [F.col(f"s.{c}") for c in segments.columns if c not in frames.columns]
+    return placed.join(spread, [*same, inside], how).select(*keep)
+
+
+def segment_of(frames: DataFrame, frame: str, segments: DataFrame | int) -> DataFrame:
+    """``seg_start`` of each frame: by a table of segments of any lengths (null where none holds it), or by arithmetic if all have one length."""
+    if isinstance(segments, int):
+        return frames.withColumn("seg_start", F.floor(F.col(frame) / segments) * segments)
+    return in_segments(frames, segments.select("seg_start", "seg_end").distinct(), frame, "left").drop("seg_end")
+
+
 def decode_plan(wanted: DataFrame, segments: DataFrame) -> DataFrame:
     """For each segment with wanted frames (``t``): first frame, frames to run through, and those to skip among them."""
-    hit = wanted.join(segments, (F.col("t") >= F.col("seg_start")) & (F.col("t") < F.col("seg_end")))
+    hit = in_segments(wanted.select("t"), segments.select("seg_start", "seg_end").distinct())
     each = hit.groupBy("seg_start").agg(F.min("t").alias("start"), (F.max("t") - F.min("t") + 1).alias("length"), F.sort_array(F.collect_set("t")).alias("ts"))
     return each.select("seg_start", "start", "length", F.array_except(F.sequence("start", F.col("start") + F.col("length") - 1), "ts").alias("skip"))
 
@@ -138,11 +217,8 @@ def scan_tiles(tiles: DataFrame, first_only: bool = False, info: Column | None =
 
 
 def select_tiles(tiles: DataFrame, keys: DataFrame) -> DataFrame:
-    """Tiles at given frames and, where the keys have them, positions. Segments of one length make it an equi-join."""
-    length = tiles.select(F.max(F.col("seg_end") - F.col("seg_start"))).first()[0] or 1
-    placed = keys.withColumn("seg_start", F.floor(F.col("t") / length) * length)
-    on = [c for c in ("seg_start", "row_no", "col_no") if c in placed.columns]
-    return tiles.join(placed, on)
+    """Tiles at given frames (``t``) and, where the keys have them, positions. Segments may differ in length."""
+    return in_segments(keys, tiles, on=[c for c in ("row_no", "col_no") if c in keys.columns])
 
 
 def assemble_frames(tiles: DataFrame, payload: str = "payload") -> DataFrame:

@@ -10,7 +10,7 @@ from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-_SCRATCH: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+_SCRATCH: ContextVar[Scratch | None] = ContextVar("scratch", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,12 +24,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def new_path(spark: SparkSession, label: str) -> str:
+    """A folder that isn't there yet, in the shared one; a scratch deletes it."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if (made := _SCRATCH.get()) is not None:
+        made.paths.append(path)
+    return path
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
-    if (made := _SCRATCH.get()) is not None:
-        made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -45,14 +51,26 @@ def drop_materialized(df: DataFrame) -> None:
         _delete(df.sparkSession, name.rsplit("/", 1)[0])
 
 
+class Scratch:
+    """What was materialized in a stretch of work; :meth:`keep` takes a frame's files out of it."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        held = {name.rsplit("/", 1)[0].rsplit("/", 1)[1] for name in df.inputFiles()[:1]}
+        self.paths = [p for p in self.paths if p.rsplit("/", 1)[1] not in held]
+        return df
+
+
 @contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """Deletes at its end what was materialized within: for work whose result has been written elsewhere by then."""
-    outer, own = _SCRATCH.get(), []
+def scratch(spark: SparkSession) -> Iterator[Scratch]:
+    """Deletes at its end what was materialized within and isn't kept: for work whose result has been written by then."""
+    outer, own = _SCRATCH.get(), Scratch()
     _SCRATCH.set(own)
     try:
-        yield
+        yield own
     finally:
         _SCRATCH.set(outer)
-        for path in own:
+        for path in own.paths:
             _delete(spark, path)

@@ -32,27 +32,71 @@ def run_batches(stream: DataFrame, apply: Callable[[DataFrame], DataFrame], path
     stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def in_order(stream: DataFrame, group: str, frame: str) -> DataFrame:
-    """Rows of each micro-batch group sorted by frame: what a reordering buffer restores."""
-    return stream.repartition(group).sortWithinPartitions(group, frame)
+END_OF_STREAM = 1 << 62
+
+
+def reorder(stream: DataFrame, group: str, frame: str, payload: str, first: int = 0, most_held: int = 960) -> DataFrame:
+    """``group``, ``frame``, ``payload`` in rising, gapless order of frames within each group, from frames that arrive in any order.
+
+    A frame waits as state until those before it have come. Where more than ``most_held`` wait, the missing ones are taken for lost and
+    left out. Frames that come again, or after they were taken for lost, are dropped.
+    """
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        at, ts, values = state.get if state.exists else (first, [], [])
+        held, out = dict(zip(ts, values, strict=True)), []
+        for pdf in batches:
+            for t, value in pdf[[frame, payload]].itertuples(index=False, name=None):
+                if t >= at:
+                    held.setdefault(int(t), value)
+        while held:
+            if at not in held:
+                if len(held) <= most_held:
+                    break
+                at = min(held)
+            out.append((key[0], at, held.pop(at)))
+            at += 1
+        ts = sorted(held)
+        state.update((at, ts, [held[t] for t in ts]))
+        yield pd.DataFrame(out, columns=["grp", "t", "payload"])
+
+    slim = stream.select(F.col(group).cast("string").alias("grp"), F.col(frame).cast("long").alias(frame), F.col(payload).cast("string").alias(payload))
+    return slim.groupBy("grp").applyInPandasWithState(step, "grp string, t long, payload string", "at long, ts array<long>, held array<string>", "append", GroupStateTimeout.NoTimeout)
+
+
+def bounded(spark, schema: str, path: str, files: int = 1000) -> DataFrame:
+    """A stream of Parquet files that takes in ``files`` of them at a time: the bound on what waits."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def layout_runs(stream: DataFrame, camera: str, frame: str, layout: str) -> DataFrame:
-    """A row for each change of layout of a camera, kept as state between micro-batches: ``camera``, ``first``, ``last``, ``layout`` of the ended run."""
+    """A row for each run of frames of one layout of a camera, when it ends: ``camera``, ``first``, ``last``, ``layout``.
+
+    The open run is state. A row with frame ``END_OF_STREAM`` ends a camera's last run.
+    """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = []
         first, last, held = state.get if state.exists else (None, None, None)
-        for pdf in batches:
-            for t, value in pdf.sort_values(frame)[[frame, layout]].itertuples(index=False, name=None):
-                if held is None:
-                    first, held = t, value
-                elif value != held:
+        for t, value in sorted({r for pdf in batches for r in pdf[[frame, layout]].itertuples(index=False, name=None)}, key=lambda r: r[0]):
+            if t == END_OF_STREAM:
+                if held is not None:
                     rows.append((key[0], first, last, held))
-                    first, held = t, value
-                last = t
-        state.update((first, last, held))
+                first = last = held = None
+                continue
+            if held is None:
+                first, held = t, value
+            elif value != held:
+                rows.append((key[0], first, last, held))
+                first, held = t, value
+            last = t
+        if held is None:
+            if state.exists:
+                state.remove()
+        else:
+            state.update((first, last, held))
         yield pd.DataFrame(rows, columns=["camera", "first", "last", "layout"])
 
     return stream.select(F.col(camera).cast("string").alias("camera"), frame, layout).groupBy("camera").applyInPandasWithState(

@@ -129,3 +129,47 @@ def test_triplets_draw_from_whole_buckets(spark):
     assert len({r["positive"] for r in got if at[r["anchor"]][0] == 1}) > 500
     assert len({r["negative"] for r in got if at[r["anchor"]][0] == 0}) > 500
     assert {at[r["negative"]][0] for r in got if at[r["anchor"]][0] == 0} == {1, 2}
+
+
+def plain_batched(frames, want, limit, gap, batch):
+    """The batched search over a list of all frames."""
+    left, order = {t: list(s) for t, s in frames}, [t for t, _ in frames]
+    totals, working, done, out, calls = Counter(), set(), set(), [], 0
+    while len(out) < limit:
+        group = []
+        for t in order:
+            if t in done or any(t + o in working for o in range(-gap, gap + 1) if o):
+                continue
+            if not left[t]:
+                working.discard(t)
+                continue
+            working.add(t)
+            group.append((t, left[t].pop(0)))
+            if len(group) == batch:
+                break
+        if not group:
+            break
+        for t, s in group:
+            calls += 1
+            totals[t] += s
+            if totals[t] >= want and t not in done:
+                out.append((t, len(out) + 1, calls))
+                if len(out) >= limit:
+                    break
+                done.update(range(t - gap, t + gap + 1))
+    return out
+
+
+def test_open_frames_are_all_that_is_held():
+    for seed in range(300):
+        rng = random.Random(seed)
+        frames = [(t, [float(rng.randint(0, 4)) for _ in range(rng.randrange(4))]) for t in rng.sample(range(40), rng.randrange(40))]
+        args = rng.randint(1, 9), rng.randint(0, 6), rng.randrange(4), rng.randint(1, 7)
+        assert limits.batched_search(iter(frames), *args) == plain_batched(frames, *args)
+
+
+def test_pages_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(limits, "PAGE", 40)
+    df = spark.range(500).select(F.col("id").alias("t"), (F.col("id") % 7).alias("score"))
+    got = list(limits.pages(df, limits.BEST, ["t"], 10))
+    assert got == [(t,) for t in sorted(range(500), key=lambda t: (-(t % 7), t))]
