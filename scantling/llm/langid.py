@@ -2,16 +2,17 @@
 
 Each language has a model of hashed byte n-grams (one to three bytes, folded to lower case in ASCII and Latin-1), learned from
 labelled rows. A document is a row of segments of equal length; each segment comes from one language, and expectation-maximisation
-over the segments' n-gram likelihoods estimates the proportions of languages. Sets of languages grow by the one that most raises
-the likelihood, and the set with the best likelihood less a penalty for each language is taken. The prediction is the language of
+over the segments' n-gram likelihoods, run until no proportion moves by more than ``TOLERANCE`` (``ROUNDS`` steps at most), estimates the proportions
+of languages. A set of languages grows by the one that most raises the likelihood, for as long as the likelihood less a penalty
+for each language rises; a set may hold any number of them. The prediction is the language of
 the greatest share in that set, and its score that share.
 
 The models are fitted on a bounded sample: at most about ``per_language`` labelled rows of each language, chosen by a hash of the
 id, each with its whole text; the counts that set the share drawn come from all rows. Every document is predicted from its
-whole text.
+whole text; its score depends on nothing but the text and the model.
 
 Null text or text without letters: ``und``, score 0. No labelled rows at all: ``und`` for all. Rows with a null id are predicted
-and never learned from. Ties go to the lesser language by code points.
+and never learned from. Repeated rows: a prediction each, all alike. No rows: no rows. Ties go to the lesser language by code points.
 """
 
 from __future__ import annotations
@@ -26,7 +27,9 @@ from pyspark.sql import types as T
 
 from scantling.llm.util import map_columns
 
-SLOTS_LOG2, SEGMENT, ROUNDS, MAX_SET, PENALTY, SMOOTH = 16, 64, 12, 3, 6.0, 0.05
+SLOTS_LOG2, SEGMENT, SLICE, PENALTY, SMOOTH = 16, 64, 1 << 18, 6.0, 0.05
+#: Expectation-maximisation ends when no share of a text moves by more than this.
+TOLERANCE, ROUNDS = 1e-4, 1000
 PER_LANGUAGE = 1500
 UNKNOWN = "und"
 LETTER = re.compile(rb"[A-Za-z\x80-\xff]")
@@ -60,16 +63,40 @@ class Model:
     logs: np.ndarray
 
     def segments(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Log-likelihood of each segment under each language, and where each text's segments begin (and the end)."""
-        joined = np.frombuffer(b"".join(texts).translate(FOLD), np.uint8)
-        lengths = np.array([len(t) for t in texts])
-        counts = -(-lengths // SEGMENT)
-        text_at = np.concatenate([[0], np.cumsum(lengths)])
-        begins = np.repeat(text_at[:-1], counts) + SEGMENT * (np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts))
-        slots = grams(joined)
-        # n-grams overlap and so count a shared byte three times: their mean is nearer to the truth
-        each = (self.logs[slots[0]] + self.logs[slots[1]] + self.logs[slots[2]]) / 3
-        return np.add.reduceat(each, begins, axis=0), np.concatenate([[0], np.cumsum(counts)])
+        """Log-likelihood of each segment under each language, and where each text's segments begin (and the end).
+
+        Texts are taken in slices of about ``SLICE`` bytes together; two bytes before a slice (spaces before a text) are its context.
+        """
+        out: list[np.ndarray] = []
+        held: list[bytes] = []
+        begins: list[int] = []
+        context: list[int] = []
+        size = 0
+
+        def flush() -> None:
+            nonlocal size
+            slots = grams(np.frombuffer(b"".join(held), np.uint8))
+            # n-grams overlap and so count a shared byte three times: their mean is nearer to the truth
+            each = (self.logs[slots[0]] + self.logs[slots[1]] + self.logs[slots[2]]) / 3
+            each[context] = 0
+            out.append(np.add.reduceat(each, begins, axis=0))
+            held.clear(), begins.clear(), context.clear()
+            size = 0
+
+        for text in texts:
+            folded = text.translate(FOLD)
+            for a in range(0, len(folded), SLICE):
+                piece = (folded[a - 2 : a] if a else b"  ") + folded[a : a + SLICE]
+                held.append(piece)
+                context += [size, size + 1]
+                begins += range(size + 2, size + len(piece), SEGMENT)
+                size += len(piece)
+                if size >= SLICE:
+                    flush()
+        if held:
+            flush()
+        counts = np.array([-(-len(t) // SEGMENT) for t in texts])
+        return np.concatenate(out), np.concatenate([[0], np.cumsum(counts)])
 
     def mixtures(self, logs: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Shares of each language (0: not in the set) for each text; texts have a segment at least."""
@@ -87,10 +114,22 @@ class Model:
             at = np.concatenate([[0], np.cumsum(sizes[rows])[:-1]])
             like = likelihood[own] * mask[place]
             share = mask / mask.sum(1, keepdims=True)
+            live = np.arange(len(rows))  # texts whose shares still move, with their segments
+            seg, seg_place, seg_at = like, place, at
             for _ in range(ROUNDS):
-                weighed = like * share[place]
+                weighed = seg * share[live][seg_place]
                 total = weighed.sum(1, keepdims=True) + 1e-300
-                share = np.add.reduceat(weighed / total, at, axis=0) / sizes[rows][:, None]
+                new = np.add.reduceat(weighed / total, seg_at, axis=0) / sizes[rows[live]][:, None]
+                moves = np.abs(new - share[live]).max(1) > TOLERANCE
+                share[live] = new
+                if moves.all():
+                    continue
+                live = live[moves]
+                if not len(live):
+                    break
+                stays = moves[seg_place]
+                seg, seg_place = seg[stays], np.repeat(np.arange(len(live)), sizes[rows[live]])
+                seg_at = np.concatenate([[0], np.cumsum(sizes[rows[live]])[:-1]])
             total = (like * share[place]).sum(1) + 1e-300
             return share, np.add.reduceat(np.log(total), at) + base[rows]
 
@@ -100,10 +139,11 @@ class Model:
         mask[np.arange(n), first] = 1
         best, share = alone.max(1) - PENALTY, mask.copy()
         open_ = np.arange(n)
-        for _ in range(min(MAX_SET, k) - 1):
-            # a text whose segments all like its set best gains nothing: the bound is the likelihood of each segment's own best
+        while True:
+            # no set does better than each segment's own best language, and a larger one costs another penalty
             limit = base[open_] - PENALTY * (mask[open_].sum(1) + 1)
             open_ = open_[limit > best[open_]]
+            open_ = open_[mask[open_].sum(1) < k]
             if not len(open_):
                 break
             gain, gain_share, gain_mask = np.full(len(open_), -np.inf), share[open_].copy(), mask[open_].copy()
