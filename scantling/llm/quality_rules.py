@@ -5,6 +5,10 @@ its length, both for the whole text and for nearly all of its fixed chunks. Too
 noise such as keys or encoded binary. Short texts compress worse, since a frame costs some ten bytes and there is little to
 refer back to, so the limits depend on the length.
 
+Chunks cover the whole text. What is left behind the last full chunk is a chunk of its own, judged by the band of texts of its
+length; where it is shorter than any band it belongs to the chunk before it. A text fails by its chunks if more than ``CHUNK_SHARE`` of its
+bytes lie in chunks outside their band.
+
 Null or empty text: no words, so ``base_failed`` and not kept; both ratios are null. Repeated rows are judged one by one.
 """
 
@@ -83,6 +87,13 @@ class Bands:
     def ratio(self, data: bytes) -> float:
         return len(self.compress(data)) / len(data)
 
+    def band(self, size: int) -> tuple[float, float]:
+        """Limits of a chunk of so many bytes."""
+        if size >= self.chunk_bytes:
+            return self.chunk_band
+        k = bisect_right(self.starts, size)
+        return self.bands[k - 1][1:] if k else (0.0, float("inf"))
+
     def judge(self, text: bytes) -> tuple[float | None, int, int, str]:
         """Whole ratio, chunks, chunks outside their band, verdict. Texts below the first length have no band and pass."""
         if not text:
@@ -91,13 +102,23 @@ class Bands:
         if k := bisect_right(self.starts, len(text)):
             _, least, most = self.bands[k - 1]
             verdict = "repetitive" if whole < least else "incompressible" if whole > most else "kept"
-        bad = chunks = 0
+        bad = chunks = bad_bytes = 0
         size = self.chunk_bytes
-        # a tail of under half a chunk is judged with the whole only
-        for i in range(0, len(text) - size // 2, size):
+        full, tail = divmod(len(text), size)
+        ends = [size * (k + 1) for k in range(full)]
+        if tail and (not ends or tail >= self.starts[0]):
+            ends.append(len(text))
+        elif tail:
+            ends[-1] = len(text)
+        at = 0
+        for end in ends:
+            least, most = self.band(end - at)
             chunks += 1
-            bad += not self.chunk_band[0] <= self.ratio(text[i : i + size]) <= self.chunk_band[1]
-        if verdict == "kept" and chunks and bad > self.chunk_share * chunks:
+            if not least <= self.ratio(text[at:end]) <= most:
+                bad += 1
+                bad_bytes += end - at
+            at = end
+        if verdict == "kept" and bad_bytes > self.chunk_share * len(text):
             verdict = "chunks"
         return whole, chunks, bad, verdict
 
