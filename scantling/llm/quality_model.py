@@ -3,7 +3,8 @@
 Heuristic labellers that overlap (two or more for each way a text is bad) fire or don't. Expectation-maximisation over the
 counts of all patterns of votes, from all documents, estimates how often texts are bad and how often each labeller fires on bad
 and on good ones; a pattern's posterior is its documents' weak label. A linear scorer over hashed features (the words of the
-text, and its statistics in steps) is trained on the posteriors of a bounded sample and scores every document.
+text, and its statistics in steps) is trained on the posteriors of a bounded sample and scores every document. The words of a text are
+normalised to a vector of one length, ``WORD_NORM``, whether the text has five words or fifty thousand.
 
 At most 2 ** labellers patterns exist, so their counts fit in the driver however many rows there are. The scorer is fitted on
 about ``fit_rows`` rows, chosen by a hash of the id, with their whole texts, and on up to about ``STRATUM`` rows of each pattern
@@ -67,14 +68,14 @@ def fold(word: bytes) -> bytes:
 #: Slots of words; behind them each step of a statistic has its own.
 WORD_SLOTS = 1 << SLOTS_LOG2
 STEPS = tuple((name, s) for name, steps in STATISTICS for s in steps)
-#: A text of more distinct words than this counts each for less, or the sum over a very long text would be noise.
-FULL_WORDS = 300
+#: The words of a text, short or long, are a vector of this length.
+WORD_NORM = 10.0
 
 
 def values_of(slots: np.ndarray) -> np.ndarray:
-    """What each of a text's features counts."""
+    """What each of a text's features counts: a word by the root of how many distinct ones there are, a step of a statistic 1."""
     words = slots < WORD_SLOTS
-    return np.where(words, min(1.0, FULL_WORDS / max(1, int(words.sum()))), 1.0)
+    return np.where(words, WORD_NORM / math.sqrt(max(1, int(words.sum()))), 1.0)
 
 
 class Reader:
