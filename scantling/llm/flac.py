@@ -6,6 +6,9 @@ stream carries a seek table with a point for every frame: sample offset, byte of
 (CRC-8 of the header, CRC-16 of the frame) and the MD5 of the samples are verified; a stream that fails is an error.
 
 Bytes are samples less 128, as FLAC's samples have signs. Equal payloads give equal streams.
+
+Null or empty text: 64 zero bytes. Repeated rows and repeated or null ids: a row each, alike. No rows: no rows. A stream that is cut
+off, damaged or without a seek point for each frame raises :class:`Broken`.
 """
 
 from __future__ import annotations
@@ -271,7 +274,14 @@ def read_layout(stream: bytes) -> tuple[int, bytes, list[tuple[int, int, int]]]:
     fields = int.from_bytes(info[10:18], "big")
     if fields >> 36 & 31 != 7 or fields >> 41 & 7:
         raise Broken("not mono of 8 bits")
-    return fields & (1 << 36) - 1, info[18:], [(s, at + o, n) for s, o, n in points]
+    total, expected = fields & (1 << 36) - 1, 0
+    for first, _, n in points:
+        if first != expected:
+            raise Broken("no seek point for each frame")
+        expected += n
+    if expected != total:
+        raise Broken("no seek point for each frame")
+    return total, info[18:], [(s, at + o, n) for s, o, n in points]
 
 
 class Lanes:
@@ -339,14 +349,35 @@ def header_length(data: bytes, at: int) -> tuple[int, int, int]:
     return end + 1 - at, number, size
 
 
-_HEADS: dict[bytes, int] = {}
+_HEADS: dict[bytes, tuple[int, int]] = {}
+
+
+def _frames(data: bytes, starts: list[int], ends: list[int], sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Samples of the frames that stand at these places, one after another, and where each begins. Both checksums of each are verified."""
+    array = np.frombuffer(data, np.uint8)
+    start, end, size = (np.array(v, np.int64) for v in (starts, ends, sizes))
+    if (end - start < 6).any() or (end > len(data)).any():
+        raise Broken("a frame is cut off")
+    kept = array[end - 2].astype(np.uint16) << 8 | array[end - 1]
+    if (crc16_of(array, start, end - 2 - start) != kept).any():
+        raise Broken("CRC-16 of a frame")
+    heads = np.empty(len(start), np.int64)
+    for i, at in enumerate(starts):
+        key = data[at : at + 16]
+        if (known := _HEADS.get(key)) is None:
+            length, _, own = header_length(data, at)
+            if len(_HEADS) > 50_000:
+                _HEADS.clear()
+            known = _HEADS[key] = length, own
+        if known[1] not in (0, sizes[i]):
+            raise Broken("a frame's samples differ from its seek point")
+        heads[i] = known[0]
+    return _subframes(array, start + heads, size)
 
 
 def decode_streams(streams: list[bytes], verify_md5: bool = True) -> list[list[tuple[int, bytes]]]:
     """PCM blocks of each stream, as (sample offset, samples as unsigned bytes), checksums verified."""
     layouts = [read_layout(s) for s in streams]
-    data = b"".join(streams)
-    array = np.frombuffer(data, np.uint8)
     base, starts, ends, sizes, offsets, owners = 0, [], [], [], [], []
     for i, (s, (_, _, points)) in enumerate(zip(streams, layouts, strict=True)):
         begins = [p for _, p, _ in points]
@@ -357,24 +388,8 @@ def decode_streams(streams: list[bytes], verify_md5: bool = True) -> list[list[t
             offsets.append(sample)
             owners.append(i)
         base += len(s)
-    start, end, size = (np.array(v, np.int64) for v in (starts, ends, sizes))
-    kept = array[end - 2].astype(np.uint16) << 8 | array[end - 1]
-    if (crc16_of(array, start, end - 2 - start) != kept).any():
-        raise Broken("CRC-16 of a frame")
-    heads = np.empty(len(start), np.int64)
-    for i, at in enumerate(starts):
-        key = data[at : at + 16]
-        if (known := _HEADS.get(key)) is None:
-            known, _, own = header_length(data, at)
-            if own not in (0, sizes[i]):
-                raise Broken("a frame's samples differ from its seek point")
-            if len(_HEADS) > 50_000:
-                _HEADS.clear()
-            _HEADS[key] = known
-        heads[i] = known
-    samples = _subframes(array, start + heads, size)
+    flat, ats = _frames(b"".join(streams), starts, ends, sizes)
     out: list[list[tuple[int, bytes]]] = [[] for _ in streams]
-    flat, ats = samples
     for i, o, a, n in zip(owners, offsets, ats.tolist(), sizes, strict=True):
         out[i].append((o, flat[a : a + n].tobytes()))
     for (total, md5, _), blocks in zip(layouts, out, strict=True):
@@ -384,6 +399,18 @@ def decode_streams(streams: list[bytes], verify_md5: bool = True) -> list[list[t
     return out
 
 
+def read_samples(stream: bytes, first: int, count: int) -> bytes:
+    """Samples ``first`` to ``first + count`` of a stream, less what lies behind its end. Only the frames that hold them are decoded."""
+    _, _, points = read_layout(stream)
+    ends = [p for _, p, _ in points[1:]] + [len(stream)]
+    held = [(s, p, n, e) for (s, p, n), e in zip(points, ends, strict=True) if s < first + count and s + n > first]
+    if count <= 0 or not held:
+        return b""
+    flat, _ = _frames(stream, [p for _, p, _, _ in held], [e for *_, e in held], [n for _, _, n, _ in held])
+    skip = max(0, first - held[0][0])
+    return flat[skip : first + count - held[0][0]].tobytes()
+
+
 def _subframes(array: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All samples as unsigned bytes, one frame after another, and where each begins. ``starts``: of the subframes."""
     n, width = len(starts), int(sizes.max(initial=0))
@@ -531,6 +558,23 @@ def digest_media(media: DataFrame, id_cols: list[str], media_col: str = "media")
     return map_columns(media, id_cols, media_col, "binary", DIGESTS, step, most=1 << 20)
 
 
+def seek(media: DataFrame, id_cols: list[str], first: str, count: str, media_col: str = "media") -> DataFrame:
+    """Key columns and ``pcm``: of each stream the ``count`` samples from offset ``first`` on (names of columns). Only frames that hold them are decoded."""
+    both = media.select(*[F.col(f"`{c}`") for c in id_cols], F.col(f"`{media_col}`").cast("binary").alias("__media"), F.col(f"`{first}`").cast("long").alias("__first"), F.col(f"`{count}`").cast("long").alias("__count"))
+    schema = T.StructType([*(both.schema[c] for c in id_cols), T.StructField("pcm", T.BinaryType())])
+
+    def run(batches):
+        import pyarrow as pa
+
+        k = len(id_cols)
+        for batch in batches:
+            for a in range(batch.num_rows):
+                stream, at, n = (batch.column(k + j)[a].as_py() for j in range(3))
+                yield pa.RecordBatch.from_arrays([*(batch.column(j).slice(a, 1) for j in range(k)), pa.array([read_samples(stream, at, n)], pa.binary())], names=[*id_cols, "pcm"])
+
+    return both.mapInArrow(run, schema)
+
+
 def pcm_blocks(media: DataFrame, id_cols: list[str], media_col: str = "media") -> DataFrame:
     """A row for each PCM block: key columns, ``sample_offset`` and ``pcm``, for seeking by sample."""
 
