@@ -8,6 +8,8 @@ blocks hold. Tokens behind a file's last separator are a document without an end
 
 The scan runs over one row a block, of a few numbers, not over tokens; each file is scanned by itself. A document without tokens
 counts 0. An empty file or block gives nothing. Identifiers above 65,534 need a width of 4.
+
+Ids may be of any type. Null ids and ids of several rows: a row for each of these rows. Null text: 0 tokens. No rows: no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +27,6 @@ from scantling.llm.util import materialize, slices, texts_of
 END, WIDTH, BLOCK = 50256, 2, 1 << 20
 BLOCKS = T.StructType([
     T.StructField("file", T.StringType()), T.StructField("block", T.LongType()), T.StructField("data", T.BinaryType()),
-    T.StructField("ids", T.ArrayType(T.LongType())),
 ])
 
 
@@ -36,14 +37,15 @@ def write_flat(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Null text: no tokens. An end-of-document string within a text is written as ordinary text would be, so that it ends nothing.
     """
     path = path or default_path()
-    frame = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    frame = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    schema = T.StructType([*BLOCKS.fields, T.StructField("ids", T.ArrayType(frame.schema["id"].dataType))])
     kind = np.dtype(f"<u{width}")
 
     def run(batches):
         from pyspark import TaskContext
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        arrow, name, no = to_arrow_schema(BLOCKS), f"part-{TaskContext.get().partitionId():08d}", 0
+        arrow, name, no = to_arrow_schema(schema), f"part-{TaskContext.get().partitionId():08d}", 0
         buffer, ids = bytearray(), []
 
         def take(n: int) -> pa.RecordBatch:
@@ -68,12 +70,36 @@ def write_flat(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if buffer:
             yield take(len(buffer))
 
-    return frame.mapInArrow(run, BLOCKS)
+    return frame.mapInArrow(run, schema)
+
+
+def read_flat(spark: SparkSession, path: str, width: int = WIDTH, block_bytes: int = BLOCK) -> DataFrame:
+    """Blocks of the raw flat files of a folder (a URI that pyarrow opens), read by ranges of bytes: ``file``, ``block``, ``data``.
+
+    A file of any size is cut every ``block_bytes``, wherever that falls; a token belongs to the range in which it begins. Files are listed
+    by the driver, a row each; each range is read by the task that searches it. Bytes behind a file's last whole token raise.
+    """
+    from pyarrow import fs
+
+    store, root = fs.FileSystem.from_uri(path)
+    found = [f for f in store.get_file_info(fs.FileSelector(root, recursive=True)) if f.is_file]
+    for f in found:
+        if f.size % width:
+            raise ValueError(f"{f.path}: {f.size} bytes are not a whole number of tokens")
+    files = spark.createDataFrame([(f.path, f.size) for f in found], "file string, size long").where("size > 0")
+    ranges = files.select("file", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / block_bytes))).alias("block"))
 
+    def run(batches):
+        own, _ = fs.FileSystem.from_uri(path)
+        whole = lambda at: -(-at // width) * width
+        for batch in batches:
+            for row in batch.to_pylist():
+                since, until = whole(row["block"] * block_bytes), min(row["size"], whole((row["block"] + 1) * block_bytes))
+                with own.open_input_file(row["file"]) as f:
+                    data = f.read_at(max(0, until - since), since)
+                yield pa.RecordBatch.from_arrays([pa.array([row["file"]]), pa.array([row["block"]], pa.int64()), pa.array([data], pa.binary())], names=["file", "block", "data"])
 
-def read_flat(spark: SparkSession, path: str) -> DataFrame:
-    """Blocks of raw flat files in a folder, one block a file: ``file``, ``block``, ``data``."""
-    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.lit(0).cast("long").alias("block"), F.col("content").alias("data"))
+    return ranges.repartition("file", "block").mapInArrow(run, BLOCKS)
 
 
 def separators(data: bytes, end: int = END, width: int = WIDTH) -> tuple[int, np.ndarray]:
@@ -108,17 +134,19 @@ def scan_blocks(blocks: DataFrame, end: int = END, width: int = WIDTH) -> DataFr
     order = Window.partitionBy("file").orderBy("block")
     before, upto = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, 0)
     ends = F.when(F.col("first").isNotNull(), F.size("inner") + 1).otherwise(0)
-    scanned = found.withColumn("ends", ends).withColumn("begin", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    # the scan runs over a few numbers a block; its separators are joined back to it
+    numbers = found.select("file", "block", "n", "first", "last", ends.alias("ends")).withColumn("begin", F.coalesce(F.sum("n").over(before), F.lit(0)))
     # where the open document begins: behind the last separator of the blocks so far
-    scanned = scanned.withColumn("open_at", F.when(F.col("ends") > 0, F.col("begin") + F.col("n") - F.col("last")))
+    scanned = numbers.withColumn("open_at", F.when(F.col("ends") > 0, F.col("begin") + F.col("n") - F.col("last")))
     scanned = scanned.select(
-        "file", "block", "n", "first", "last", "inner", "places", "ends", "begin",
+        "file", "block", "n", "first", "last", "ends", "begin",
         F.coalesce(F.sum("ends").over(before), F.lit(0)).alias("docs"), F.coalesce(F.max("open_at").over(before), F.lit(0)).alias("since"),
         (F.row_number().over(Window.partitionBy("file").orderBy(F.desc("block"))) == 1).alias("tail"), F.coalesce(F.max("open_at").over(upto), F.lit(0)).alias("rest"),
     )
+    placed = scanned.where("ends > 0").join(found.select("file", "block", "inner", "places"), ["file", "block"])
     sizes = F.concat(F.array(F.col("begin") + F.col("first") - F.col("since")), F.col("inner"))
     begins = F.concat(F.array("since"), F.transform("places", lambda p: F.col("begin") + p + 1))
-    each = scanned.where("ends > 0").select("file", "block", "docs", F.posexplode(F.arrays_zip(sizes.alias("n_tokens"), begins.alias("start"))).alias("nth", "doc"), "ends")
+    each = placed.select("file", "block", "docs", F.posexplode(F.arrays_zip(sizes.alias("n_tokens"), begins.alias("start"))).alias("nth", "doc"), "ends")
     whole = each.where(F.col("nth") < F.col("ends")).select("file", (F.col("docs") + F.col("nth")).alias("doc_no"), "doc.n_tokens", "doc.start", F.lit(True).alias("ended"), "block", "nth")
     left = scanned.where("tail").where(F.col("begin") + F.col("n") > F.col("rest"))
     cut = left.select("file", (F.col("docs") + F.col("ends")).alias("doc_no"), (F.col("begin") + F.col("n") - F.col("rest")).alias("n_tokens"), F.col("rest").alias("start"), F.lit(False).alias("ended"), "block", F.lit(None).cast("int").alias("nth"))
