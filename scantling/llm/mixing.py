@@ -8,10 +8,11 @@ that rank first are taken until their words come nearest to what the target asks
 
 No source is sorted whole. Ranks lie in (0, 1); the place to cut is found by adding up words in bins, then in the bins of the
 bin that is cut, and only what is left is looked at row by row, so a source that holds a third of all rows is no task's burden.
-The uniform number comes from the id alone: reruns agree, and rows that repeat an id are taken together.
+The uniform number comes from the id: reruns agree, and rows of a source that repeat an id are taken together; rows that
+repeat an id in several sources are taken as each source's plan says.
 
 Null source: a source of its own, last in order. Null text: no words; such rows get copies like the others and add no words.
-Null id: a rank like any other. No words at all: every target is 0 and nothing is taken.
+Null id: the number comes from the text instead. No words at all: every target is 0 and nothing is taken. No rows: no rows.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from scantling.llm.util import WORD_PATTERN, materialize
+from scantling.llm.util import WORD_PATTERN, drop_materialized, materialize
 
 WEIGHTS, MOST, BINS, SMALL = (5, 2, 1), 3, 4096, 20_000
 
@@ -31,7 +32,7 @@ def word_count(text: Column) -> Column:
 
 def uniform(key: Column, seed: int) -> Column:
     """A number in (0, 1) from 52 bits of the MD5 of a key."""
-    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("null")))), 1, 13)
+    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key)), 1, 13)
     return (F.conv(digits, 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
@@ -69,47 +70,82 @@ def _cut_bin(rows: DataFrame, plan: DataFrame, bins: int, small: bool) -> DataFr
     return _by_source(plan.drop("base", "bin"), cut, small).select(*[c for c in plan.columns if c not in ("base", "bin")], F.col("cut.bin").alias("bin"), F.col("cut.base").alias("base"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, most: int = MOST, seed: int = 17, bins: int = BINS) -> DataFrame:
-    """``id``, ``source``, ``size``, ``source_size``, ``target``, ``copies`` and ``taken`` for every row; extra columns are ignored."""
-    sized = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), word_count(F.col(f"`{text_col}`")).alias("size"))
-    sized = materialize(sized, "mix-sizes")
+def draw_key(id_: Column, text: Column) -> Column:
+    """What a row's uniform number comes from: its id, or its text where that is null."""
+    return F.coalesce(id_.cast("string"), F.concat(F.lit("null/"), F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary"))))
+
+
+def rank_of(key: Column, p: Column, seed: int) -> Column:
+    """Odds of the uniform number by odds of ``p``, brought to (0, 1) by x / (1 + x)."""
+    u = uniform(key, seed)
+    return F.when(p > 0, u * (1 - p) / (u * (1 - p) + (1 - u) * p)).otherwise(F.lit(1.0))
+
+
+def plan_mix(sized: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, seed: int = 17, bins: int = BINS) -> tuple[DataFrame, bool]:
+    """A row a source: ``source``, ``source_size``, ``target``, ``whole``, ``p`` and where its ranks are cut; and whether that is small.
+
+    ``sized`` has ``key``, ``source`` and ``size``. A row gets ``whole`` copies, and one more if its rank is under ``below`` or up to ``last``.
+    """
     sources = materialize(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "mix-targets")
     small = sources.count() <= SMALL
     often = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     plan = sources.withColumn("often", often).withColumn("whole", F.floor("often")).withColumn("p", F.col("often") - F.col("whole"))
     plan = plan.withColumn("wanted", F.col("target") - F.col("whole") * F.col("source_size")).withColumn("base", F.lit(0).cast("long"))
-    u, p = uniform(F.col("id"), seed), F.col("p")
-    # odds(u) / odds(p), brought to (0, 1) by x / (1 + x)
-    rank = F.when(p > 0, u * (1 - p) / (u * (1 - p) + (1 - u) * p)).otherwise(F.lit(1.0))
-    ranked = _by_source(sized, plan.select("source", "source_size", "target", "whole", "p"), small).withColumn("rank", rank)
+    ranked = _by_source(sized, plan.select("source", "p"), small).withColumn("rank", rank_of(F.col("key"), F.col("p"), seed)).where("p > 0").select("source", "size", "rank")
     open_ = plan.select("source", "wanted", "base").where("wanted > 0")
-    coarse = materialize(_cut_bin(ranked.where("p > 0"), open_, bins, small), "mix-cut")
-    in_coarse = _by_source(ranked.where("p > 0"), coarse.select("source", "bin"), small).where(F.floor(F.col("rank") * bins) == F.col("bin")).drop("bin")
+    coarse = materialize(_cut_bin(ranked, open_, bins, small), "mix-cut")
+    in_coarse = _by_source(ranked, coarse.select("source", "bin"), small).where(F.floor(F.col("rank") * bins) == F.col("bin")).drop("bin")
     fine = materialize(_cut_bin(in_coarse, coarse, bins * bins, small), "mix-cut")
     left = _by_source(in_coarse, fine.select("source", "bin", "wanted", "base"), small).where(F.floor(F.col("rank") * bins * bins) == F.col("bin"))
     same = left.groupBy("source", "rank", "wanted", "base").agg(F.sum("size").alias("words"))
     same = same.withColumn("upto", F.col("base") + F.sum("words").over(Window.partitionBy("source").orderBy("rank")))
     near = F.col("upto") - F.col("wanted") <= F.col("wanted") - (F.col("upto") - F.col("words"))
     reached = same.where((F.col("upto") - F.col("words") < F.col("wanted")) & ((F.col("upto") <= F.col("wanted")) | near)).groupBy("source").agg(F.max("rank").alias("last"))
-    cut = fine.select("source", (F.col("bin") / F.lit(float(bins * bins))).alias("below"))
-    cut = cut.join(reached.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s")), "left").drop("__s")
-    cut = materialize(cut, "mix-cut").withColumnRenamed("source", "__source")
-    out = ranked.join(F.broadcast(cut) if small else cut, F.col("source").eqNullSafe(F.col("__source")), "left")
-    extra = F.coalesce((F.col("rank") < F.col("below")) | (F.col("rank") <= F.col("last")), F.lit(False))
-    out = out.withColumn("copies", (F.col("whole") + extra.cast("long")).cast("long"))
-    return out.select("id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    out = plan.select("source", "source_size", "target", "whole", "p")
+    for found in (fine.select(F.col("source").alias("__s"), (F.col("bin") / F.lit(float(bins * bins))).alias("below")), reached.withColumnRenamed("source", "__s")):
+        out = out.join(found, F.col("source").eqNullSafe(F.col("__s")), "left").drop("__s")
+    return materialize(out, "mix-plan"), small
+
+
+def copies_of(key: Column, plan: Column, seed: int) -> Column:
+    """How often a row is taken, by its source's row of the plan (a struct)."""
+    rank = rank_of(key, plan["p"], seed)
+    extra = F.coalesce((plan["p"] > 0) & ((rank < plan["below"]) | (rank <= plan["last"])), F.lit(False))
+    return (plan["whole"] + extra.cast("long")).cast("long")
+
+
+def _planned(rows: DataFrame, source: str, plan: DataFrame, small: bool) -> DataFrame:
+    """``rows`` with their source's plan as the struct ``__plan``."""
+    right = plan.select(F.col("source").alias("__source"), F.struct(*plan.columns).alias("__plan"))
+    return rows.join(F.broadcast(right) if small else right, F.col(f"`{source}`").eqNullSafe(F.col("__source"))).drop("__source")
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, most: int = MOST, seed: int = 17, bins: int = BINS) -> DataFrame:
+    """``id``, ``source``, ``size``, ``source_size``, ``target``, ``copies`` and ``taken`` for every row; extra columns are ignored."""
+    sized = materialize(_sized(docs, id_col, text_col, source_col), "mix-sizes")
+    plan, small = plan_mix(sized, weights, most, seed, bins)
+    out = _planned(sized, "source", plan, small).withColumn("copies", copies_of(F.col("key"), F.col("__plan"), seed))
+    return out.select("id", "source", "size", "__plan.source_size", "__plan.target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    id_, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    return docs.select(id_.alias("id"), draw_key(id_, text).alias("key"), F.col(f"`{source_col}`").alias("source"), word_count(text).alias("size"))
 
 
-def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """Rows of ``docs``, all columns kept, each as often as the mix takes it. Rows that repeat an id must not differ in source."""
-    chosen = mix(docs, id_col, text_col, source_col, **options).where("copies > 0").select(F.col("id").alias("__id"), F.col("copies").alias("__copies")).distinct()
-    joined = docs.join(chosen, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, most: int = MOST, seed: int = 17, bins: int = BINS) -> DataFrame:
+    """Rows of ``docs``, all columns kept, each as often as the mix takes it: the rows meet the plan of their source, so texts aren't shuffled."""
+    sized = materialize(_sized(docs, id_col, text_col, source_col).select("key", "source", "size"), "mix-sizes")
+    plan, small = plan_mix(sized, weights, most, seed, bins)
+    drop_materialized(sized)
+    key = draw_key(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
+    chosen = _planned(docs, source_col, plan, small).withColumn("__copies", copies_of(key, F.col("__plan"), seed)).where(F.col("__copies") > 0)
+    return chosen.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 ORACLE_SQL = rf"""
 WITH sized AS (
-  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '{WORD_PATTERN}')), 0) AS BIGINT) AS size FROM documents
+  SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), 'null/' || md5(coalesce(text, ''))) AS key, source, CAST(coalesce(len(regexp_extract_all(text, '{WORD_PATTERN}')), 0) AS BIGINT) AS size FROM documents
 ), sources AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source
 ), ranked AS (
@@ -130,7 +166,7 @@ WITH sized AS (
   SELECT *, CAST(floor(often) AS BIGINT) AS whole, often - floor(often) AS p, target - floor(often) * source_size AS wanted FROM plan2
 ), u AS (
   SELECT s.doc_id, s.size, p.*,
-         (CAST('0x' || substr(md5('17:' || coalesce(CAST(s.doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
+         (CAST('0x' || substr(md5('17:' || s.key), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
   FROM sized s JOIN plan3 p ON s.source IS NOT DISTINCT FROM p.source
 ), r AS (
   SELECT *, CASE WHEN p > 0 THEN u * (1 - p) / (u * (1 - p) + (1 - u) * p) ELSE 1.0::DOUBLE END AS rank FROM u
