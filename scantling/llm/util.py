@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scantling.sources.shared import drop_materialized, materialize
+from scantling.sources.shared import drop_materialized, materialize, scratch
 
-__all__ = ["WORD_PATTERN", "drop_materialized", "give_back", "map_columns", "materialize", "slices", "table", "texts_of"]
+__all__ = ["WORD_PATTERN", "drop_materialized", "give_back", "map_columns", "materialize", "scratch", "slices", "table", "texts_of"]
 
 #: Bytes that part words: space and the characters 9 to 13. ``bytes.split()`` parts at exactly these.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
