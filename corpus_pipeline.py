@@ -16,7 +16,7 @@ from scantling.llm.langid import keep_identified
 from scantling.llm.mixing import take
 from scantling.llm.quality_model import keep_good
 from scantling.llm.simhash import keep_one
-from scantling.llm.util import materialize, table
+from scantling.llm.util import drop_materialized, materialize, scratch, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,9 +54,18 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = materialize(docs, f"stage-{name}")
+        if k == len(STAGES) - 1:
+            return stage(spark, docs, sf_dir)
+        docs = _written(spark, lambda docs=docs, stage=stage: stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            drop_materialized(before)
+        before = docs
     return docs
+
+
+def _written(spark: SparkSession, make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """What a stage makes, written; what it wrote on the way is deleted."""
+    with scratch(spark) as made:
+        return made.keep(materialize(make(), label))
