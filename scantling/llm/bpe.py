@@ -7,7 +7,8 @@ matrix each. Words repeat, so a bounded table keeps what each was encoded to; lo
 scan for each merge grows with the square of the length.
 
 Null text is an empty text: no tokens, and the digests of nothing. Added tokens of the file found in a text become their own
-ids, as the file's library does without an option to the contrary. Tokenizers are read, never trained.
+ids, as the file's library does without an option to the contrary. Tokenizers are read, never trained. Null ids and repeated rows: a row
+each, alike. No rows: no rows.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from scantling.llm.util import map_columns
 
 NO_RANK = 1 << 60
 LANE_NONE = 2**31 - 1
+#: A pair of ids as one number: ids of up to 31 bits.
+PAIR_SHIFT = 32
 #: Words that are merged together at most.
 LANES = 8192
 ONE_BYTE = [bytes([b]) for b in range(256)]
@@ -95,7 +98,7 @@ class Bpe:
         self.added_split = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.added_probe = next(iter(self.added), None) if len(self.added) == 1 else None
         # the same ranks by a pair of ids in one number, for the words that are merged together
-        pairs = sorted((self.vocab[a] << 16 | self.vocab[b], r, self.vocab[a + b]) for (a, b), r in self.ranks.items())
+        pairs = sorted((self.vocab[a] << PAIR_SHIFT | self.vocab[b], r, self.vocab[a + b]) for (a, b), r in self.ranks.items())
         self.pair_keys = np.array([k for k, _, _ in pairs], np.int64)
         self.pair_ranks = np.array([r for _, r, _ in pairs] + [LANE_NONE], np.int32)
         self.merged = np.zeros(len(pairs) + 1, np.int32)
@@ -150,7 +153,7 @@ class Bpe:
         return [word[i : ends[i]] for i in range(n) if alive[i]]
 
     def _pair_rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        key = left.astype(np.int64) << 16 | right
+        key = left.astype(np.int64) << PAIR_SHIFT | right
         at = np.searchsorted(self.pair_keys, key)
         at[at == len(self.pair_keys)] = 0
         return np.where((self.pair_keys[at] == key) & (left >= 0) & (right >= 0), self.pair_ranks[at], LANE_NONE)

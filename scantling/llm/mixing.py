@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from scantling.llm.util import WORD_PATTERN, drop_materialized, materialize
+from scantling.llm.util import WORD_PATTERN, materialize, scratch
 
 WEIGHTS, MOST, BINS, SMALL = (5, 2, 1), 3, 4096, 20_000
 
@@ -123,7 +123,9 @@ def _planned(rows: DataFrame, source: str, plan: DataFrame, small: bool) -> Data
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, most: int = MOST, seed: int = 17, bins: int = BINS) -> DataFrame:
     """``id``, ``source``, ``size``, ``source_size``, ``target``, ``copies`` and ``taken`` for every row; extra columns are ignored."""
     sized = materialize(_sized(docs, id_col, text_col, source_col), "mix-sizes")
-    plan, small = plan_mix(sized, weights, most, seed, bins)
+    with scratch(docs.sparkSession) as made:
+        plan, small = plan_mix(sized, weights, most, seed, bins)
+        made.keep(plan)
     out = _planned(sized, "source", plan, small).withColumn("copies", copies_of(F.col("key"), F.col("__plan"), seed))
     return out.select("id", "source", "size", "__plan.source_size", "__plan.target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
@@ -135,9 +137,10 @@ def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> Data
 
 def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, most: int = MOST, seed: int = 17, bins: int = BINS) -> DataFrame:
     """Rows of ``docs``, all columns kept, each as often as the mix takes it: the rows meet the plan of their source, so texts aren't shuffled."""
-    sized = materialize(_sized(docs, id_col, text_col, source_col).select("key", "source", "size"), "mix-sizes")
-    plan, small = plan_mix(sized, weights, most, seed, bins)
-    drop_materialized(sized)
+    with scratch(docs.sparkSession) as made:
+        sized = materialize(_sized(docs, id_col, text_col, source_col).select("key", "source", "size"), "mix-sizes")
+        plan, small = plan_mix(sized, weights, most, seed, bins)
+        made.keep(plan)
     key = draw_key(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
     chosen = _planned(docs, source_col, plan, small).withColumn("__copies", copies_of(key, F.col("__plan"), seed)).where(F.col("__copies") > 0)
     return chosen.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])

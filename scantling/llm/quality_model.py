@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scantling.llm.quality_rules import repeated_words
-from scantling.llm.util import drop_materialized, give_back, map_columns, materialize, slices, texts_of
+from scantling.llm.util import drop_materialized, map_columns, materialize
 
 #: Insults that a labeller looks for, lower case.
 INSULTS = frozenset(
@@ -119,13 +119,8 @@ class Reader:
         }
         return stats, bare
 
-    def votes(self, text: bytes) -> int:
-        """Bit j: labeller j fires. No words: -1."""
-        stats, _ = self.read(text)
-        return sum((stats[name] >= least) << j for j, (name, least) in enumerate(LABELLERS)) if stats else -1
-
     def features(self, text: bytes) -> tuple[int, np.ndarray]:
-        """Votes and the slots of the features: hashed words, in order without repeats, then steps of statistics."""
+        """Votes (bit j: labeller j fires; -1: no words) and the slots of the features: hashed words, in order without repeats, then steps of statistics."""
         stats, bare = self.read(text)
         if not stats:
             return -1, np.zeros(0, np.int32)
@@ -232,13 +227,12 @@ class Classifier:
     weights: np.ndarray
     bias: float
 
-    def score(self, texts: list[bytes]) -> tuple[list[float], list[float]]:
-        """Quality (0 to 1) and weak label (probability of bad) of each text."""
-        reader, votes, quality = Reader(self.insults), [], []
-        for text in texts:
-            v, slots = reader.features(text)
-            votes.append(v)
-            score = self.bias + float(self.weights[slots] @ values_of(slots))
+    def score(self, votes: list[int], slots: list[bytes]) -> tuple[list[float], list[float]]:
+        """Quality (0 to 1) and weak label (probability of bad) of texts by their votes and features."""
+        quality = []
+        for v, own in zip(votes, slots, strict=True):
+            at = np.frombuffer(own, np.int32)
+            score = self.bias + float(self.weights[at] @ values_of(at))
             quality.append(0.0 if v < 0 else 1 / (1 + math.exp(min(50.0, max(-50.0, score)))))
         return quality, self.labels.posterior(np.array(votes, np.int64)).tolist()
 
@@ -277,63 +271,72 @@ def learn_insults(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     return INSULTS | found
 
 
-def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> Classifier:
-    """Insults from labelled rows if given, label model from the votes of all rows, scorer from about ``fit_rows`` rows and those of rare patterns."""
-    insults = learn_insults(docs, labels, id_col, text_col) if labels is not None else INSULTS
-    schema = T.StructType([T.StructField("votes", T.IntegerType())])
-    marked = docs.select(draw(F.col(f"`{id_col}`"), "quality").alias("draw"), F.col(f"`{text_col}`").alias("text"))
-    votes = materialize(map_columns(marked, ["draw"], "text", "string", schema, lambda texts: {"votes": list(map(Reader(insults).votes, texts))}), "votes")
-    found = votes.groupBy("votes").agg(F.count("*").alias("n")).collect()
-    patterns, counts = np.array([r["votes"] for r in found], np.int64), np.array([r["n"] for r in found], np.int64)
-    model = fit_labels(patterns, counts)
-    share = min(1.0, fit_rows / max(1, int(counts.sum())))
-    # what share of a pattern's rows is read: of patterns with few rows more, at most 2 ** labellers times STRATUM rows in all
-    wider = [x for r in found if r["votes"] >= 0 and STRATUM / r["n"] > share for x in (F.lit(r["votes"]), F.lit(min(1.0, STRATUM / r["n"])))]
-    chosen = F.col("draw") < (F.coalesce(F.create_map(*wider)[F.col("votes")], F.lit(share)) if wider else F.lit(share))
-    kinds = T.StructType([T.StructField("votes", T.IntegerType()), T.StructField("slots", T.BinaryType())])
+FEATURES = T.StructType([T.StructField("__votes", T.IntegerType()), T.StructField("__slots", T.BinaryType())])
+
+
+def read_features(docs: DataFrame, keys: list[str], text_col: str, insults: frozenset) -> DataFrame:
+    """Columns ``keys``, votes and features of every row, read once and written: the model is fitted on them and scores them."""
 
     def step(texts: list[bytes]) -> dict[str, list]:
         reader = Reader(insults)
         rows = [reader.features(t) for t in texts]
-        return {"votes": [v for v, _ in rows], "slots": [s.tobytes() for _, s in rows]}
+        return {"__votes": [v for v, _ in rows], "__slots": [s.astype(np.int32).tobytes() for _, s in rows]}
+
+    return materialize(map_columns(docs, keys, text_col, "string", FEATURES, step), "quality")
 
-    read = marked.join(F.broadcast(votes.where("votes >= 0").where(chosen).select("draw").distinct()), "draw", "left_semi")
-    sample = map_columns(read, ["draw"], "text", "string", kinds, step).where("votes >= 0").where(chosen).select("votes", "slots").collect()
-    drop_materialized(votes)
-    sample.sort(key=lambda r: (r["votes"], r["slots"]))
-    own = np.array([r["votes"] for r in sample], np.int64)
+
+def fit(read: DataFrame, insults: frozenset = INSULTS, id_col: str = "doc_id", fit_rows: int = FIT_ROWS) -> Classifier:
+    """Label model from the votes of all rows of :func:`read_features`, scorer from about ``fit_rows`` of them and those of rare patterns."""
+    found = read.groupBy("__votes").agg(F.count("*").alias("n")).collect()
+    patterns, counts = np.array([r["__votes"] for r in found], np.int64), np.array([r["n"] for r in found], np.int64)
+    model = fit_labels(patterns, counts)
+    share = min(1.0, fit_rows / max(1, int(counts.sum())))
+    # what share of a pattern's rows is taken: of patterns with few rows more, at most 2 ** labellers times STRATUM rows in all
+    wider = [x for r in found if r["__votes"] >= 0 and STRATUM / r["n"] > share for x in (F.lit(r["__votes"]), F.lit(min(1.0, STRATUM / r["n"])))]
+    least = F.coalesce(F.create_map(*wider)[F.col("__votes")], F.lit(share)) if wider else F.lit(share)
+    sample = read.where("__votes >= 0").where(draw(F.col(f"`{id_col}`"), "quality") < least).select("__votes", "__slots").collect()
+    sample.sort(key=lambda r: (r["__votes"], r["__slots"]))
+    own = np.array([r["__votes"] for r in sample], np.int64)
     weak = model.posterior(own) if sample else np.zeros(0)
-    return Classifier(insults, model, *fit_scorer([np.frombuffer(r["slots"], np.int32) for r in sample], weak, counts=row_weights(own) if sample else None))
+    return Classifier(insults, model, *fit_scorer([np.frombuffer(r["__slots"], np.int32) for r in sample], weak, counts=row_weights(own) if sample else None))
 
 
 SCORES = T.StructType([T.StructField("quality", T.DoubleType()), T.StructField("weak_bad", T.DoubleType()), T.StructField("kept", T.BooleanType())])
 
 
-def classify(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, **options) -> DataFrame:
+def _scored(docs: DataFrame, keys: list[str], labels: DataFrame | None, id_col: str, text_col: str, fit_rows: int) -> tuple[DataFrame, Classifier]:
+    insults = learn_insults(docs, labels, id_col, text_col) if labels is not None else INSULTS
+    read = read_features(docs, keys, text_col, insults)
+    return read, fit(read, insults, id_col, fit_rows)
+
+
+def classify(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, fit_rows: int = FIT_ROWS) -> DataFrame:
     """``id_col``, ``quality``, ``weak_bad`` and ``kept`` for every row; extra columns are ignored."""
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col, **options))  # of fixed size
+    read, model = _scored(docs, [id_col], labels, id_col, text_col, fit_rows)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
+    schema = T.StructType([read.schema[id_col], *SCORES.fields])
 
-    def step(texts: list[bytes]) -> dict[str, list]:
-        quality, weak = shared.value.score(texts)
-        return {"quality": quality, "weak_bad": weak, "kept": [q >= threshold for q in quality]}
+    def run(batches):
+        import pyarrow as pa
 
-    return map_columns(docs, [id_col], text_col, "string", SCORES, step)
+        for batch in batches:
+            quality, weak = shared.value.score(batch.column(1).to_pylist(), batch.column(2).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(quality, pa.float64()), pa.array(weak, pa.float64()), pa.array([q >= threshold for q in quality], pa.bool_())], names=schema.fieldNames())
 
+    return read.select(f"`{id_col}`", "__votes", "__slots").mapInArrow(run, schema)
 
-def keep_good(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, **options) -> DataFrame:
+
+def keep_good(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, fit_rows: int = FIT_ROWS) -> DataFrame:
     """Rows of ``docs`` that the classifier keeps, with all their columns."""
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col, **options))
-    at = docs.columns.index(text_col)
+    read, model = _scored(docs, docs.columns, labels, id_col, text_col, fit_rows)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    n = len(docs.columns)
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            texts, keep = texts_of(batch.column(at)), []
-            for a, b in slices([len(t) for t in texts], 4 << 20):
-                keep += [q >= threshold for q in shared.value.score(texts[a:b])[0]]
-            yield batch.filter(pa.array(keep, pa.bool_()))
-        batch = texts = None
-        give_back()
-
-    return docs.mapInArrow(run, docs.schema)
+            keep = [q >= threshold for q in shared.value.score(batch.column(n).to_pylist(), batch.column(n + 1).to_pylist())[0]]
+            yield pa.RecordBatch.from_arrays(batch.columns[:n], names=batch.schema.names[:n]).filter(pa.array(keep, pa.bool_()))
+
+    return read.mapInArrow(run, docs.schema)

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scantling.llm.util import drop_materialized, map_columns, materialize
+from scantling.llm.util import map_columns, materialize, scratch
 from scantling.operators.graph import components
 
 SHINGLE, SEED, RADIUS, BUCKET_LIMIT, STRIDE, LEVELS = 3, 42, 2, 1024, 8, 3
@@ -273,17 +273,16 @@ def link_edges(distinct: DataFrame, radius: int = RADIUS, bucket_limit: int = BU
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
     """``id_col``, ``fp`` and ``component_id`` (the least id reachable over links) for every row; extra columns are ignored."""
-    marks = materialize(fingerprints(docs, [id_col], text_col).select(F.col(f"`{id_col}`").alias("id"), "fp"), "simhash")
-    heads = materialize(marks.groupBy("fp").agg(F.min("id").alias("head")), "simhash-distinct")
-    edges = link_edges(heads.select("fp"), radius, bucket_limit)
-    parts = materialize(components(edges), "simhash-parts")
-    linked = parts.join(heads, F.col("node") == F.col("fp")).select("component", "fp", "head")
-    least = linked.groupBy("component").agg(F.min("head").alias("least"))
-    moved = linked.join(least, "component").select("fp", F.col("least").alias("label"))
-    # written, so that the join below stands alone and Spark can split a fingerprint that very many documents share
-    labels = materialize(heads.join(moved, "fp", "left").select("fp", F.coalesce("label", "head").alias("component_id")), "simhash-labels")
-    for done in (heads, parts):
-        drop_materialized(done)
+    with scratch(docs.sparkSession) as made:
+        marks = made.keep(materialize(fingerprints(docs, [id_col], text_col).select(F.col(f"`{id_col}`").alias("id"), "fp"), "simhash"))
+        heads = materialize(marks.groupBy("fp").agg(F.min("id").alias("head")), "simhash-distinct")
+        edges = link_edges(heads.select("fp"), radius, bucket_limit)
+        parts = materialize(components(edges), "simhash-parts")
+        linked = parts.join(heads, F.col("node") == F.col("fp")).select("component", "fp", "head")
+        least = linked.groupBy("component").agg(F.min("head").alias("least"))
+        moved = linked.join(least, "component").select("fp", F.col("least").alias("label"))
+        # written, so that the join below stands alone and Spark can split a fingerprint that very many documents share
+        labels = made.keep(materialize(heads.join(moved, "fp", "left").select("fp", F.coalesce("label", "head").alias("component_id")), "simhash-labels"))
     return marks.join(labels, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 

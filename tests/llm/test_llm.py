@@ -56,8 +56,28 @@ ALL = {
 
 @pytest.mark.parametrize("name", sorted(ALL))
 def test_odd_rows_have_a_row_each(name, odd):
+    """A row for each, and rows of equal texts, languages and sources have equal values but for what is of their place or id."""
     got = ALL[name](odd)
-    assert got.count() == len(ODD)
+    rows = got.collect()
+    key = "id" if name == "mixing" else "doc_id"
+    assert len(rows) == len(ODD) and Counter(r[key] for r in rows) == Counter(i for i, *_ in ODD)
+    own = [c for c in got.columns if c not in (key, "file", "doc_no", "start", "held_out", "component_id", "copies", "taken")]
+    values = {i: {str([r[c] for c in own]) for r in rows if r[key] == i} for i in (2, 3, 5, 6, 1)}
+    assert values[5] == values[6] and len(values[5]) == 1
+    if name not in ("flac", "bpe", "rules", "tokens"):
+        assert values[2] == values[3] or name == "mixing"
+
+
+def test_odd_rows_by_value(odd):
+    """What null, empty and blank texts give, as the docstrings say."""
+    by = lambda df, *c: {(r["doc_id"], tuple(r[x] for x in c)) for r in df.collect()}
+    rules = by(quality_rules.apply_rules(odd), "n_words", "base_failed", "kept", "whole_ratio")
+    assert {(1, (0, True, False, None)), (2, (0, True, False, None))} <= rules
+    assert {(1, ("und", 0.0)), (2, ("und", 0.0)), (3, ("und", 0.0))} <= by(langid.identify(odd), "lang_pred", "score")
+    assert {(1, (0.0, False)), (3, (0.0, False))} <= by(quality_model.classify(odd), "quality", "kept")
+    assert {(1, (0, 1)), (2, (0, 1)), (3, (0, 1)), (5, (simhash.near_duplicates(odd).where("doc_id = 6").first()["fp"], 5))} <= by(simhash.near_duplicates(odd), "fp", "component_id")
+    assert {(1, (0,)), (2, (0,))} <= by(bpe.encode_documents(odd), "n_tokens") & by(token_files.count_tokens(odd), "n_tokens")
+    assert {(1, (0, 64)), (2, (0, 64)), (3, (4, 64))} <= by(flac.digest_media(flac.encode_media(odd), ["doc_id", "n_bytes"]), "n_bytes", "payload_bytes")
 
 
 @pytest.mark.parametrize("name", sorted(ALL))
@@ -249,6 +269,20 @@ def test_bpe_three_ways_and_small_table(own):
     assert [small.encode(t) for t in texts] == [own.encode(t) for t in texts]
 
 
+def test_a_vocabulary_of_many_ids(own, tmp_path):
+    """Ids beyond 16 bits, as they are in larger vocabularies: the same merges."""
+    import json
+
+    with open(bpe.default_path(), encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["model"]["vocab"] = {t: i * 7 + 70_000 for t, i in spec["model"]["vocab"].items()}
+    path = tmp_path / "wide.json"
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    text = "Some words that merge, and others: antidisestablishmentarianism überraschend 12345"
+    assert bpe.Bpe(str(path)).encode(text) == [i * 7 + 70_000 for i in own.encode(text)]
+    assert bpe.Bpe(str(path)).merge_together([b"overwhelming", b"the"]) == [tuple(i * 7 + 70_000 for i in ids) for ids in own.merge_together([b"overwhelming", b"the"])]
+
+
 def test_decode_ids(odd):
     made = bpe.encode_documents(odd.where("doc_id in (8, 10)"))
     assert {r["text"] for r in bpe.decode_ids(made, ["doc_id"]).collect()} == {ODD[7][1], ODD[12][1]}
