@@ -38,20 +38,25 @@ def in_order(df: DataFrame, order: list[Column], label: str) -> DataFrame:
     return placed.withColumn("__part", F.shiftright("__mark", 33)).withColumn("__place", F.col("__mark").bitwiseAND((1 << 33) - 1)).drop("__mark")
 
 
-def ranked(df: DataFrame, score: str, tie: str, sums: dict[str, Column] | None = None) -> DataFrame:
-    """``rank`` (0 first) by falling score, ties by rising ``tie``, and running sums.
+def running(df: DataFrame, order: list[Column], sums: dict[str, Column] | None = None, rank: str = "rank") -> DataFrame:
+    """``df`` with ``rank`` (0 first) in an order whose keys are unique together, and running sums.
 
-    Rows are sorted over range partitions of score and tie together; counts and sums of the partitions, a bounded table, give where each begins.
+    Rows are sorted over range partitions; counts and sums of the partitions, a bounded table, give where each begins.
     """
     sums = sums or {}
-    own = in_order(df.select("*", *[c.cast("double").alias(f"__{n}") for n, c in sums.items()]), [F.desc(score), F.asc(tie)], "ranked")
+    own = in_order(df.select("*", *[c.cast("double").alias(f"__{n}") for n, c in sums.items()]), order, "ranked")
     total = own.groupBy("__part").agg(F.count("*").alias("__n"), *[F.sum(f"__{n}").alias(f"__s_{n}") for n in sums])
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     starts = total.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__from"), *[F.coalesce(F.sum(f"__s_{n}").over(before), F.lit(0.0)).alias(f"__b_{n}") for n in sums])
     w = Window.partitionBy("__part").orderBy("__place").rowsBetween(Window.unboundedPreceding, 0)
     inner = own.select("*", *[F.sum(f"__{n}").over(w).alias(f"__c_{n}") for n in sums])
     joined = inner.join(F.broadcast(starts), "__part")
-    return joined.select(*df.columns, (F.col("__from") + F.col("__place")).alias("rank"), *[(F.col(f"__b_{n}") + F.col(f"__c_{n}")).alias(n) for n in sums])
+    return joined.select(*df.columns, (F.col("__from") + F.col("__place")).alias(rank), *[(F.col(f"__b_{n}") + F.col(f"__c_{n}")).alias(n) for n in sums])
+
+
+def ranked(df: DataFrame, score: str, tie: str, sums: dict[str, Column] | None = None) -> DataFrame:
+    """``rank`` (0 first) by falling score, ties by rising ``tie``, and running sums."""
+    return running(df, [F.desc(score), F.asc(tie)], sums)
 
 
 def importance_weights(df: DataFrame, score: str, mode: str = "sqrt", uniform: float = 0.1) -> DataFrame:

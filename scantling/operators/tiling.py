@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from scantling.operators.sampling import running
+
 Box = tuple[float, float, float, float]
 
 
@@ -244,7 +246,13 @@ def visible_cost(tiles: DataFrame, seg: str, cut: int, cost: Column, first: str
     """Cost of each segment's grid merged into groups of ``cut`` columns: area times distinct clusters, of segments that meet a span if given."""
     kept = tiles
     if spans is not None:
-        kept = tiles.join(spans, (F.col(first) < F.col("until")) & (F.col(last) > F.col("since")), "left_semi")
+        # segments and spans meet by buckets of frames, so that the range join is an equi-join and a filter
+        segs = tiles.select(F.col(first).alias("__first"), F.col(last).alias("__last")).distinct()
+        size = segs.agg(F.ceil(F.avg(F.col("__last") - F.col("__first")))).first()[0] or 1
+        cells = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / size), F.floor((F.col(b) - 1) / size)))
+        met = segs.withColumn("__bucket", cells("__first", "__last")).join(spans.where("since < until").withColumn("__bucket", cells("since", "until")), "__bucket")
+        met = met.where((F.col("__first") < F.col("until")) & (F.col("__last") > F.col("since"))).select("__first", "__last").distinct()
+        kept = tiles.join(met, (F.col(first) == F.col("__first")) & (F.col(last) == F.col("__last")), "left_semi")
     grouped = kept.groupBy(seg, "row_no", F.floor(F.col("col_no") / cut).alias("g")).agg(F.count_distinct("col_no").alias("cells"), F.size(F.array_distinct(F.collect_set("cluster"))).alias("clusters"))
     return grouped.groupBy(seg).agg(F.round(F.sum(cost * F.col("clusters")), 6).alias("cost"))
 
@@ -284,9 +292,11 @@ def coalesced_segments(tiles: DataFrame) -> DataFrame:
     """Neighbouring segments with one layout, joined."""
     cell = F.concat_ws("_", "row_no", "col_no", F.col("has_roi").cast("string"))
     shape = tiles.select("seg_start", "seg_end", cell.alias("cell")).groupBy("seg_start", "seg_end").agg(F.md5(F.array_join(F.array_sort(F.collect_set("cell")), ",").cast("binary")).alias("layout"))
-    w = Window.orderBy("seg_start")
-    new = F.coalesce(((F.lag("layout").over(w) != F.col("layout")) | (F.lag("seg_end").over(w) != F.col("seg_start"))).cast("int"), F.lit(1))
-    part = shape.withColumn("new", new).withColumn("part", F.sum("new").over(w))
+    placed = running(shape, [F.asc("seg_start"), F.asc("seg_end")])
+    before = placed.select((F.col("rank") + 1).alias("rank"), F.col("layout").alias("__layout"), F.col("seg_end").alias("__end"))
+    joined = placed.join(before, "rank", "left")
+    new = F.coalesce(((F.col("__layout") != F.col("layout")) | (F.col("__end") != F.col("seg_start"))).cast("int"), F.lit(1))
+    part = running(joined.select("rank", "seg_start", "seg_end", new.alias("new")), [F.asc("rank")], {"part": F.col("new")}, "__rank")
     return part.groupBy("part").agg(F.min("seg_start").alias("seg_start"), F.max("seg_end").alias("seg_end"), F.count("*").alias("n")).drop("part")
 
 

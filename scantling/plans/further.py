@@ -149,5 +149,8 @@ add("st2_layout_runs", "SELECT camera, first, last, layout FROM (SELECT camera,
     lambda s, p: to_end(ingest.layout_runs(events_of(s, p).select((F.col("event_id") % 4).alias("camera"), F.col("event_id").alias("id"), "event_type"), "camera", "id", "event_type")))
 add("st4_reordered", "SELECT CAST(event_id % 4 AS VARCHAR) AS grp, event_id // 4 AS t, event_type AS payload FROM events")(
     lambda s, p: to_end(ingest.reorder(events_of(s, p).select((F.col("event_id") % 4).alias("g"), F.floor(F.col("event_id") / 4).alias("f"), "event_type"), "g", "f", "event_type")))
-add("st3_moving", None)(
-    lambda s, p: to_end(ingest.moving(events_of(s, p).select((F.col("event_id") % 4).alias("g"), F.col("event_id").alias("f"), "value"), "g", "f", "value", 150.0)))
+MOVING = """WITH RECURSIVE o AS MATERIALIZED (SELECT CAST(event_id % 4 AS VARCHAR) AS camera, event_id AS t, value, row_number() OVER (PARTITION BY event_id % 4 ORDER BY event_id) AS i FROM events),
+go AS (SELECT camera, i, value AS mean, CAST(NULL AS DOUBLE) AS background FROM o WHERE i = 1 UNION ALL SELECT o.camera, o.i, go.mean + 0.1::DOUBLE * (o.value - go.mean), go.mean FROM go JOIN o ON o.camera = go.camera AND o.i = go.i + 1)
+SELECT camera, t, value, round(background, 6) AS background FROM go JOIN o USING (camera, i) WHERE abs(value - background) > 150"""
+add("st3_moving", MOVING)(
+    lambda s, p: to_end(ingest.moving(events_of(s, p).select((F.col("event_id") % 4).alias("g"), F.col("event_id").alias("f"), "value"), "g", "f", "value", 150.0)).withColumn("background", F.round("background", 6)))

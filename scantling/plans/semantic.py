@@ -91,7 +91,13 @@ add("i07_label_misses", " SELECT tile_id FROM v_tile WHERE tile_id % 10 = 0 AND
 add("i04_triplet_loss", " SELECT a.tile_id, round(greatest(list_sum(list_transform(range(1,65), lambda i: pow(CAST(a.embedding[i] AS DOUBLE)-CAST(b.embedding[i] AS DOUBLE),2)-pow(CAST(a.embedding[i] AS DOUBLE)-CAST(c.embedding[i] AS DOUBLE),2)))+CAST(0.5 AS DOUBLE),0),4) AS loss FROM v_tile a JOIN v_tile b ON b.tile_id = a.tile_id + 1 JOIN v_tile c ON c.tile_id = a.tile_id + 2", "tile")(
     lambda s, p: (lambda t: t.join(t.select((F.col("tile_id") - 1).alias("tile_id"), F.col("embedding").alias("b")), "tile_id").join(t.select((F.col("tile_id") - 2).alias("tile_id"), F.col("embedding").alias("c")), "tile_id"))(tiles(s, p)).select(
         "tile_id", F.round(index.triplet_loss(F.col("embedding"), F.col("b"), F.col("c"), 0.5), 4).alias("loss")))
-add("sm08_triplets")(lambda s, p: index.triplets(tiles(s, p), "truth", "t"))
+TRIPLETS = f""", s AS (SELECT tile_id AS id, truth AS b, t AS f FROM v_tile), nu AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY f, {HASH.format('id')}, id) - 1 AS place FROM s),
+sz AS (SELECT b, count(*) AS size, row_number() OVER (ORDER BY b) - 1 AS bi, count(*) OVER () AS nb FROM s GROUP BY b),
+an AS (SELECT s.*, size, bi, nb, (SELECT count(*) FROM s x WHERE x.b = s.b AND x.f < s.f - 30) AS low, (SELECT count(*) FROM s x WHERE x.b = s.b AND x.f <= s.f + 30) AS high FROM s JOIN sz USING (b)),
+dr AS (SELECT *, CASE WHEN low + size - high > 0 THEN {HASH.format("'same/'||id")} % (low + size - high) END AS k, CASE WHEN nb > 1 THEN {HASH.format("'bucket/'||id")} % (nb - 1) END AS j FROM an),
+pl AS (SELECT dr.id, dr.b, CASE WHEN k < low THEN k ELSE k - low + high END AS place, o.b AS ob, {HASH.format("'other/'||dr.id")} % o.size AS oplace FROM dr LEFT JOIN sz o ON o.bi = CASE WHEN j >= dr.bi THEN j + 1 ELSE j END)
+SELECT pl.id AS anchor, p.id AS positive, n.id AS negative FROM pl LEFT JOIN nu p ON p.b = pl.b AND p.place = pl.place LEFT JOIN nu n ON n.b = pl.ob AND n.place = pl.oplace"""
+add("sm08_triplets", TRIPLETS, "tile")(lambda s, p: index.triplets(tiles(s, p), "truth", "t"))
 
 # bounded sums ----------------------------------------------------------------------------------------------------------------
 EBS = f""", o AS (SELECT CAST(label AS DOUBLE) AS y, {{p}} AS p, row_number() OVER (ORDER BY {HASH.format('id')}, id) - 1 AS i FROM v_proxy),
@@ -220,9 +226,9 @@ comp AS (SELECT id, min(r) AS track FROM reach GROUP BY id), best AS (SELECT tra
 SELECT id AS row_id, CAST(dense_rank() OVER (ORDER BY track) - 1 AS BIGINT) AS ind FROM comp JOIN best USING (track) WHERE c > CAST(0.1 AS DOUBLE)"""
 
 
-def numbered(s, p):
+def numbered(s, p, view="track"):
     """Every detection with a number in order of frame and line; those that repeat both go by their other columns."""
-    rows = read(s, p, "track")
+    rows = read(s, p, view)
     again = F.row_number().over(Window.partitionBy("frame", "line").orderBy(*[c for c in rows.columns if c not in ("frame", "line")]))
     return rows.withColumn("row_id", (F.col("frame") * 10 + F.col("line")) * 2**20 + again - 1)
 
@@ -230,9 +236,19 @@ def numbered(s, p):
 QUERIES.add("gr1_build_tracks", w("track").replace("WITH", "WITH RECURSIVE", 1) + GR1)(lambda s, p: tracks.build_tracks(numbered(s, p), "row_id"))
 add("gr2_region_tracks", " SELECT frame, line, ind0, CAST(dense_rank() OVER (ORDER BY first) - 1 AS BIGINT) AS ind FROM (SELECT *, min(frame*10+line) OVER (PARTITION BY ind0) AS first FROM (SELECT frame, line, CAST(xmin AS BIGINT)*31+CAST(ymin AS BIGINT) AS ind0 FROM v_track WHERE confidence > CAST(0.5 AS DOUBLE)))", "track")(
     lambda s, p: tracks.filter_tracks(read(s, p, "track").withColumn("ind0", F.col("xmin").cast("long") * 31 + F.col("ymin").cast("long")).withColumn("o", F.col("frame") * 10 + F.col("line")), "ind0", "o", F.col("confidence") > 0.5).select("frame", "line", "ind0", "ind"))
-add("a20_non_max_suppression")(lambda s, p: tracks.non_max_suppression(read(s, p, "det").withColumn("row_id", F.col("frame") * 10 + F.col("line")), ["frame"], "row_id"))
+IOU = "greatest(0, least(k.xmax,o.xmax)-greatest(k.xmin,o.xmin)) * greatest(0, least(k.ymax,o.ymax)-greatest(k.ymin,o.ymin))"
+NMS = f""", d AS (SELECT *, (frame*10+line)*1048576 + row_number() OVER (PARTITION BY frame, line ORDER BY object_name, confidence, xmin, ymin, xmax, ymax) - 1 AS row_id FROM v_det),
+o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY frame, object_name ORDER BY confidence DESC, row_id) AS i FROM d WHERE confidence > CAST(0.25 AS DOUBLE)),
+go AS (SELECT frame, object_name, i, [{{'row_id': row_id, 'xmin': xmin, 'ymin': ymin, 'xmax': xmax, 'ymax': ymax}}] AS kept FROM o WHERE i = 1
+ UNION ALL SELECT o.frame, o.object_name, o.i, CASE WHEN len(list_filter(go.kept, lambda k: {IOU} / greatest((k.xmax-k.xmin)*(k.ymax-k.ymin) + (o.xmax-o.xmin)*(o.ymax-o.ymin) - {IOU}, 1e-12) > CAST(0.45 AS DOUBLE))) = 0
+  THEN list_append(go.kept, {{'row_id': o.row_id, 'xmin': o.xmin, 'ymin': o.ymin, 'xmax': o.xmax, 'ymax': o.ymax}}) ELSE go.kept END FROM go JOIN o ON o.frame = go.frame AND o.object_name = go.object_name AND o.i = go.i + 1),
+fin AS (SELECT frame, object_name, arg_max(kept, i) AS kept FROM go GROUP BY ALL)
+SELECT frame, object_name, row_id, confidence FROM (SELECT unnest(list_transform(kept, lambda k: k.row_id)) AS row_id FROM fin) JOIN o USING (row_id) QUALIFY row_number() OVER (PARTITION BY frame ORDER BY confidence DESC, row_id) <= 300"""
+QUERIES.add("a20_non_max_suppression", w("det").replace("WITH", "WITH RECURSIVE", 1) + NMS)(lambda s, p: tracks.non_max_suppression(numbered(s, p, "det"), ["frame"], "row_id"))
 TRI = [(0.0, 0.0), (1500.0, 0.0), (0.0, 900.0)]
-add("g37_polygon_clip")(lambda s, p: tracks.polygon_shares(read(s, p, "det"), ["frame", "line", "xmin", "ymin"], [TRI, [(400.0, 300.0), (1200.0, 300.0), (1200.0, 800.0), (400.0, 800.0)]]))
+UNDER = "(pow(greatest(0, 900-0.6::DOUBLE*xmin-{0}),2) - pow(greatest(0, 900-0.6::DOUBLE*xmax-{0}),2)) / 1.2::DOUBLE"
+BOX = "greatest(0, least(xmax,1200)-greatest(xmin,400)) * greatest(0, least(ymax,800)-greatest(ymin,300))"
+add("g37_polygon_clip", f" SELECT frame, line, xmin, ymin, round(({UNDER.format('ymin')} - {UNDER.format('ymax')}) / ((xmax-xmin)*(ymax-ymin)), 5) AS share_0, round({BOX} / ((xmax-xmin)*(ymax-ymin)), 5) AS share_1 FROM v_det", "det")(lambda s, p: tracks.polygon_shares(read(s, p, "det"), ["frame", "line", "xmin", "ymin"], [TRI, [(400.0, 300.0), (1200.0, 300.0), (1200.0, 800.0), (400.0, 800.0)]]).withColumns({n: F.round(n, 5) for n in ("share_0", "share_1")}))
 
 # tiling and the catalog -------------------------------------------------------------------------------------------------------
 add("t02_merge_regions")(lambda s, p: tiling.merge_regions(read(s, p, "roi"), ["seg", "t"]))
@@ -243,11 +259,22 @@ add("t05_semantic_clusters")(lambda s, p: similar_tiles(s, p))
 add("t07_merged_groups", " , ln AS (SELECT DISTINCT seg_start, col_no, CASE WHEN col_no = 2 THEN 1 ELSE 0 END AS k FROM v_grid), gg AS (SELECT seg_start, col_no, sum(k) OVER (PARTITION BY seg_start ORDER BY col_no) AS g FROM ln) SELECT seg_start, row_no, CAST(g AS BIGINT) AS g, count(DISTINCT col_no) AS cells, count(DISTINCT cluster) AS clusters, round(count(DISTINCT col_no)*4096*CAST(0.001 AS DOUBLE)*count(DISTINCT cluster),6) AS cost FROM v_grid JOIN gg USING (seg_start, col_no) GROUP BY ALL", "grid")(
     lambda s, p: tiling.merged_groups(read(s, p, "grid"), "seg_start", F.col("col_no") == 2, F.col("cells") * 4096 * F.lit(0.001)))
 add("t08_greedy_tiling")(lambda s, p: tiling.optimise_segments(read(s, p, "grid"), "seg_start", 1.4443e-05, 3.0, "greedy"))
-add("t09_best_tiling")(lambda s, p: tiling.optimise_segments(read(s, p, "grid"), "seg_start", 1.4443e-05, 3.0, "best"))
-add("t09_best_tiling_brute")(lambda s, p: tiling.optimise_segments(read(s, p, "grid"), "seg_start", 1.4443e-05, 3.0, "brute"))
+TILINGS = """, ce AS (SELECT DISTINCT seg_start, row_no, col_no, cluster FROM v_grid), dm AS (SELECT seg_start, max(row_no) + 1 AS nr, max(col_no) + 1 AS nc FROM ce GROUP BY ALL),
+rs AS (SELECT * FROM (VALUES ('', [0]), ('1', [0, 1])) AS t(rows_kept, rl)), cs AS (SELECT * FROM (VALUES ('', [0]), ('1', [0, 1]), ('1,2', [0, 1, 2]), ('2', [0, 2])) AS t(cols_kept, cl)),
+op AS (SELECT * FROM dm, rs, cs WHERE list_max(rl) < nr AND list_max(cl) < nc),
+gr AS (SELECT op.seg_start, rows_kept, cols_kept, list_max(list_filter(rl, lambda x: x <= row_no)) AS r1, list_max(list_filter(cl, lambda x: x <= col_no)) AS c1, any_value(rl) AS rl, any_value(cl) AS cl, any_value(nr) AS nr, any_value(nc) AS nc, count(DISTINCT cluster) AS k FROM op JOIN ce USING (seg_start) GROUP BY ALL),
+co AS (SELECT seg_start, rows_kept, cols_kept, round(sum((1.4443e-05::DOUBLE * ((coalesce(list_min(list_filter(cl, lambda x: x > c1)), nc) - c1) * 64 * (coalesce(list_min(list_filter(rl, lambda x: x > r1)), nr) - r1) * 64) + 3.0::DOUBLE) * k), 9) AS cost, any_value(nr) AS nr, any_value(nc) AS nc FROM gr GROUP BY ALL)
+SELECT seg_start, round(max(CASE WHEN len(string_split(rows_kept, ',')) - CAST(rows_kept = '' AS INT) = nr - 1 AND len(string_split(cols_kept, ',')) - CAST(cols_kept = '' AS INT) = nc - 1 THEN cost END), 6) AS before, round(min(cost), 6) AS after, arg_min(rows_kept, (cost, rows_kept, cols_kept)) AS rows_kept, arg_min(cols_kept, (cost, rows_kept, cols_kept)) AS cols_kept FROM co GROUP BY seg_start"""
+add("t09_best_tiling", TILINGS, "grid")(lambda s, p: tiling.optimise_segments(read(s, p, "grid"), "seg_start", 1.4443e-05, 3.0, "best"))
+add("t09_best_tiling_brute", TILINGS, "grid")(lambda s, p: tiling.optimise_segments(read(s, p, "grid"), "seg_start", 1.4443e-05, 3.0, "brute"))
 add("t12_merge_all", " SELECT seg_start, min(row_no) AS r1, max(row_no) AS r2, min(col_no) AS c1, max(col_no) AS c2 FROM v_grid WHERE has_roi GROUP BY seg_start", "grid")(
     lambda s, p: read(s, p, "grid").where("has_roi").groupBy("seg_start").agg(F.min("row_no").alias("r1"), F.max("row_no").alias("r2"), F.min("col_no").alias("c1"), F.max("col_no").alias("c2")))
-add("t13_adaptive_split")(lambda s, p: s.createDataFrame([(w_, h_, i, a, b) for w_, h_ in ((1920, 1080), (800, 600), (3840, 2160)) for i, (a, b) in enumerate(tiling.split_for_network(w_, h_, 4, **{k if k != "a" else "floor": v for k, v in costs.NETWORKS["large"].items()}))], "width int, height int, part int, w int, h int"))
+LARGE = costs.NETWORKS["large"]
+SPLITS = f"""WITH sz AS (SELECT * FROM (VALUES (1920, 1080), (800, 600), (3840, 2160)) AS t(width, height)), op AS (SELECT width, height, i, j, width * height / (i * j) AS a FROM sz, (SELECT unnest(range(1, 5)) AS i), (SELECT unnest(range(1, 5)) AS j)),
+co AS (SELECT *, i * j * CASE WHEN a > ({LARGE['a']!r}::DOUBLE - {LARGE['b']!r}::DOUBLE) / {LARGE['k']!r}::DOUBLE THEN {LARGE['k']!r}::DOUBLE * a + {LARGE['b']!r}::DOUBLE ELSE {LARGE['a']!r}::DOUBLE END AS cost FROM op),
+be AS (SELECT width, height, CASE WHEN width * height < 1000000 THEN 1 ELSE CAST(arg_min(i, (cost, i, j)) AS INT) END AS r, CASE WHEN width * height < 1000000 THEN 1 ELSE CAST(arg_min(j, (cost, i, j)) AS INT) END AS c FROM co GROUP BY width, height)
+SELECT width, height, CAST(y * c + x AS INT) AS part, CAST(round(width * (x + 1) / c) - round(width * x / c) AS INT) AS w, CAST(round(height * (y + 1) / r) - round(height * y / r) AS INT) AS h FROM (SELECT *, unnest(range(0, r)) AS y FROM be) b, range(0, 4) AS g(x) WHERE x < c"""
+QUERIES.add("t13_adaptive_split", SPLITS)(lambda s, p: s.createDataFrame([(w_, h_, i, a, b) for w_, h_ in ((1920, 1080), (800, 600), (3840, 2160)) for i, (a, b) in enumerate(tiling.split_for_network(w_, h_, 4, **{k if k != "a" else "floor": v for k, v in costs.NETWORKS["large"].items()}))], "width int, height int, part int, w int, h int"))
 GRIDS = "cat AS (SELECT DISTINCT seg_start, seg_end, row_no, col_no, bool_or(has_roi) OVER (PARTITION BY seg_start, row_no, col_no) AS has_roi FROM v_grid)"
 
 
@@ -271,7 +298,11 @@ add("a31_densest_frame", ", z AS (SELECT CAST(floor((y1+y2)/2/200) AS BIGINT) AS
     lambda s, p: tiling.densest_frame(read(s, p, "roi"), 300, 200))
 add("a30_visible_cost", ", sp AS (SELECT * FROM (VALUES (0, 600), (3000, 3010)) AS t(since, until)), kp AS (SELECT * FROM v_grid WHERE EXISTS (SELECT 1 FROM sp WHERE seg_start < until AND seg_end > since)), gr AS (SELECT seg_start, row_no, CAST(floor(col_no/2) AS BIGINT) AS g, count(DISTINCT col_no) AS cells, count(DISTINCT cluster) AS clusters FROM kp GROUP BY ALL) SELECT seg_start, round(sum((cells*4096*CAST(0.001 AS DOUBLE)+3)*clusters),6) AS cost FROM gr GROUP BY seg_start", "grid")(
     lambda s, p: tiling.visible_cost(read(s, p, "grid"), "seg_start", 2, F.col("cells") * 4096 * F.lit(0.001) + 3, spans=s.createDataFrame([(0, 600), (3000, 3010)], "since long, until long")))
-add("t10_valid_merges")(lambda s, p: s.createDataFrame([(n, mask, len(tiling.valid_merges(n, [bool(mask >> i & 1) for i in range(n)]))) for n in (2, 3, 4, 5) for mask in range(2**n)], "n int, mask int, merges int"))
+MERGES = """WITH ca AS (SELECT CAST(n AS INT) AS n, CAST(mask AS INT) AS mask FROM (SELECT unnest([2, 3, 4, 5]) AS n), range(0, 32) AS m(mask) WHERE mask < (1 << n)),
+go AS (SELECT n, mask, g * 2 AS gone FROM ca, range(0, 16) AS k(g) WHERE g < (1 << (n - 1))),
+ok AS (SELECT n, mask, gone, len(list_filter(range(0, n), lambda i: (mask >> CAST(i AS INT)) & 1 = 0 AND NOT ((gone >> CAST(i AS INT)) & 1 = (gone >> CAST(i + 1 AS INT)) & 1 AND NOT ((gone >> CAST(i AS INT)) & 1 = 1 AND (i = 0 OR i = n - 1))))) = 0 AS fine FROM go)
+SELECT n, mask, CAST(count(*) FILTER (WHERE fine) AS INT) AS merges FROM ok GROUP BY n, mask"""
+QUERIES.add("t10_valid_merges", MERGES)(lambda s, p: s.createDataFrame([(n, mask, len(tiling.valid_merges(n, [bool(mask >> i & 1) for i in range(n)]))) for n in (2, 3, 4, 5) for mask in range(2**n)], "n int, mask int, merges int"))
 add("t11_hierarchical_layout", f", {GRIDS}, rw AS (SELECT seg_start, row_no, bool_or(has_roi) AS a FROM cat GROUP BY ALL), cl AS (SELECT seg_start, col_no, bool_or(has_roi) AS a FROM cat GROUP BY ALL), rn AS (SELECT seg_start, row_no, sum(n) OVER (PARTITION BY seg_start ORDER BY row_no) - 1 AS coarse_row FROM (SELECT *, CASE WHEN NOT a AND NOT coalesce(lag(a) OVER (PARTITION BY seg_start ORDER BY row_no), true) THEN 0 ELSE 1 END AS n FROM rw)), cn AS (SELECT seg_start, col_no, sum(n) OVER (PARTITION BY seg_start ORDER BY col_no) - 1 AS coarse_col FROM (SELECT *, CASE WHEN NOT a AND NOT coalesce(lag(a) OVER (PARTITION BY seg_start ORDER BY col_no), true) THEN 0 ELSE 1 END AS n FROM cl)) SELECT cat.seg_start, CAST(coarse_row AS BIGINT) AS coarse_row, CAST(coarse_col AS BIGINT) AS coarse_col, bool_or(has_roi) AS has_roi, coalesce(string_agg(row_no||'_'||col_no, ',' ORDER BY row_no||'_'||col_no) FILTER (WHERE has_roi), '') AS fine FROM cat JOIN rn USING (seg_start, row_no) JOIN cn USING (seg_start, col_no) GROUP BY cat.seg_start, coarse_row, coarse_col", "grid")(
     lambda s, p: tiling.hierarchical_layout(catalog(s, p).drop("seg_end"), "seg_start").withColumn("fine", F.array_join("fine", ",")))
 add("t14_roi_pipeline")(lambda s, p: tiling.roi_pipeline(read(s, p, "roi"), "seg", 2000, 1000, F.col("x2") - F.col("x1") >= 20, least=64))

@@ -197,10 +197,12 @@ def decode_plan(wanted: DataFrame, segments: DataFrame) -> DataFrame:
 
 
 def file_offsets(files: DataFrame) -> DataFrame:
-    """Global number of each file's first frame, files in numeric order of their names (``file``, ``n_frames``). A row a file."""
+    """Global number of each file's first frame, files in numeric order of their names (``file``, ``n_frames``)."""
+    from scantling.operators.sampling import running
+
     number = F.regexp_extract("file", r"(\d+)(?:\.\w+)?$", 1).cast("long")
-    w = Window.orderBy(number, "file").rowsBetween(Window.unboundedPreceding, -1)
-    return files.select("file", "n_frames", F.coalesce(F.sum("n_frames").over(w), F.lit(0)).alias("offset"))
+    found = running(files.select("file", "n_frames", number.alias("__number")), [F.asc("__number"), F.asc("file")], {"upto": F.col("n_frames")})
+    return found.select("file", "n_frames", (F.col("upto").cast("long") - F.col("n_frames")).alias("offset"))
 
 
 def stale_files(manifest: DataFrame, present: DataFrame) -> DataFrame:

@@ -52,25 +52,29 @@ def drop_materialized(df: DataFrame) -> None:
 
 
 class Scratch:
-    """What was materialized in a stretch of work; :meth:`keep` takes a frame's files out of it."""
+    """What was materialized in a stretch of work; :meth:`keep` takes a frame's files out of what is deleted at its end."""
 
     def __init__(self):
         self.paths: list[str] = []
+        self.kept: list[str] = []
 
     def keep(self, df: DataFrame) -> DataFrame:
         held = {name.rsplit("/", 1)[0].rsplit("/", 1)[1] for name in df.inputFiles()[:1]}
-        self.paths = [p for p in self.paths if p.rsplit("/", 1)[1] not in held]
+        self.kept += [p for p in self.paths if p.rsplit("/", 1)[1] in held]
+        self.paths = [p for p in self.paths if p not in self.kept]
         return df
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[Scratch]:
-    """Deletes at its end what was materialized within and isn't kept: for work whose result has been written by then."""
+    """Deletes at its end what was materialized within and isn't kept. What is kept belongs to the stretch of work around it, if any."""
     outer, own = _SCRATCH.get(), Scratch()
     _SCRATCH.set(own)
     try:
         yield own
     finally:
         _SCRATCH.set(outer)
+        if outer is not None:
+            outer.paths += own.kept
         for path in own.paths:
             _delete(spark, path)

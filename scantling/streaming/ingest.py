@@ -110,11 +110,10 @@ def moving(stream: DataFrame, camera: str, frame: str, value: str, threshold: fl
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         mean = state.get[0] if state.exists else None
         rows = []
-        for pdf in batches:
-            for t, v in pdf.sort_values(frame)[[frame, value]].itertuples(index=False, name=None):
-                if mean is not None and abs(v - mean) > threshold:
-                    rows.append((key[0], t, v, mean))
-                mean = v if mean is None else mean + rate * (v - mean)
+        for t, v in sorted(r for pdf in batches for r in pdf[[frame, value]].itertuples(index=False, name=None)):
+            if mean is not None and abs(v - mean) > threshold:
+                rows.append((key[0], t, v, mean))
+            mean = v if mean is None else mean + rate * (v - mean)
         if mean is not None:
             state.update((float(mean),))
         yield pd.DataFrame(rows, columns=["camera", "t", "value", "background"])
