@@ -39,23 +39,25 @@ class FirstFrame(FrameBefore):
 
 
 class TwoLevels(FrameBefore):
-    """Foreground: pixels far from both of two levels, that follow the background: the nearer one moves where a pixel is background."""
+    """Foreground: pixels far from both of two levels that follow the background. The nearer one moves where a pixel is background;
+    what stays foreground for ``patience`` frames becomes the farther one."""
 
-    rate = 0.1
+    rate, patience = 0.1, 20
 
     def apply(self, frame: np.ndarray) -> np.ndarray:
         if self.last is None:
             self.last = np.stack([frame, frame]).astype(float)
+            self.since = np.zeros(frame.shape, int)
             return np.zeros(frame.shape, bool)
         far = np.abs(self.last - frame)
         nearer = far.argmin(0)
         out = far.min(0) > self.threshold
+        self.since = np.where(out, self.since + 1, 0)
         for k in (0, 1):
             own = ~out & (nearer == k)
             self.last[k][own] += self.rate * (frame - self.last[k])[own]
-            # a level that nothing is near to becomes what is seen now
-            stale = out & (nearer != k)
-            self.last[k][stale] = frame[stale]
+            stayed = (self.since >= self.patience) & (nearer != k)
+            self.last[k][stayed] = frame[stayed]
         return out
 
 

@@ -85,7 +85,7 @@ def test_spans_change_nothing(spark, model):
 def test_masks_and_crops():
     frame = np.ones((40, 60))
     got = regions.masked(frame, [[(0, 0), (30, 0), (0, 20)]], (0, 0, 60, 30))
-    assert got.shape == (30, 60) and got[0, 0] == 0 and got[0, 29] == 0 and got[19, 5] == 1 and got[25, 40] == 1
+    assert got.shape == (30, 60) and got[0, 0] == 0 and got[0, 28] == 0 and got[0, 29] == 1 and got[19, 5] == 1 and got[25, 40] == 1
     assert abs((got == 0).sum() - 300) < 30
     empty = np.zeros((40, 60))
     empty[25, 33] = 1
