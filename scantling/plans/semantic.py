@@ -248,7 +248,12 @@ QUERIES.add("a20_non_max_suppression", w("det").replace("WITH", "WITH RECURSIVE"
 TRI = [(0.0, 0.0), (1500.0, 0.0), (0.0, 900.0)]
 UNDER = "(pow(greatest(0, 900-0.6::DOUBLE*xmin-{0}),2) - pow(greatest(0, 900-0.6::DOUBLE*xmax-{0}),2)) / 1.2::DOUBLE"
 BOX = "greatest(0, least(xmax,1200)-greatest(xmin,400)) * greatest(0, least(ymax,800)-greatest(ymin,300))"
-add("g37_polygon_clip", f" SELECT frame, line, xmin, ymin, round(({UNDER.format('ymin')} - {UNDER.format('ymax')}) / ((xmax-xmin)*(ymax-ymin)), 5) AS share_0, round({BOX} / ((xmax-xmin)*(ymax-ymin)), 5) AS share_1 FROM v_det", "det")(lambda s, p: tracks.polygon_shares(read(s, p, "det"), ["frame", "line", "xmin", "ymin"], [TRI, [(400.0, 300.0), (1200.0, 300.0), (1200.0, 800.0), (400.0, 800.0)]]).withColumns({n: F.round(n, 5) for n in ("share_0", "share_1")}))
+#: Shares in steps of 1 / 100,000. They are often finite decimals, so steps end where none is and both engines agree on them.
+STEP = "floor(({}) * 100000 + 0.4142135::DOUBLE) / 100000"
+SHARES = [f"({UNDER.format('ymin')} - {UNDER.format('ymax')}) / ((xmax-xmin)*(ymax-ymin))", f"{BOX} / ((xmax-xmin)*(ymax-ymin))"]
+add("g37_polygon_clip", f" SELECT frame, line, xmin, ymin, {STEP.format(SHARES[0])} AS share_0, {STEP.format(SHARES[1])} AS share_1 FROM v_det", "det")(
+    lambda s, p: tracks.polygon_shares(read(s, p, "det"), ["frame", "line", "xmin", "ymin"], [TRI, [(400.0, 300.0), (1200.0, 300.0), (1200.0, 800.0), (400.0, 800.0)]])
+    .withColumns({n: F.floor(F.col(n) * 100000 + 0.4142135) / 100000 for n in ("share_0", "share_1")}))
 
 # tiling and the catalog -------------------------------------------------------------------------------------------------------
 add("t02_merge_regions")(lambda s, p: tiling.merge_regions(read(s, p, "roi"), ["seg", "t"]))
