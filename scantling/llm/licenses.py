@@ -16,7 +16,9 @@ row, not of an id: rows that repeat an id, or have none, are scanned each by its
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -119,10 +121,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     # worked out again for each element.
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     words = rows.select("row", "id", F.explode(F.array(words_of(F.col("text")))).alias("w"))
-    in_any = F.array_join(F.transform("w", lambda x: F.when(x.isin(vocabulary), F.lit("1")).otherwise(F.lit("0"))), "")
-    flagged = words.select("row", "id", "w", F.explode(F.array(in_any)).alias("v")).where(F.instr("v", "1" * SHINGLE) > 0)
-    starts = F.filter(F.sequence(F.lit(0), F.size("w") - SHINGLE), lambda i: F.substr("v", (i + 1).cast("int"), F.lit(SHINGLE)) == "1" * SHINGLE)
-    placed = flagged.select("row", "id", "w", F.explode(F.array(starts)).alias("starts"))
+    flagged = words.select("row", "id", "w", F.explode(F.array(F.transform("w", lambda x: x.isin(vocabulary)))).alias("v"))
+    every_one = lambda i: functools.reduce(operator.and_, [F.get("v", (i + k).cast("int")) for k in range(SHINGLE)])
+    starts = F.when(F.size("w") >= SHINGLE, F.filter(F.sequence(F.lit(0), F.size("w") - SHINGLE), every_one))
+    placed = flagged.select("row", "id", "w", F.explode(F.array(starts)).alias("starts")).where(F.size("starts") > 0)
     hits = F.transform("starts", lambda i: F.struct(i.alias("at"), shingle_hash(F.col("w"), i).alias("h")))
     # shingles of the templates: a table as long as they are, sent to where the texts are
     every = known.select(F.explode("shingles").alias("h")).distinct()
