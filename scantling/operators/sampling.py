@@ -113,14 +113,16 @@ def _first_close(rows: DataFrame, limit: int, n: int, tau: float, var: float, ep
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     run = binned.select("bin", F.row_number().over(w).alias("rn"), *[F.sum(c).over(upto).alias(x) for x, c in names.items()]).join(F.broadcast(starts), "bin")
     run = materialize(run.select("bin", (F.col("n_") + F.col("rn") - 1).alias("t"), *[(F.col(x) + F.col(f"{x}_")).alias(x) for x in names]), "sample-sums")
-    # at the beginning of each step, how the proxy and the truth vary together
-    have = run.agg(F.max("t")).first()[0]
-    if have is None or have < 2:
+    # at the beginning of each step, and at the sample's end, how the proxy and the truth vary together
+    row = F.struct("t", *names)
+    marks = sorted({1, 99, *(e for e in EDGES if e < 1 << 40)})
+    found = run.agg(F.max(row).alias("last"), F.collect_list(F.when(F.col("t").isin(marks), row)).alias("marks")).first()
+    if found["last"] is None or found["last"]["t"] < 2:
         drop_materialized(run)
         return None
-    size = have + 1
+    size = found["last"]["t"] + 1
     begin = {j: min(max(EDGES[j - 1] + 1, min(100, size)), size) for j in range(1, len(EDGES)) if EDGES[j - 1] < size or j == 1}
-    at = {r["t"]: r for r in run.where(F.col("t").isin(sorted({b - 1 for b in begin.values()}))).collect()}
+    at = {r["t"]: r for r in [*found["marks"], found["last"]]}
     cs, alphas, xs = [], [], []
     for j, b in begin.items():
         r = at[b - 1]
